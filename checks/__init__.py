@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: list[str] = ["cleaning", "timelines"]
+MODULES = ["cleaning", "timelines", "tables"]
 
 
 def load():
