@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["cleaning", "timelines", "tables"]
+MODULES = ["cleaning", "timelines", "tables", "matrices"]
 
 
 def load():
