@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["cleaning", "timelines", "tables", "matrices"]
+MODULES = ["cleaning", "timelines", "tables", "matrices", "studies"]
 
 
 def load():
