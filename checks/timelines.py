@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trialspan.functions.sizing import cut
 from trialspan.functions.timeline import positions, time_axis
 from trialspan.operators import baseline as bl
 from trialspan.operators import events as ev
@@ -422,7 +423,8 @@ from wlabel join w using (trial_id, j) group by 1""")
 def flagship(spark, sf):
     """Label intervals, v1 baseline, sliding mean with window label, label distribution."""
     ax = axis(spark, sf)
-    base = bl.baseline(labelled(spark, sf), "v1", ["sig_a"], ax, window=EARLY)
-    w = win.sliding_features(base, ax, SLIDE, ["sig_a_v1"], label="y", stats=("mean",))
+    df = labelled(spark, sf).select("trial_id", "t_s", "sample_id", "sig_a", "y")
+    base = cut(bl.baseline(df, "v1", ["sig_a"], ax, window=EARLY))
+    w = cut(win.sliding_features(base, ax, SLIDE, ["sig_a_v1"], label="y", stats=("mean",)))
     means = w.groupBy("y").agg(F.avg("sig_a_v1_mean").alias("mean_v1"))
     return quality.label_distribution(w, "y").join(means, "y")

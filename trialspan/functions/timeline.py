@@ -125,54 +125,42 @@ def running(df: DataFrame, axis: Axis, aggs: dict[str, tuple[str, Column]]) -> D
     return b.select("*", *here).join(carried, keys, "left").select(*kept, *final)
 
 
-def neighbours(df: DataFrame, axis: Axis, cols: list[str], before: int = 1, after: int = 0,
-               prefix: str = "__n") -> DataFrame:
-    """Lag/lead columns: arrays ``{prefix}_prev`` and ``{prefix}_next`` of structs.
+def neighbours(df: DataFrame, axis: Axis, cols: list[str], before: int = 1, after: int = 0) -> DataFrame:
+    """The rows around each row: struct columns ``__prev1``.. and ``__next1``.., nearest first.
 
-    Element 1 is the nearest row; the arrays are shorter at the ends of a trial. Structs hold
-    the order columns and ``cols``.
+    Structs hold the order columns and ``cols``; they are NULL beyond the ends of a trial. Inside
+    a block this is lag/lead; at a block's edge the rows come from a per-block carry of its first
+    and last few rows.
     """
     keys = [*axis.keys, BLK]
     fields = list(dict.fromkeys([*axis.order, *cols]))
-    row = F.struct(*fields)
-    asc, desc = axis.local(), Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in axis.order])
+    row, asc, wb = F.struct(*fields), axis.local(), axis.blocks()
     b = axis.blocked(df)
 
-    edge = (b.select(*dict.fromkeys([*keys, *fields]))
-            .withColumn("__r", F.row_number().over(asc)).withColumn("__q", F.row_number().over(desc))
-            .where((F.col("__r") <= after) | (F.col("__q") <= before))
-            .groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(F.when(F.col("__q") <= before, row))).alias("__tail"),
-                 F.array_sort(F.collect_list(F.when(F.col("__r") <= after, row))).alias("__head")))
-    wb = axis.blocks()
-    picked = []
+    # a row is among the first n of its block iff there is none n rows before it
+    one = F.lit(1)
+    head = F.lag(one, after).over(asc).isNull() if after else F.lit(False)
+    tail = F.lead(one, before).over(asc).isNull() if before else F.lit(False)
+    edge = (b.select(*dict.fromkeys([*keys, *fields])).withColumns({"__head": head, "__tail": tail})
+            .where("__head or __tail").groupBy(*keys)
+            .agg(F.array_sort(F.collect_list(F.when(F.col("__tail"), row))).alias("__t"),
+                 F.array_sort(F.collect_list(F.when(F.col("__head"), row))).alias("__h")))
+    carry = []
     if before:
-        picked.append(F.slice(F.reverse(F.flatten(F.collect_list("__tail").over(wb.rowsBetween(-before, -1)))),
-                              1, before).alias("__cp"))
+        carry.append(F.reverse(F.flatten(F.collect_list("__t").over(wb.rowsBetween(-before, -1)))).alias("__cp"))
     if after:
-        picked.append(F.slice(F.flatten(F.collect_list("__head").over(wb.rowsBetween(1, after))),
-                              1, after).alias("__cn"))
-    carried = edge.select(*keys, *picked)
-
-    out = b.select(
-        "*",
-        *([F.reverse(F.collect_list(row).over(asc.rowsBetween(-before, -1))).alias("__lp")] if before else []),
-        *([F.collect_list(row).over(asc.rowsBetween(1, after)).alias("__ln")] if after else []),
-    ).join(carried, keys, "left")
-    final = list(df.columns)
-    empty = F.array().cast(f"array<{_struct_ddl(df, fields)}>")
-    if before:
-        final.append(F.slice(F.concat(F.col("__lp"), F.coalesce(F.col("__cp"), empty)), 1, before)
-                     .alias(prefix + "_prev"))
-    if after:
-        final.append(F.slice(F.concat(F.col("__ln"), F.coalesce(F.col("__cn"), empty)), 1, after)
-                     .alias(prefix + "_next"))
-    return out.select(*final)
-
-
-def _struct_ddl(df: DataFrame, fields: list[str]) -> str:
-    types = dict(df.dtypes)
-    return "struct<" + ",".join(f"`{f}`:{types[f]}" for f in fields) + ">"
+        carry.append(F.flatten(F.collect_list("__h").over(wb.rowsBetween(1, after))).alias("__cn"))
+    out = b.select("*", *[F.lag(row, i).over(asc).alias(f"__l{i}") for i in range(1, before + 1)],
+                   *[F.lead(row, i).over(asc).alias(f"__r{i}") for i in range(1, after + 1)]
+                   ).join(edge.select(*keys, *carry), keys, "left")
+
+    def pick(side: str, carried: str, i: int) -> Column:
+        local = sum((F.col(f"__{side}{j}").isNotNull().cast("int") for j in range(1, i)), F.lit(0))
+        return F.coalesce(F.col(f"__{side}{i}"), F.get(F.col(carried), F.lit(i - 1) - local))
+
+    return out.select(*df.columns,
+                      *[pick("l", "__cp", i).alias(f"__prev{i}") for i in range(1, before + 1)],
+                      *[pick("r", "__cn", i).alias(f"__next{i}") for i in range(1, after + 1)])
 
 
 def global_positions(df: DataFrame, order: list[str], out: str = "pos") -> DataFrame:

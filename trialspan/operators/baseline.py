@@ -109,26 +109,26 @@ def band_columns(bands: DataFrame, subject: str, wanted: Sequence[tuple[str, str
 
 
 def gradient(df: DataFrame, axis: Axis, cols: Sequence[str], order: int = 1) -> DataFrame:
-    """Add first (and second) time derivatives, from one lag/lead pass."""
-    reach = order
-    near = neighbours(df, axis, list(cols), before=reach, after=reach)
+    """Add first (and second) time derivatives, from one lag/lead pass.
+
+    The second derivative is the gradient of the first, so it needs two rows on either side.
+    """
+    near = neighbours(df, axis, list(cols), before=order, after=order)
 
     def at(i: int, c: str) -> Column:
         if i == 0:
             return F.col(c).cast("double")
-        side = F.col("__n_prev" if i < 0 else "__n_next")
-        return F.get(side, abs(i) - 1)[c].cast("double")
-
-    ts = axis.ts
-
-    def first(i: int, c: str) -> Column:
-        return gradient_at(at(i - 1, ts), at(i - 1, c), at(i, ts), at(i, c), at(i + 1, ts), at(i + 1, c))
+        return F.col(f"__prev{-i}" if i < 0 else f"__next{i}")[c].cast("double")
 
-    exprs = [first(0, c).alias(c + DERIVATIVES[1]) for c in cols]
+    ts, reach = axis.ts, range(1 - order, order)
+    firsts = near.select("*", *[
+        gradient_at(at(i - 1, ts), at(i - 1, c), at(i, ts), at(i, c), at(i + 1, ts), at(i + 1, c)).alias(f"__d{i}_{k}")
+        for k, c in enumerate(cols) for i in reach])
+    out = [F.col(f"__d0_{k}").alias(c + DERIVATIVES[1]) for k, c in enumerate(cols)]
     if order == 2:
-        exprs += [gradient_at(at(-1, ts), first(-1, c), at(0, ts), first(0, c), at(1, ts), first(1, c))
-                  .alias(c + DERIVATIVES[2]) for c in cols]
-    return near.select(*df.columns, *exprs)
+        out += [gradient_at(at(-1, ts), F.col(f"__d-1_{k}"), at(0, ts), F.col(f"__d0_{k}"), at(1, ts),
+                            F.col(f"__d1_{k}")).alias(c + DERIVATIVES[2]) for k, c in enumerate(cols)]
+    return firsts.select(*df.columns, *out)
 
 
 def combine_baselines(df: DataFrame, axis: Axis, plan: Mapping[str, Sequence[str]], derivatives: bool = True,

@@ -89,7 +89,6 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, p: int = 2, skip_self:
 
     ``skip_self`` leaves out the reference with the query's own id. Ties break by id.
     """
-    refs = cut(refs)  # read several times below
     pv = choose_pivots(refs, pivots)
     if not len(pv):
         return queries.select("id", F.lit(None).cast("bigint").alias("rid"), F.lit(None).cast("double").alias("dist"),

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio
-from ..functions.sizing import attach, attach_one
+from ..functions.sizing import attach, attach_one, cut
 from ..functions.timeline import Axis, neighbours
 
 WINDOWS_PER_BLOCK = 4096
@@ -152,8 +152,8 @@ def sliding_features(df: DataFrame, axis: Axis, slide: Slide, cols: Sequence[str
         outputs.append(F.col("__y").alias(label))
     if pairs:
         near = neighbours(df, axis, list(pairs), before=1)
-        prev = F.get(F.col("__n_prev"), 0)
-        made = near.where(F.size("__n_prev") > 0)
+        prev = F.col("__prev1")
+        made = near.where(prev.isNotNull())
         aggs = []
         for i, c in enumerate(pairs):
             d = F.col(c).cast("double") - prev[c].cast("double")
@@ -237,7 +237,7 @@ def zscore(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), zero: flo
 
 def standardize_windows(windows: DataFrame, axis: Axis, cols: Sequence[str]) -> DataFrame:
     """``_s1`` (inside the trial, zero deviation gives 0) and ``_s2`` (over all trials) of each column."""
-    keys = list(axis.keys)
+    keys, windows = list(axis.keys), cut(windows)
     aggs = []
     for c in cols:
         aggs += [F.avg(c).alias(f"__a1_{c}"), F.stddev_pop(c).alias(f"__d1_{c}")]
@@ -254,7 +254,9 @@ def feature_matrix(df: DataFrame, axis: Axis, slide: Slide, cols: Sequence[str],
                    rate: str | None = None, pupils: Sequence[str] = (), response: str | None = None,
                    correct: str | None = None, keep_raw: bool = False) -> DataFrame:
     """The wide feature row of every window: statistics and extras, in s1 and s2, plus the label."""
-    prepared, use, pairs = df, list(cols), list(pupils)
+    wanted = [*axis.keys, *axis.order, *cols, label, *pupils, *[c for c in (rate, response, correct) if c]]
+    # read by several branches below: written once, with the needed columns only
+    prepared, use, pairs = cut(df.select(*dict.fromkeys(wanted))), list(cols), list(pupils)
     if rate:
         prepared = prepared.withColumn("rr", ratio(F.lit(60000.0), F.col(rate)))
         use.append("rr")
