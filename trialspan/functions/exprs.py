@@ -30,24 +30,13 @@ def nan_to_null(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def slope(t0: Column, v0: Column, t1: Column, v1: Column) -> Column:
-    return ratio(v1 - v0, t1 - t0)
+def two_slopes(h0: Column, s0: Column, h1: Column, s1: Column) -> Column:
+    """Second-order derivative on an uneven axis from the slopes before and after a row.
 
-
-def gradient_at(tm: Column, vm: Column, t: Column, v: Column, tp: Column, vp: Column) -> Column:
-    """Second-order derivative estimate on an uneven axis.
-
-    ``tm``/``tp`` are the neighbour times; a NULL neighbour time means an end of the trial,
-    where the one-sided difference is used.
+    The inner formula is the distance-weighted mean of both slopes; a NULL distance means an end
+    of the trial, where the one slope there is counts.
     """
-    hs, hd = t - tm, tp - t
-    inner = ratio(hs * hs * vp + (hd * hd - hs * hs) * v - hd * hd * vm, hs * hd * (hd + hs))
-    return (
-        F.when(tm.isNull() & tp.isNull(), F.lit(None).cast("double"))
-        .when(tm.isNull(), slope(t, v, tp, vp))
-        .when(tp.isNull(), slope(tm, vm, t, v))
-        .otherwise(inner)
-    )
+    return F.when(h0.isNull(), s1).when(h1.isNull(), s0).otherwise(ratio(h1 * s0 + h0 * s1, h0 + h1))
 
 
 def any_null(cols: list[str]) -> Column:

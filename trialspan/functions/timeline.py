@@ -126,11 +126,11 @@ def running(df: DataFrame, axis: Axis, aggs: dict[str, tuple[str, Column]]) -> D
 
 
 def neighbours(df: DataFrame, axis: Axis, cols: list[str], before: int = 1, after: int = 0) -> DataFrame:
-    """The rows around each row: struct columns ``__prev1``.. and ``__next1``.., nearest first.
+    """The rows around each row: columns ``__prev{i}_{field}`` and ``__next{i}_{field}``.
 
-    Structs hold the order columns and ``cols``; they are NULL beyond the ends of a trial. Inside
-    a block this is lag/lead; at a block's edge the rows come from a per-block carry of its first
-    and last few rows.
+    Fields are the order columns and ``cols``, ``i`` = 1 is the nearest row; all are NULL beyond
+    the ends of a trial. Inside a block this is lag/lead; at a block's edge the rows come from a
+    per-block carry of its first and last few rows.
     """
     keys = [*axis.keys, BLK]
     fields = list(dict.fromkeys([*axis.order, *cols]))
@@ -150,17 +150,19 @@ def neighbours(df: DataFrame, axis: Axis, cols: list[str], before: int = 1, afte
         carry.append(F.reverse(F.flatten(F.collect_list("__t").over(wb.rowsBetween(-before, -1)))).alias("__cp"))
     if after:
         carry.append(F.flatten(F.collect_list("__h").over(wb.rowsBetween(1, after))).alias("__cn"))
-    out = b.select("*", *[F.lag(row, i).over(asc).alias(f"__l{i}") for i in range(1, before + 1)],
-                   *[F.lead(row, i).over(asc).alias(f"__r{i}") for i in range(1, after + 1)]
-                   ).join(edge.select(*keys, *carry), keys, "left")
-
-    def pick(side: str, carried: str, i: int) -> Column:
-        local = sum((F.col(f"__{side}{j}").isNotNull().cast("int") for j in range(1, i)), F.lit(0))
-        return F.coalesce(F.col(f"__{side}{i}"), F.get(F.col(carried), F.lit(i - 1) - local))
-
-    return out.select(*df.columns,
-                      *[pick("l", "__cp", i).alias(f"__prev{i}") for i in range(1, before + 1)],
-                      *[pick("r", "__cn", i).alias(f"__next{i}") for i in range(1, after + 1)])
+    sides = [("prev", F.lag, "__cp", before), ("next", F.lead, "__cn", after)]
+    local = [fn(f, i).over(asc).alias(f"__{side}{i}_{f}") for side, fn, _, n in sides for i in range(1, n + 1)
+             for f in fields]
+    out = b.select("*", *local).join(edge.select(*keys, *carry), keys, "left")
+
+    def near(side: str, carried: str, i: int, f: str) -> Column:
+        here = lambda j: F.col(f"__{side}{j}_{axis.ts}").isNotNull()
+        inside = sum((here(j).cast("int") for j in range(1, i)), F.lit(0))
+        return F.when(here(i), F.col(f"__{side}{i}_{f}")).otherwise(
+            F.get(F.col(carried), F.lit(i - 1) - inside)[f]).alias(f"__{side}{i}_{f}")
+
+    return out.select(*df.columns, *[near(side, carried, i, f) for side, _, carried, n in sides
+                                     for i in range(1, n + 1) for f in fields])
 
 
 def global_positions(df: DataFrame, order: list[str], out: str = "pos") -> DataFrame:

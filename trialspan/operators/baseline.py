@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import gradient_at, ratio
+from ..functions.exprs import ratio, two_slopes
 from ..functions.sizing import attach
 from ..functions.timeline import Axis, neighbours
 
@@ -113,21 +113,25 @@ def gradient(df: DataFrame, axis: Axis, cols: Sequence[str], order: int = 1) ->
 
     The second derivative is the gradient of the first, so it needs two rows on either side.
     """
-    near = neighbours(df, axis, list(cols), before=order, after=order)
+    near, ts = neighbours(df, axis, list(cols), before=order, after=order), axis.ts
 
     def at(i: int, c: str) -> Column:
-        if i == 0:
-            return F.col(c).cast("double")
-        return F.col(f"__prev{-i}" if i < 0 else f"__next{i}")[c].cast("double")
-
-    ts, reach = axis.ts, range(1 - order, order)
-    firsts = near.select("*", *[
-        gradient_at(at(i - 1, ts), at(i - 1, c), at(i, ts), at(i, c), at(i + 1, ts), at(i + 1, c)).alias(f"__d{i}_{k}")
-        for k, c in enumerate(cols) for i in reach])
+        name = c if i == 0 else f"__prev{-i}_{c}" if i < 0 else f"__next{i}_{c}"
+        return F.col(name).cast("double")
+
+    # step i lies between the rows i - 1 and i
+    steps, points = range(1 - order, order + 1), range(1 - order, order)
+    gaps = near.select("*", *[(at(i, ts) - at(i - 1, ts)).alias(f"__h{i}") for i in steps])
+    slopes = gaps.select("*", *[ratio(at(i, c) - at(i - 1, c), F.col(f"__h{i}")).alias(f"__s{i}_{k}")
+                                for i in steps for k, c in enumerate(cols)])
+    firsts = slopes.select("*", *[
+        two_slopes(F.col(f"__h{i}"), F.col(f"__s{i}_{k}"), F.col(f"__h{i + 1}"), F.col(f"__s{i + 1}_{k}"))
+        .alias(f"__d{i}_{k}") for i in points for k, _ in enumerate(cols)])
     out = [F.col(f"__d0_{k}").alias(c + DERIVATIVES[1]) for k, c in enumerate(cols)]
     if order == 2:
-        out += [gradient_at(at(-1, ts), F.col(f"__d-1_{k}"), at(0, ts), F.col(f"__d0_{k}"), at(1, ts),
-                            F.col(f"__d1_{k}")).alias(c + DERIVATIVES[2]) for k, c in enumerate(cols)]
+        step = lambda i, k: ratio(F.col(f"__d{i}_{k}") - F.col(f"__d{i - 1}_{k}"), F.col(f"__h{i}"))
+        out += [two_slopes(F.col("__h0"), step(0, k), F.col("__h1"), step(1, k)).alias(c + DERIVATIVES[2])
+                for k, c in enumerate(cols)]
     return firsts.select(*df.columns, *out)
 
 

@@ -152,11 +152,11 @@ def sliding_features(df: DataFrame, axis: Axis, slide: Slide, cols: Sequence[str
         outputs.append(F.col("__y").alias(label))
     if pairs:
         near = neighbours(df, axis, list(pairs), before=1)
-        prev = F.col("__prev1")
-        made = near.where(prev.isNotNull())
+        before = F.col(f"__prev1_{axis.ts}")
+        made = near.where(before.isNotNull())
         aggs = []
         for i, c in enumerate(pairs):
-            d = F.col(c).cast("double") - prev[c].cast("double")
+            d = F.col(c).cast("double") - F.col(f"__prev1_{c}").cast("double")
             over = F.count_if(F.abs(d) > F.lit(pair_limit)) if pair_limit is not None else F.lit(None).cast("bigint")
             aggs += [F.count(d).alias(f"__dn{i}"), F.sum(d).alias(f"__ds{i}"), F.sum(d * d).alias(f"__dq{i}"),
                      F.max(d).alias(f"__dx{i}"), over.alias(f"__do{i}")]
@@ -165,7 +165,7 @@ def sliding_features(df: DataFrame, axis: Axis, slide: Slide, cols: Sequence[str
                       F.sum(f"__do{i}").alias(f"__do{i}")]
             outputs += [F.col(f"__d{k}{i}").alias(f"{c}_diff_{name}") for k, name in
                         (("n", "n"), ("s", "sum"), ("q", "sumsq"), ("x", "max"), ("o", "over"))]
-        linked = made.groupBy(*keys, slide.pane(prev[axis.ts]).alias("lo"), slide.pane(ts).alias("hi")).agg(*aggs)
+        linked = made.groupBy(*keys, slide.pane(before).alias("lo"), slide.pane(ts).alias("hi")).agg(*aggs)
         parts = linked if parts is None else parts.unionByName(linked, allowMissingColumns=True)
 
     return spread(df, parts, axis, slide, final).select(*keys, "window", *outputs)
