@@ -1,11 +1,13 @@
 """Exact k-nearest-neighbour join by pivots and blocks.
 
-Reference rows are assigned to their nearest pivot. From the pivots' radii and their k closest
-rows every query gets an upper bound of its k-th distance, and visits only cells whose ball
-can hold something nearer (triangle inequality, so no neighbour is lost). Large cells are
-split into blocks and crowded blocks get several query groups, so one task sees a bounded
-number of rows on both sides; distances live in NumPy blocks inside the task and only the k
-best per query and block are emitted.
+Exact copies are folded first: of each distinct reference vector only the k smallest ids can ever
+be among the k nearest (ties go by id), and equal queries share one search. The distinct
+references are assigned to their nearest pivot. From the pivots' radii and their k closest rows
+every query gets an upper bound of its k-th distance, and visits only cells whose ball can hold
+something nearer (triangle inequality, so no neighbour is lost). Large cells are split into
+blocks and crowded blocks get several query groups, so one task sees a bounded number of rows on
+both sides; distances live in NumPy blocks inside the task and only the k best per query and
+block are emitted.
 """
 
 from __future__ import annotations
@@ -45,26 +47,69 @@ def _stack(series: pd.Series) -> np.ndarray:
     return np.stack(series.to_numpy()).astype("float64")
 
 
-def _best(q: pd.DataFrame, r: pd.DataFrame, k: int, p: int, skip_self: bool) -> pd.DataFrame:
-    """The k nearest rows of one block for every query of one group (ties by id)."""
-    if not len(q) or not len(r):
+def _candidates(a: np.ndarray, b: np.ndarray, k: int, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs and exact distances that surely contain the k nearest of every row of ``a``."""
+    if p == 1:
+        rough, slack = distances(a, b, 1), 0.0
+    else:
+        a2, b2 = (a * a).sum(1), (b * b).sum(1)
+        rough = a2[:, None] + b2[None, :] - 2.0 * (a @ b.T)
+        slack = (1e-9 * (a2 + b2.max()))[:, None]
+    kth = np.partition(rough, k - 1, axis=1)[:, k - 1:k] if rough.shape[1] > k else np.inf
+    qi, ri = np.nonzero(rough <= kth + slack)
+    if p == 1:
+        return qi, ri, rough[qi, ri]
+    exact = np.empty(len(qi))
+    step = max(1, _CHUNK // a.shape[1])
+    for s in range(0, len(qi), step):
+        diff = a[qi[s:s + step]] - b[ri[s:s + step]]
+        exact[s:s + step] = np.sqrt((diff * diff).sum(1))
+    return qi, ri, exact
+
+
+def _first(group: np.ndarray, k: int) -> np.ndarray:
+    """Mask of the first k entries of every run of a sorted array."""
+    start = np.r_[0, np.nonzero(np.diff(group))[0] + 1]
+    return np.arange(len(group)) - np.repeat(start, np.diff(np.r_[start, len(group)])) < k
+
+
+def _best(q: pd.DataFrame, r: pd.DataFrame, k: int, p: int) -> pd.DataFrame:
+    """The k nearest ids of one reference block for every query of one group (ties by id)."""
+    out = []
+    if len(q) and len(r):
+        qv, rv = _stack(q["v"]), _stack(r["v"])
+        qid, lead = q["id"].to_numpy(), r["id"].to_numpy()
+        lens = r["ids"].map(len).to_numpy()
+        every, begin = np.concatenate(r["ids"].to_numpy()), np.r_[0, np.cumsum(lens)[:-1]]
+        step = max(1, _CHUNK // len(r))
+        for s in range(0, len(q), step):
+            qi, ri, d = _candidates(qv[s:s + step], rv, k, p)
+            order = np.lexsort((lead[ri], d, qi))
+            order = order[_first(qi[order], k)]
+            qi, ri, d = qi[order], ri[order], d[order]
+            # one entry per copy of the vector
+            n = lens[ri]
+            at = np.repeat(begin[ri] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            qi, d, ids = np.repeat(qi, n), np.repeat(d, n), every[at]
+            order = np.lexsort((ids, d, qi))
+            order = order[_first(qi[order], k)]
+            out.append(pd.DataFrame({"id": qid[s:s + step][qi[order]], "rid": ids[order], "dist": d[order]}))
+    if not out:
         return pd.DataFrame({"id": [], "rid": [], "dist": []}).astype({"id": "int64", "rid": "int64"})
-    r = r.sort_values("id")
-    qv, rv = _stack(q["v"]), _stack(r["v"])
-    rid, qid = r["id"].to_numpy(), q["id"].to_numpy()
-    ids, rids, ds = [], [], []
-    step = max(1, _CHUNK // len(r))
-    for s in range(0, len(q), step):
-        d = distances(qv[s:s + step], rv, p)
-        if skip_self:
-            d[qid[s:s + step, None] == rid[None, :]] = np.inf
-        order = np.argsort(d, axis=1, kind="stable")[:, :k]
-        near = np.take_along_axis(d, order, 1)
-        keep = np.isfinite(near)
-        ids.append(np.repeat(qid[s:s + step], order.shape[1]).reshape(order.shape)[keep])
-        rids.append(rid[order][keep])
-        ds.append(near[keep])
-    return pd.DataFrame({"id": np.concatenate(ids), "rid": np.concatenate(rids), "dist": np.concatenate(ds)})
+    return pd.concat(out, ignore_index=True)
+
+
+def fold_copies(refs: DataFrame, need: int) -> DataFrame:
+    """Distinct vectors with their ``need`` smallest ids; (id, ids, v), ``id`` is the smallest.
+
+    A group of copies is ranked in salted parts first, so no task sees all of a large one.
+    """
+    part = Window.partitionBy("v", "salt").orderBy("id")
+    few = (refs.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
+           .withColumn("r", F.row_number().over(part)).where(F.col("r") <= need)
+           .withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= need))
+    return few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(
+        F.get("ids", 0).alias("id"), "ids", "v")
 
 
 def choose_pivots(refs: DataFrame, n: int) -> np.ndarray:
@@ -80,7 +125,7 @@ def _assign(refs: DataFrame, pivots: np.ndarray, p: int) -> DataFrame:
                 d = distances(_stack(b["v"]), pivots, p)
                 cell = d.argmin(1)
                 yield b.assign(cell=cell.astype("int32"), pd=d[np.arange(len(b)), cell])
-    return refs.mapInPandas(fn, "id long, v array<double>, cell int, pd double")
+    return refs.mapInPandas(fn, "id long, ids array<long>, v array<double>, cell int, pd double")
 
 
 def knn_join(queries: DataFrame, refs: DataFrame, k: int, p: int = 2, skip_self: bool = False,
@@ -89,12 +134,14 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, p: int = 2, skip_self:
 
     ``skip_self`` leaves out the reference with the query's own id. Ties break by id.
     """
-    pv = choose_pivots(refs, pivots)
+    need = k + 1 if skip_self else k
+    folded = cut(fold_copies(refs, need))
+    asked = queries.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
+    pv = choose_pivots(folded, pivots)
     if not len(pv):
         return queries.select("id", F.lit(None).cast("bigint").alias("rid"), F.lit(None).cast("double").alias("dist"),
                               F.lit(None).cast("int").alias("rank")).where(F.lit(False))
-    celled = cut(_assign(refs, pv, p))
-    need = k + 1 if skip_self else k
+    celled = cut(_assign(folded, pv, p))
 
     # per cell: size, radius and the distances of the rows closest to the pivot
     sizes = {r["cell"]: (r["n"], r["rad"]) for r in
@@ -124,7 +171,7 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, p: int = 2, skip_self:
             yield pd.DataFrame({"id": b["id"].to_numpy()[qi], "v": b["v"].to_numpy()[qi],
                                 "cell": cells[ci].astype("int32")})
 
-    visits = cut(queries.mapInPandas(visit, "id long, v array<double>, cell int"))
+    visits = cut(asked.mapInPandas(visit, "id long, v array<double>, cell int"))
     groups = {r["cell"]: int(-(-r["n"] // query_block)) for r in
               visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_blk = F.create_map(*[x for c, b in blocks.items() for x in (F.lit(c), F.lit(b))])
@@ -132,13 +179,20 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, p: int = 2, skip_self:
 
     left = visits.select("id", "v", "cell", F.pmod(F.xxhash64("id"), n_grp[F.col("cell")]).alias("g"),
                          F.explode(F.sequence(F.lit(0), n_blk[F.col("cell")] - 1)).alias("blk"))
-    right = (celled.select("id", "v", "cell", F.pmod(F.hash("id"), n_blk[F.col("cell")]).alias("blk"),
+    right = (celled.select("id", "ids", "v", "cell", F.pmod(F.hash("id"), n_blk[F.col("cell")]).alias("blk"),
                            n_grp[F.col("cell")].alias("ng")).where("ng > 0")
-             .select("id", "v", "cell", "blk", F.explode(F.expr("sequence(0L, cast(ng - 1 as bigint))")).alias("g")))
+             .select("id", "ids", "v", "cell", "blk", F.explode(F.expr("sequence(0L, cast(ng - 1 as bigint))")).alias("g")))
     found = (left.groupBy("cell", "blk", "g").cogroup(right.groupBy("cell", "blk", "g"))
-             .applyInPandas(lambda q, r: _best(q, r, k, p, skip_self), "id long, rid long, dist double"))
+             .applyInPandas(lambda q, r: _best(q, r, need, p), "id long, rid long, dist double"))
     best = Window.partitionBy("id").orderBy("dist", "rid")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    lists = (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= need)
+             .groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dist", "rid"))).alias("near")))
+    # back to every query with that vector
+    per_vector = asked.join(lists, "id").select("v", "near")
+    near = F.filter("near", lambda x: x["rid"] != F.col("id")) if skip_self else F.col("near")
+    return (queries.join(per_vector, "v").select("id", F.posexplode(F.slice(near, 1, k)).alias("rank", "x"))
+            .select("id", F.col("x.rid").alias("rid"), F.col("x.dist").alias("dist"),
+                    (F.col("rank") + 1).alias("rank")))
 
 
 def knn_classify(train: DataFrame, test: DataFrame, id_col: str, cols: Sequence[str], y: str, k: int,

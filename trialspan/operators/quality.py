@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import any_null, ratio
 from ..functions.sizing import attach, attach_one
+from ..functions.timeline import Axis, running, sorted_axis
 
 
 def null_profile(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -79,10 +80,35 @@ def onset_latency(df: DataFrame, key: str, ts: str, event: str, onset: str, leve
         "latency", F.col("t_onset") - F.col("t_level"))
 
 
+def quantiles(long: DataFrame, qs: Sequence[float], feature: str = "feature", x: str = "x") -> DataFrame:
+    """Exact quantiles with linear interpolation per feature of a long table, columns ``q0``, ``q1``...
+
+    Values are counted, then ranked over sort ranges of (feature, value), so neither a feature nor
+    its distinct values have to fit one task.
+    """
+    counts = long.where(F.col(x).isNotNull()).groupBy(feature, x).agg(F.count(F.lit(1)).alias("__c"))
+    ranged, axis = sorted_axis(counts, [feature, x])
+    run = running(ranged, Axis((feature,), (x,), axis.block),
+                  {"__hi": ("sum", F.col("__c")), "__n": ("total", F.col("__c"))})
+    aggs = []
+    for i, q in enumerate(qs):
+        at = F.lit(float(q)) * (F.col("__n") - 1)
+        for side, pos in (("a", F.floor(at)), ("b", F.ceil(at))):
+            here = (pos < F.col("__hi")) & (pos >= F.col("__hi") - F.col("__c"))
+            aggs.append(F.max(F.when(here, F.col(x))).alias(f"__{side}{i}"))
+        aggs.append(F.max(at - F.floor(at)).alias(f"__f{i}"))
+    picked = run.groupBy(feature).agg(*aggs)
+    return picked.select(feature, *[(F.col(f"__a{i}") + (F.col(f"__b{i}") - F.col(f"__a{i}")) * F.col(f"__f{i}"))
+                                    .alias(f"q{i}") for i in range(len(qs))])
+
+
 def latency_summary(lat: DataFrame) -> DataFrame:
+    """Mean, median, max, min, range and population deviation over the trials."""
     v = F.col("latency").cast("double")
-    return lat.agg(F.avg(v).alias("mean"), F.median(v).alias("median"), F.max(v).alias("max"), F.min(v).alias("min"),
+    half = quantiles(lat.select(F.lit("latency").alias("feature"), v.alias("x")), [0.5])
+    base = lat.agg(F.avg(v).alias("mean"), F.max(v).alias("max"), F.min(v).alias("min"),
                    (F.max(v) - F.min(v)).alias("range"), F.stddev_pop(v).alias("std"))
+    return attach_one(base, half.agg(F.max("q0").alias("median")))
 
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -91,9 +117,12 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     parts = F.array(*[F.struct(
         F.lit(c).alias("feature"), F.count(c).alias("n"), (n - F.count(c)).alias("n_null"),
         F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"),
-        F.percentile(c, 0.25).alias("q25"), F.percentile(c, 0.5).alias("q50"), F.percentile(c, 0.75).alias("q75"),
         F.max(c).cast("double").alias("max")) for c in cols])
-    return df.agg(parts.alias("p")).select(F.inline("p"))
+    values = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"))
+                                          for c in cols])))
+    quarts = quantiles(values, [0.25, 0.5, 0.75])
+    return df.agg(parts.alias("p")).select(F.inline("p")).join(quarts, "feature", "left").withColumnsRenamed(
+        {"q0": "q25", "q1": "q50", "q2": "q75"})
 
 
 def label_distribution(df: DataFrame, label: str, keys: Sequence[str] = ()) -> DataFrame:
