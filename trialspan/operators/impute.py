@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import any_null
 from ..functions.sizing import attach_one, cut
 from .clean import drop_null_rows
-from .neighbours import QUERY_BLOCK, REF_BLOCK, knn_join, vectors
+from .neighbours import QUERY_BLOCK, REF_BLOCK, fold_copies, knn_join
 
 # The imputation phases of the configuration.
 PHASES = ("none", "pre_feature", "post_feature_remove_rows", "post_feature_knn")
@@ -69,13 +69,13 @@ def _donor_block(q: pd.DataFrame, r: pd.DataFrame, k: int) -> pd.DataFrame:
     qv, rv = np.stack(q["v"].to_numpy()).astype("float64"), np.stack(r["v"].to_numpy()).astype("float64")
     rid, parts = r["id"].to_numpy(), []
     present = ~np.isnan(rv)
-    for i, (qid, x) in enumerate(zip(q["id"].to_numpy(), qv)):
+    for qid, x in zip(q["id"].to_numpy(), qv):
         both = present & ~np.isnan(x)[None, :]
         n = both.sum(1)
         sq = np.where(both, rv - x[None, :], 0.0)
         with np.errstate(divide="ignore", invalid="ignore"):
             d = np.sqrt((sq * sq).sum(1) * len(x) / n)
-        d[(n == 0) | (rid == qid)] = np.inf
+        d[n == 0] = np.inf
         for dim in np.nonzero(np.isnan(x))[0]:
             cand = np.where(present[:, dim], d, np.inf)
             best = np.argsort(cand, kind="stable")[:k]
@@ -96,17 +96,25 @@ def knn_impute_shared(df: DataFrame, id_col: str, cols: Sequence[str], k: int =
     nan = F.lit(float("nan"))
     packed = cut(df.select(F.col(id_col).alias("id"), any_null(list(cols)).alias("__q"), F.array(*[
         F.coalesce(F.col(c).cast("double"), nan) for c in cols]).alias("v")))
-    n_ref, n_q = packed.agg(F.count(F.lit(1)), F.count_if("__q")).first()
-    n_blk, n_grp = max(1, -(-n_ref // ref_block)), max(1, -(-n_q // query_block))
-    left = packed.where("__q").select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n_grp)).alias("g"),
-                                      F.explode(F.expr(f"sequence(0L, {n_blk - 1}L)")).alias("blk"))
-    right = packed.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n_blk)).alias("blk"),
-                          F.explode(F.expr(f"sequence(0L, {n_grp - 1}L)")).alias("g"))
+    # copies: the k + 1 smallest ids stand for all, and equal rows share one search
+    refs = cut(fold_copies(packed.select("id", "v"), k + 1).select(F.explode("ids").alias("id"), "v"))
+    asked = packed.where("__q").select("id", "v")
+    rows = cut(asked.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"))
+    n_blk, n_grp = max(1, -(-refs.count() // ref_block)), max(1, -(-rows.count() // query_block))
+    left = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n_grp)).alias("g"),
+                       F.explode(F.expr(f"sequence(0L, {n_blk - 1}L)")).alias("blk"))
+    right = refs.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n_blk)).alias("blk"),
+                        F.explode(F.expr(f"sequence(0L, {n_grp - 1}L)")).alias("g"))
     found = (left.groupBy("blk", "g").cogroup(right.groupBy("blk", "g"))
-             .applyInPandas(lambda q, r: _donor_block(q, r, k), "id long, dim int, rid long, dist double, value double"))
+             .applyInPandas(lambda q, r: _donor_block(q, r, k + 1),
+                            "id long, dim int, rid long, dist double, value double"))
     best = Window.partitionBy("id", "dim").orderBy("dist", "rid")
-    cells = (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-             .groupBy("id", "dim").agg(F.avg("value").alias("value")))
+    lists = (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1)
+             .groupBy("id", "dim").agg(F.array_sort(F.collect_list(F.struct("dist", "rid", "value"))).alias("near")))
+    per_vector = rows.join(lists, "id").select("v", "dim", "near")
+    near = F.slice(F.filter("near", lambda x: x["rid"] != F.col("id")), 1, k)
+    cells = asked.join(per_vector, "v").select("id", "dim", F.try_divide(
+        F.aggregate(near, F.lit(0.0), lambda acc, x: acc + x["value"]), F.size(near).cast("double")).alias("value"))
     wide = cells.groupBy(F.col("id").alias(id_col)).agg(*[
         F.max(F.when(F.col("dim") == i, F.col("value"))).alias(f"__k_{c}") for i, c in enumerate(cols)])
     means = df.agg(*[F.avg(c).alias(f"__m_{c}") for c in cols])
