@@ -316,11 +316,21 @@ def _(spark, sf):
         "rec_%02d_DC%d_x", "subject_id", F.col("trial_id") % 7 + 1)).select("name", "sample_id", "sig_a")
     # one folder per name on write; the folder name takes the place of the file name
     named.write.partitionBy("name").option("header", True).csv(root)
-    df = spark.read.schema("sample_id long, sig_a double").option("header", True).option(
-        "recursiveFileLookup", True).csv(root)
-    part = lambda i: F.regexp_extract(F.col("_metadata.file_path"), src.SIDE_FILE, i)
-    return df.groupBy(F.concat(part(1), F.lit("-0"), part(2)).alias("trial_id")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("sig_a").alias("total"))
+    side = src.read_side_files(spark, f"{root}/*/*.csv", "sample_id long, sig_a double")
+    return side.groupBy("trial_id").agg(F.count(F.lit(1)).alias("n"), F.sum("sig_a").alias("total"))
+
+
+@check("read_band_baseline", "subject:s, band:s, channel:s, value:d", " union all ".join(f"""
+select printf('%02d', row_number() over (order by s_suppkey)) as subject, '{b}' as band, '{c}' as channel,
+  s_acctbal * {k} as value from supplier""" for b, c, k in (("delta", "Fz", 1), ("delta", "C3", 2), ("theta", "Fz", 3),
+                                                           ("theta", "C3", 4))))
+def _(spark, sf):
+    root = scratch(spark, "bands")
+    sup = table(spark, sf, "supplier").orderBy("s_suppkey")
+    for i, band in enumerate(("delta", "theta")):
+        sup.select((F.col("s_acctbal") * (2 * i + 1)).alias("Fz"), (F.col("s_acctbal") * (2 * i + 2)).alias("C3")) \
+            .write.option("header", True).csv(f"{root}/EEG_baseline_{band}_all")
+    return src.read_band_baseline(spark, f"{root}/*/*.csv")
 
 
 @check("read_subject_dim", "subject:s, resting:d", """
@@ -328,7 +338,7 @@ select printf('%02d', row_number() over (order by s_suppkey)) as subject, s_acct
 qualify row_number() over (order by s_suppkey desc) > 1""")
 def _(spark, sf):
     path = scratch(spark, "dim")
-    table(spark, sf, "supplier").orderBy("s_suppkey").coalesce(1).select(
+    table(spark, sf, "supplier").orderBy("s_suppkey").select(
         F.col("s_acctbal").alias("resting HR [seated]"), "s_name").write.option("header", True).csv(path)
     return src.read_subject_dim(spark, path, {"resting HR [seated]": "resting"}, drop_last=True)
 

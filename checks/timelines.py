@@ -75,7 +75,7 @@ left join (select trial_id, min(pos) as m from placed where event = 'marker' gro
 left join ({SIDE}) s on s.trial_id = p.trial_id and s.i = p.pos - k.m""")
 def _(spark, sf):
     side = table(spark, sf, "events").where("event_type = 'view'").selectExpr(
-        "user_id as trial_id", "unix_micros(cast(ts as timestamp)) as us", "event_id", "value as sig_a")
+        "user_id as trial_id", "timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts) as us", "event_id", "value as sig_a")
     ax = axis(spark, sf)
     step = float(ax.block.split(" / ")[1].split(")")[0]) * 1e6
     return ev.slot_in(signals(spark, sf), side, ax, time_axis("trial_id", "us", ("event_id",), step), "marker",

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.timeline import Axis, running
 from ..operators.clean import floats_to_null, split_trial_id
 
 # The parts of a side-file name, and the band in a baseline file name.
@@ -58,46 +59,46 @@ def select_device(df: DataFrame, token: str, keep: Sequence[str] = ()) -> DataFr
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
-def _file(df: DataFrame) -> DataFrame:
-    return df.withColumn("__file", F.regexp_extract(F.col("_metadata.file_path"), r"[^/]+$", 0))
+def _located(df: DataFrame) -> DataFrame:
+    """Where each line was read: path, split offset and order inside the split."""
+    return df.withColumns({"__file": F.col("_metadata.file_path"), "__at": F.col("_metadata.file_block_start"),
+                           "__o": F.monotonically_increasing_id()})
+
+
+def _numbered(df: DataFrame, keys: Sequence[str], out: str, extra: Mapping | None = None) -> DataFrame:
+    """0-based line number inside ``keys``, files in path order; file splits are the blocks."""
+    axis = Axis(tuple(keys), ("__o",), "concat(__file, ':', lpad(cast(__at as string), 20, '0'))")
+    return running(df, axis, {out: ("rows", F.lit(1)), **(extra or {})}).withColumn(out, F.col(out) - 1)
 
 
 def read_side_files(spark: SparkSession, glob: str, schema: T.StructType | str, fmt: str = "csv") -> DataFrame:
-    """Per-trial side files; ``trial_id`` = ``SS-0T`` from the file name, ``row`` = line order.
+    """Per-trial side files; ``trial_id`` = ``SS-0T`` from the file (or folder) name, ``row`` = line order.
 
-    Files whose name has no trial are dropped. A side file is one short recording, so numbering
-    its lines is one small group.
+    Files whose name has no trial are dropped.
     """
     reader = spark.read.schema(schema)
     df = reader.option("header", True).csv(glob) if fmt == "csv" else reader.format(fmt).load(glob)
-    df = _file(df).withColumn("__o", F.monotonically_increasing_id())
     part = lambda i: F.regexp_extract("__file", SIDE_FILE, i)
-    return (df.where(part(1) != "")
-            .withColumn("trial_id", F.concat(part(1), F.lit("-0"), part(2)))
-            .withColumn("row", F.row_number().over(Window.partitionBy("__file").orderBy("__o")) - 1)
-            .drop("__file", "__o"))
+    named = _located(df).where(part(1) != "").withColumn("trial_id", F.concat(part(1), F.lit("-0"), part(2)))
+    return _numbered(named, ["trial_id"], "row").drop("__file", "__at", "__o")
 
 
 def read_subject_dim(spark: SparkSession, path: str, renames: Mapping[str, str], drop_last: bool = False,
                      subjects: int | None = None) -> DataFrame:
     """Per-subject file in subject order: numbered ``01``.. and renamed; optionally without its last row."""
     raw = spark.read.option("header", True).option("inferSchema", True).csv(path)
-    lines = raw.withColumn("__o", F.monotonically_increasing_id())
-    # a dimension file has one line per subject
-    numbered = lines.withColumn("__i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__o")))
+    lines = _numbered(_located(raw), [], "__i", {"__n": ("total", F.lit(1))})
     if drop_last:
-        numbered = numbered.join(F.broadcast(numbered.agg(F.max("__i").alias("__n"))), F.lit(True)).where("__i < __n")
+        lines = lines.where("__i < __n - 1")
     if subjects is not None:
-        numbered = numbered.where(F.col("__i") <= subjects)
-    return numbered.select(F.format_string("%02d", F.col("__i")).alias("subject"),
-                           *[F.col(f"`{a}`").alias(b) for a, b in renames.items()])
+        lines = lines.where(F.col("__i") < subjects)
+    return lines.select(F.format_string("%02d", F.col("__i") + 1).alias("subject"),
+                        *[F.col(f"`{a}`").alias(b) for a, b in renames.items()])
 
 
 def read_band_baseline(spark: SparkSession, glob: str) -> DataFrame:
     """One CSV per band, a line per subject, a column per channel: (subject, band, channel, value)."""
-    raw = _file(spark.read.option("header", True).option("inferSchema", True).csv(glob).withColumn(
-        "__o", F.monotonically_increasing_id()))
-    channels = [c for c in raw.columns if c not in ("__file", "__o")]
-    lines = raw.withColumn("band", F.regexp_extract("__file", BAND_FILE, 1)).withColumn(
-        "subject", F.format_string("%02d", F.row_number().over(Window.partitionBy("__file").orderBy("__o"))))
-    return lines.unpivot(["subject", "band"], channels, "channel", "value")
+    raw = spark.read.option("header", True).option("inferSchema", True).csv(glob)
+    lines = _located(raw).withColumn("band", F.regexp_extract("__file", BAND_FILE, 1))
+    numbered = _numbered(lines, ["band"], "__i").withColumn("subject", F.format_string("%02d", F.col("__i") + 1))
+    return numbered.unpivot(["subject", "band"], raw.columns, "channel", "value")

@@ -16,12 +16,16 @@ def replay(spark: SparkSession, path: str, schema: T.StructType | str, ts: str =
            token: str | None = None, keep: Sequence[str] = (), fmt: str = "parquet") -> DataFrame:
     """Recorded samples as a stream, one device's columns only if ``token`` is given.
 
-    The arrival of files takes the place of paced sending; ``ts`` becomes the event time.
+    The arrival of files takes the place of paced sending; ``ts`` becomes the event time (times
+    without a zone are read as UTC).
     """
     df = (spark.readStream.schema(schema).format(fmt)
           .option("maxFilesPerTrigger", files_per_trigger).load(path))
     if token:
         df = df.select(*[F.col(f"`{c}`") for c in df.columns if token in c or c in keep or c == ts])
+    if dict(df.dtypes)[ts] == "timestamp_ntz":
+        micros = f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{ts}`)"
+        return df.withColumn(ts, F.expr(f"timestamp_micros({micros})"))
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
