@@ -13,6 +13,7 @@ Results equal the one-level window exactly, for any block length.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,6 +57,11 @@ def hash_axis(keys: tuple[str, ...], hash_col: str, tie: str, digits: int = 3) -
     return Axis(keys, (hash_col, tie), f"substr(`{hash_col}`, 1, {digits})")
 
 
+def fit_digits(n: int, rows: int = 250_000) -> int:
+    """Hex digits of a hash prefix for about ``rows`` rows per block."""
+    return max(1, math.ceil(math.log(max(1, n / rows), 16)))
+
+
 def fit_block(df: DataFrame, key: str, ts: str, unit: float, rows: int = 250_000) -> float:
     """Block length for which the densest trial holds about ``rows`` rows per block.
 

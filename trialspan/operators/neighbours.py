@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import hash_key
 from ..functions.sizing import cut
 
-PIVOTS = 32
+PIVOTS = (4, 512)  # fewest and most; in between a quarter of the root of the distinct references
 REF_BLOCK = 20_000
 QUERY_BLOCK = 5_000
 _CHUNK = 4_000_000  # distance entries held at once
@@ -129,7 +129,7 @@ def _assign(refs: DataFrame, pivots: np.ndarray, p: int) -> DataFrame:
 
 
 def knn_join(queries: DataFrame, refs: DataFrame, k: int, p: int = 2, skip_self: bool = False,
-             pivots: int = PIVOTS, ref_block: int = REF_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+             pivots: int | None = None, ref_block: int = REF_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(id, rid, dist, rank) for the k nearest references of every query; both sides are (id, v).
 
     ``skip_self`` leaves out the reference with the query's own id. Ties break by id.
@@ -137,6 +137,8 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, p: int = 2, skip_self:
     need = k + 1 if skip_self else k
     folded = cut(fold_copies(refs, need))
     asked = queries.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
+    if pivots is None:
+        pivots = min(max(int(folded.count() ** 0.5 / 4), PIVOTS[0]), PIVOTS[1])
     pv = choose_pivots(folded, pivots)
     if not len(pv):
         return queries.select("id", F.lit(None).cast("bigint").alias("rid"), F.lit(None).cast("double").alias("dist"),

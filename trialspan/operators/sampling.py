@@ -13,16 +13,17 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_key, hash_uniform
 from ..functions.sizing import attach, attach_one, cut
-from ..functions.timeline import BLK, Axis, hash_axis, positions, sorted_axis
+from ..functions.timeline import Axis, fit_digits, hash_axis, positions, sorted_axis
 from .neighbours import knn_join, vectors
 
 _H = "__h"
 
 
 def hash_ranks(df: DataFrame, id_col: str, keys: Sequence[str] = (), seed: int | str = 42,
-               out: str = "rank", digits: int = 3) -> DataFrame:
-    """0-based rank in md5 order inside ``keys``."""
+               out: str = "rank", digits: int | None = None) -> DataFrame:
+    """0-based rank in md5 order inside ``keys``; blocks are hash prefixes sized by the row count."""
     hashed = df.withColumn(_H, hash_key(id_col, seed=seed))
+    digits = digits or fit_digits(df.count())
     return positions(hashed, hash_axis(tuple(keys), _H, id_col, digits), out).drop(_H)
 
 
