@@ -167,8 +167,6 @@ def naive_windows(g, slide):
 @pytest.mark.parametrize("per_block", [2, 4096])
 def test_sliding_features_match_loops(df, rows, slide, per_block, monkeypatch):
     monkeypatch.setattr(win, "WINDOWS_PER_BLOCK", per_block)
-    monkeypatch.setattr(win.window_blocks, "__defaults__", (per_block,))
-    monkeypatch.setattr(win.spread, "__defaults__", (per_block,))
     y = df.withColumn("y", (F.col("event") == "on").cast("int")).na.fill(0, ["y"])
     out = win.sliding_features(y, time_axis(block=2.0), slide, ["v"], label="y", edges=["v"], pairs=["v"], pair_limit=2.0)
     got = {(r["trial_id"], r["window"]): r for r in out.collect()}

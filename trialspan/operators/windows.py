@@ -1,9 +1,10 @@
 """Sliding-window features by panes.
 
 Time is cut into panes of width gcd(W, S, offset). Every sample is aggregated once, into its
-pane; a pane then contributes to the few windows that cover it. Windows are grouped by
-``(trial, window block)``, so a long trial spreads over many tasks. Consecutive-difference
-features use the pair (previous row, row), which belongs to a window only if both panes do.
+pane. Panes are laid out by ``(trial, window block)``, so a long trial spreads over many tasks.
+A window is the rest of one chunk of W panes plus the start of the next, so two running
+aggregates per chunk give every window whatever W / S is. Consecutive-difference features use the
+pair (previous row, row), which belongs to a window only if both panes do.
 """
 
 from __future__ import annotations
@@ -13,14 +14,14 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio
-from ..functions.sizing import attach, attach_one, cut
+from ..functions.sizing import attach, attach_one, cut, measured
 from ..functions.timeline import Axis, neighbours
 
-WINDOWS_PER_BLOCK = 4096
+WINDOWS_PER_BLOCK = 1024
 STATS = ("mean", "stddev", "max", "range")
 
 
@@ -60,8 +61,9 @@ class Slide:
         return F.greatest(n, F.lit(0).cast("bigint"))
 
 
-def window_blocks(df: DataFrame, axis: Axis, slide: Slide, per_block: int = WINDOWS_PER_BLOCK) -> DataFrame:
+def window_blocks(df: DataFrame, axis: Axis, slide: Slide, per_block: int | None = None) -> DataFrame:
     """One row per (trial, block of windows): ``block``, ``j0``..``j1`` inclusive."""
+    per_block = per_block or WINDOWS_PER_BLOCK
     n = df.groupBy(*axis.keys).agg(slide.count(F.max(axis.ts)).alias("__n")).where("__n > 0")
     b = n.select(*axis.keys, "__n", F.explode(F.expr(f"sequence(0L, (__n - 1) div {per_block}L)")).alias("block"))
     return b.select(*axis.keys, "block", (F.col("block") * per_block).alias("j0"),
@@ -77,12 +79,12 @@ def window_spine(df: DataFrame, axis: Axis, slide: Slide) -> DataFrame:
 
 
 def spread(df: DataFrame, parts: DataFrame, axis: Axis, slide: Slide, aggs: Sequence[Column],
-           per_block: int = WINDOWS_PER_BLOCK) -> DataFrame:
+           per_block: int | None = None) -> DataFrame:
     """Aggregate partials (key, ``lo``, ``hi``, ...) into every window covering panes lo..hi.
 
     The spine joins as rows without values, so windows in a gap stay in the result.
     """
-    keys = list(axis.keys)
+    keys, per_block = list(axis.keys), per_block or WINDOWS_PER_BLOCK
     covered = parts.select("*", slide.first_window(F.col("hi")).alias("__j0"),
                            slide.last_window(F.col("lo")).alias("__j1"), F.lit(0).alias("__spine"))
     spine = window_blocks(df, axis, slide, per_block).select(
@@ -97,6 +99,52 @@ def spread(df: DataFrame, parts: DataFrame, axis: Axis, slide: Slide, aggs: Sequ
             .where("__spine = 1").drop("__spine", "__wb"))
 
 
+_MERGE = {"sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
+          "max": (F.max, F.greatest), "min": (F.min, F.least)}
+
+
+def slide_panes(df: DataFrame, panes: DataFrame, axis: Axis, slide: Slide, merge: dict[str, str],
+                per_block: int | None = None) -> DataFrame:
+    """Merge pane partials (key, ``pane``, ...) into every window; ``merge`` maps a column to its kind.
+
+    One shuffle on (trial, window block); a block holds its panes and the W - 1 that follow.
+    Inside it, a window starting at pane p is (p .. end of its chunk) merged with (start of the
+    next chunk .. p + W - 1): a running aggregate from the right and one from the left.
+    """
+    keys, per_block = list(axis.keys), per_block or WINDOWS_PER_BLOCK
+    k, step = slide.panes(slide.length), slide.panes(slide.stride)
+    width = per_block * step
+    # blocks whose range [block * width, block * width + width + k - 2] holds the pane
+    first = F.greatest(F.ceil((F.col("pane") - (width + k - 2)) / F.lit(float(width))).cast("bigint"), F.lit(0).cast("bigint"))
+    last = F.floor(F.col("pane") / F.lit(float(width))).cast("bigint")
+    held = panes.where("pane >= 0").withColumns({"__b0": first, "__b1": last}).where("__b0 <= __b1").select(
+        *panes.columns, F.explode(F.expr("sequence(__b0, __b1)")).alias("__wb"), F.lit(None).cast("bigint").alias("__n"))
+    # the dense grid: one row per block travels, the panes are made after the shuffle
+    grid = window_blocks(df, axis, slide, per_block).select(
+        *keys, F.col("block").alias("__wb"), ((F.col("j1") - F.col("j0") + 1) * step).alias("__n"))
+    placed = held.unionByName(grid, allowMissingColumns=True).repartition(*keys, "__wb")
+    start = F.col("__wb") * width
+    laid = placed.select("*", F.explode(F.when(F.col("__n").isNull(), F.array("pane")).otherwise(
+        F.sequence(start, start + F.col("__n") + F.lit(k - 2)))).alias("__p"))
+    dense = (laid.groupBy(*keys, "__wb", "__p").agg(
+        F.max("__n").alias("__n"), *[_MERGE[kind][0](c).alias(c) for c, kind in merge.items()])
+        .where("__n is not null").withColumn("__ch", F.expr(f"__p div {k}L")))
+
+    chunk = Window.partitionBy(*keys, "__wb", "__ch")
+    upto = Window.unboundedPreceding, Window.currentRow
+    right = chunk.orderBy(F.col("__p").desc()).rowsBetween(*upto)
+    left = chunk.orderBy("__p").rowsBetween(*upto)
+    ahead = Window.partitionBy(*keys, "__wb").orderBy("__ch", "__p")
+    rest = dense.select("*", *[_MERGE[kind][0](c).over(right).alias(f"__rt_{c}") for c, kind in merge.items()])
+    packed = F.struct(*[_MERGE[kind][0](c).over(left).alias(c) for c, kind in merge.items()])
+    head = rest.withColumn("__lf", packed).withColumn("__lf", F.lead("__lf", k - 1).over(ahead))
+    aligned = F.col("__p") % k == 0
+    out = [F.when(aligned, F.col(f"__rt_{c}")).otherwise(_MERGE[kind][1](F.col(f"__rt_{c}"), F.col("__lf")[c])).alias(c)
+           for c, kind in merge.items()]
+    starts = head.where((F.col("__p") % step == 0) & (F.col("__p") < F.col("__wb") * width + F.col("__n")))
+    return starts.select(*keys, F.expr(f"__p div {step}L").alias("window"), *out)
+
+
 def _centres(df: DataFrame, axis: Axis, cols: Sequence[str]) -> DataFrame:
     return df.groupBy(*axis.keys).agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"__m_{c}") for c in cols])
 
@@ -120,55 +168,67 @@ def sliding_features(df: DataFrame, axis: Axis, slide: Slide, cols: Sequence[str
       ``_over`` (number of absolute differences above ``pair_limit``)
     """
     keys, ts = list(axis.keys), F.col(axis.ts)
-    base = attach(df, _centres(df, axis, cols), keys) if cols else df
-    partial, final, outputs = [], [], []
+    # sums are taken around the trial mean, so that deviations do not cancel
+    spread_needed = bool({"mean", "stddev"} & set(stats)) and bool(cols)
+    centres, small = measured(_centres(df, axis, cols)) if spread_needed else (None, False)
+    side = F.broadcast(centres) if small else centres
+    base = df.join(side, keys, "left") if spread_needed else df
+    partial, merge, outputs = [], {}, []
     for i, c in enumerate(cols):
-        v = F.col(c) - F.col(f"__m_{c}")
-        partial += [F.count(c).alias(f"__n{i}"), F.sum(v).alias(f"__s{i}"), F.sum(v * v).alias(f"__q{i}"),
-                    F.max(c).cast("double").alias(f"__x{i}"), F.min(c).cast("double").alias(f"__i{i}"),
-                    F.first(f"__m_{c}").alias(f"__m{i}")]
-        final += [F.sum(f"__n{i}").alias(f"__n{i}"), F.sum(f"__s{i}").alias(f"__s{i}"),
-                  F.sum(f"__q{i}").alias(f"__q{i}"), F.max(f"__x{i}").alias(f"__x{i}"),
-                  F.min(f"__i{i}").alias(f"__i{i}"), F.max(f"__m{i}").alias(f"__m{i}")]
-        n, s, q, hi, lo = (F.col(f"__{k}{i}") for k in "nsqxi")
-        made = {"mean": F.col(f"__m{i}") + ratio(s, n), "stddev": _std(n, s, q, lo, hi), "max": hi, "range": hi - lo}
-        outputs += [made[k].alias(f"{c}_{k}") for k in stats]
+        n, s, q, x, lo = (f"__{a}{i}" for a in "nsqxi")
+        if spread_needed:
+            v = F.col(c) - F.col(f"__m_{c}")
+            partial += [F.count(c).alias(n), F.sum(v).alias(s), F.sum(v * v).alias(q)]
+            merge.update({n: "sum", s: "sum", q: "sum"})
+        partial += [F.max(c).cast("double").alias(x), F.min(c).cast("double").alias(lo)]
+        merge.update({x: "max", lo: "min"})
+        n, s, q, x, lo = (F.col(f"__{a}{i}") for a in "nsqxi")
+        made = {"mean": lambda: F.col(f"__m_{c}") + ratio(s, n), "stddev": lambda: _std(n, s, q, lo, x),
+                "max": lambda: x, "range": lambda: x - lo}
+        outputs += [made[kind]().alias(f"{c}_{kind}") for kind in stats]
     for i, c in enumerate(edges):
         row = F.struct(*axis.order, F.col(c).cast("double").alias("v"))
         partial += [F.min(row).alias(f"__ef{i}"), F.max(row).alias(f"__el{i}")]
-        final += [F.min(f"__ef{i}").alias(f"__ef{i}"), F.max(f"__el{i}").alias(f"__el{i}")]
+        merge.update({f"__ef{i}": "min", f"__el{i}": "max"})
         outputs += [F.col(f"__ef{i}")["v"].alias(f"{c}_first"), F.col(f"__el{i}")["v"].alias(f"{c}_last")]
 
-    parts = None
-    if partial:
-        parts = (base.groupBy(*keys, slide.pane(ts).alias("lo")).agg(*partial)
-                 .withColumn("hi", F.col("lo")))
+    parts = base.groupBy(*keys, slide.pane(ts).alias("pane")).agg(*partial) if partial else None
     if label:
         moved = slide.panes(slide.offset)
-        hits = (df.where(F.col(label) > 0).groupBy(*keys, (slide.pane(ts) - F.lit(moved)).alias("lo"))
-                .agg(F.max(label).alias("__y")).withColumn("hi", F.col("lo")))
+        hits = (df.where(F.col(label) > 0).groupBy(*keys, (slide.pane(ts) - F.lit(moved)).alias("pane"))
+                .agg(F.max(label).alias("__y")))
         parts = hits if parts is None else parts.unionByName(hits, allowMissingColumns=True)
-        final.append(F.coalesce(F.max("__y"), F.lit(0)).alias("__y"))
-        outputs.append(F.col("__y").alias(label))
+        merge["__y"] = "max"
+        outputs.append(F.coalesce(F.col("__y"), F.lit(0)).alias(label))
+    out = None
+    if parts is not None:
+        out = slide_panes(df, parts, axis, slide, merge)
+        if spread_needed:
+            out = out.join(side, keys, "left")
+        out = out.select(*keys, "window", *outputs)
     if pairs:
-        near = neighbours(df, axis, list(pairs), before=1)
-        before = F.col(f"__prev1_{axis.ts}")
-        made = near.where(before.isNotNull())
-        aggs = []
-        for i, c in enumerate(pairs):
-            d = F.col(c).cast("double") - F.col(f"__prev1_{c}").cast("double")
-            over = F.count_if(F.abs(d) > F.lit(pair_limit)) if pair_limit is not None else F.lit(None).cast("bigint")
-            aggs += [F.count(d).alias(f"__dn{i}"), F.sum(d).alias(f"__ds{i}"), F.sum(d * d).alias(f"__dq{i}"),
-                     F.max(d).alias(f"__dx{i}"), over.alias(f"__do{i}")]
-            final += [F.coalesce(F.sum(f"__dn{i}"), F.lit(0)).alias(f"__dn{i}"), F.sum(f"__ds{i}").alias(f"__ds{i}"),
-                      F.sum(f"__dq{i}").alias(f"__dq{i}"), F.max(f"__dx{i}").alias(f"__dx{i}"),
-                      F.sum(f"__do{i}").alias(f"__do{i}")]
-            outputs += [F.col(f"__d{k}{i}").alias(f"{c}_diff_{name}") for k, name in
-                        (("n", "n"), ("s", "sum"), ("q", "sumsq"), ("x", "max"), ("o", "over"))]
-        linked = made.groupBy(*keys, slide.pane(before).alias("lo"), slide.pane(ts).alias("hi")).agg(*aggs)
-        parts = linked if parts is None else parts.unionByName(linked, allowMissingColumns=True)
-
-    return spread(df, parts, axis, slide, final).select(*keys, "window", *outputs)
+        linked = _pair_features(df, axis, slide, pairs, pair_limit)
+        out = linked if out is None else out.join(linked, [*keys, "window"])
+    return out
+
+
+def _pair_features(df: DataFrame, axis: Axis, slide: Slide, pairs: Sequence[str],
+                   pair_limit: float | None) -> DataFrame:
+    keys, ts, before = list(axis.keys), F.col(axis.ts), F.col(f"__prev1_{axis.ts}")
+    made = neighbours(df, axis, list(pairs), before=1).where(before.isNotNull())
+    aggs, final, outputs = [], [], []
+    for i, c in enumerate(pairs):
+        d = F.col(c).cast("double") - F.col(f"__prev1_{c}").cast("double")
+        over = F.count_if(F.abs(d) > F.lit(pair_limit)) if pair_limit is not None else F.lit(None).cast("bigint")
+        aggs += [F.count(d).alias(f"__dn{i}"), F.sum(d).alias(f"__ds{i}"), F.sum(d * d).alias(f"__dq{i}"),
+                 F.max(d).alias(f"__dx{i}"), over.alias(f"__do{i}")]
+        final += [F.coalesce(F.sum(f"__dn{i}"), F.lit(0)).alias(f"__dn{i}"), F.sum(f"__ds{i}").alias(f"__ds{i}"),
+                  F.sum(f"__dq{i}").alias(f"__dq{i}"), F.max(f"__dx{i}").alias(f"__dx{i}"),
+                  F.sum(f"__do{i}").alias(f"__do{i}")]
+        outputs += [F.col(f"__d{k}{i}").alias(f"{c}_diff_{name}") for k, name in
+                    (("n", "n"), ("s", "sum"), ("q", "sumsq"), ("x", "max"), ("o", "over"))]
+    linked = made.groupBy(*keys, slide.pane(before).alias("lo"), slide.pane(ts).alias("hi")).agg(*aggs)
+    return spread(df, linked, axis, slide, final).select(*keys, "window", *outputs)
 
 
 def sliding_stats(df: DataFrame, axis: Axis, slide: Slide, cols: Sequence[str]) -> DataFrame:
@@ -236,13 +296,30 @@ def zscore(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), zero: flo
 
 
 def standardize_windows(windows: DataFrame, axis: Axis, cols: Sequence[str]) -> DataFrame:
-    """``_s1`` (inside the trial, zero deviation gives 0) and ``_s2`` (over all trials) of each column."""
+    """``_s1`` (inside the trial, zero deviation gives 0) and ``_s2`` (over all trials) of each column.
+
+    The windows are aggregated once, per trial. The overall moments are merged from those rows,
+    around the smallest trial mean, so a constant column keeps a deviation of exactly 0.
+    """
     keys, windows = list(axis.keys), cut(windows)
-    aggs = []
+    per_trial, small = measured(windows.groupBy(*keys).agg(*[
+        x for c in cols for x in (F.count(c).alias(f"__n_{c}"), F.avg(c).alias(f"__a1_{c}"),
+                                  F.stddev_pop(c).alias(f"__d1_{c}"))]))
+    near = per_trial.agg(*[F.min(f"__a1_{c}").alias(f"__c_{c}") for c in cols])
+    sums = []
+    for c in cols:
+        n, off, dev = F.col(f"__n_{c}"), F.col(f"__a1_{c}") - F.col(f"__c_{c}"), F.col(f"__d1_{c}")
+        sums += [F.max(f"__c_{c}").alias(f"__c_{c}"), F.sum(n).alias(f"__n_{c}"), F.sum(n * off).alias(f"__s_{c}"),
+                 F.sum(n * (dev * dev + off * off)).alias(f"__q_{c}")]
+    moments = []
     for c in cols:
-        aggs += [F.avg(c).alias(f"__a1_{c}"), F.stddev_pop(c).alias(f"__d1_{c}")]
-    everything = [x for c in cols for x in (F.avg(c).alias(f"__a2_{c}"), F.stddev_pop(c).alias(f"__d2_{c}"))]
-    joined = attach_one(attach(windows, windows.groupBy(*keys).agg(*aggs), keys), windows.agg(*everything))
+        n, shift = F.col(f"__n_{c}"), ratio(F.col(f"__s_{c}"), F.col(f"__n_{c}"))
+        moments += [(F.col(f"__c_{c}") + shift).alias(f"__a2_{c}"),
+                    F.when(n > 0, F.sqrt(F.greatest(ratio(F.col(f"__q_{c}"), n) - shift * shift, F.lit(0.0))))
+                    .alias(f"__d2_{c}")]
+    overall = attach_one(per_trial, near).agg(*sums).select(*moments)
+    side = per_trial.drop(*[f"__n_{c}" for c in cols])
+    joined = attach_one(windows.join(F.broadcast(side) if small else side, keys, "left"), overall)
     s1 = [F.when(F.col(f"__d1_{c}") == 0, F.lit(0.0))
           .otherwise(ratio(F.col(c) - F.col(f"__a1_{c}"), F.col(f"__d1_{c}"))).alias(f"{c}_s1") for c in cols]
     s2 = [ratio(F.col(c) - F.col(f"__a2_{c}"), F.col(f"__d2_{c}")).alias(f"{c}_s2") for c in cols]
