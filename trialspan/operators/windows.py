@@ -302,29 +302,26 @@ def standardize_windows(windows: DataFrame, axis: Axis, cols: Sequence[str]) ->
     around the smallest trial mean, so a constant column keeps a deviation of exactly 0.
     """
     keys, windows = list(axis.keys), cut(windows)
-    per_trial, small = measured(windows.groupBy(*keys).agg(*[
-        x for c in cols for x in (F.count(c).alias(f"__n_{c}"), F.avg(c).alias(f"__a1_{c}"),
-                                  F.stddev_pop(c).alias(f"__d1_{c}"))]))
-    near = per_trial.agg(*[F.min(f"__a1_{c}").alias(f"__c_{c}") for c in cols])
-    sums = []
-    for c in cols:
-        n, off, dev = F.col(f"__n_{c}"), F.col(f"__a1_{c}") - F.col(f"__c_{c}"), F.col(f"__d1_{c}")
-        sums += [F.max(f"__c_{c}").alias(f"__c_{c}"), F.sum(n).alias(f"__n_{c}"), F.sum(n * off).alias(f"__s_{c}"),
-                 F.sum(n * (dev * dev + off * off)).alias(f"__q_{c}")]
-    moments = []
-    for c in cols:
-        n, shift = F.col(f"__n_{c}"), ratio(F.col(f"__s_{c}"), F.col(f"__n_{c}"))
-        moments += [(F.col(f"__c_{c}") + shift).alias(f"__a2_{c}"),
-                    F.when(n > 0, F.sqrt(F.greatest(ratio(F.col(f"__q_{c}"), n) - shift * shift, F.lit(0.0))))
-                    .alias(f"__d2_{c}")]
-    overall = attach_one(per_trial, near).agg(*sums).select(*moments)
+    # hundreds of columns: expressions as SQL text keep the driver's share of the work small
+    per_trial, small = measured(windows.groupBy(*keys).agg(*[F.expr(e) for c in cols for e in (
+        f"count(`{c}`) as `__n_{c}`", f"avg(`{c}`) as `__a1_{c}`", f"stddev_pop(`{c}`) as `__d1_{c}`")]))
+    near = per_trial.agg(*[F.expr(f"min(`__a1_{c}`) as `__c_{c}`") for c in cols])
+    sums = [F.expr(e) for c in cols for e in (
+        f"max(`__c_{c}`) as `__c_{c}`", f"sum(`__n_{c}`) as `__n_{c}`",
+        f"sum(`__n_{c}` * (`__a1_{c}` - `__c_{c}`)) as `__s_{c}`",
+        f"sum(`__n_{c}` * (pow(`__d1_{c}`, 2) + pow(`__a1_{c}` - `__c_{c}`, 2))) as `__q_{c}`")]
+    moments = [e for c in cols for e in (
+        f"`__c_{c}` + try_divide(`__s_{c}`, `__n_{c}`) as `__a2_{c}`",
+        f"case when `__n_{c}` > 0 then sqrt(greatest(try_divide(`__q_{c}`, `__n_{c}`) "
+        f"- pow(try_divide(`__s_{c}`, `__n_{c}`), 2), 0.0D)) end as `__d2_{c}`")]
+    overall = attach_one(per_trial, near).agg(*sums).selectExpr(*moments)
     side = per_trial.drop(*[f"__n_{c}" for c in cols])
     joined = attach_one(windows.join(F.broadcast(side) if small else side, keys, "left"), overall)
-    s1 = [F.when(F.col(f"__d1_{c}") == 0, F.lit(0.0))
-          .otherwise(ratio(F.col(c) - F.col(f"__a1_{c}"), F.col(f"__d1_{c}"))).alias(f"{c}_s1") for c in cols]
-    s2 = [ratio(F.col(c) - F.col(f"__a2_{c}"), F.col(f"__d2_{c}")).alias(f"{c}_s2") for c in cols]
-    others = [c for c in windows.columns if c not in set(cols)]
-    return joined.select(*others, *s1, *s2)
+    s1 = [f"case when `__d1_{c}` = 0 then 0.0D else try_divide(`{c}` - `__a1_{c}`, `__d1_{c}`) end as `{c}_s1`"
+          for c in cols]
+    s2 = [f"try_divide(`{c}` - `__a2_{c}`, `__d2_{c}`) as `{c}_s2`" for c in cols]
+    others = [f"`{c}`" for c in windows.columns if c not in set(cols)]
+    return joined.selectExpr(*others, *s1, *s2)
 
 
 def feature_matrix(df: DataFrame, axis: Axis, slide: Slide, cols: Sequence[str], label: str,
