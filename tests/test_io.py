@@ -63,3 +63,17 @@ def test_replay_keeps_one_device(spark, tmp_path):
     spark.createDataFrame([(1, 1.0, 2.0)], "ts long, `HR - Belt` double, `X - Eye` double").write.parquet(path)
     df = live.replay(spark, path, "ts long, `HR - Belt` double, `X - Eye` double", token="Belt")
     assert df.isStreaming and df.columns == ["ts", "HR - Belt"]
+
+
+def test_demographics_and_rules(spark, tmp_path):
+    from trialspan.sources import recording as rec
+
+    head = ",".join(rec.DEMOGRAPHICS)
+    lines = "\n".join(",".join(str(100 * i + j) for j in range(len(rec.DEMOGRAPHICS))) for i in range(3))
+    (tmp_path / "d.csv").write_text(head + "\n" + lines + "\n")
+    df = src.read_demographics(spark, str(tmp_path / "d.csv"))
+    assert len(df.columns) == 55 and df.count() == 3
+    r = {r["subject"]: r for r in df.collect()}["02"]
+    at = list(rec.DEMOGRAPHICS.values()).index("participant_skinfolds_thigh_avg")
+    assert r["participant_thigh_girth"] == r["participant_skinfolds_thigh_avg"] == 100 + at
+    assert rec.event_rules(spark).count() == 15

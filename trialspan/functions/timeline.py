@@ -127,7 +127,7 @@ def running(df: DataFrame, axis: Axis, aggs: dict[str, tuple[str, Column]]) -> D
             raise ValueError(f"unknown running aggregate: {kind}")
 
     carried = b.groupBy(*keys).agg(*per_block).select(*keys, *carry)
-    kept = [c for c in df.columns if c not in aggs]
+    kept = [f"`{c}`" for c in df.columns if c not in aggs]
     return b.select("*", *here).join(carried, keys, "left").select(*kept, *final)
 
 
@@ -167,7 +167,7 @@ def neighbours(df: DataFrame, axis: Axis, cols: list[str], before: int = 1, afte
         return F.when(here(i), F.col(f"__{side}{i}_{f}")).otherwise(
             F.get(F.col(carried), F.lit(i - 1) - inside)[f]).alias(f"__{side}{i}_{f}")
 
-    return out.select(*df.columns, *[near(side, carried, i, f) for side, _, carried, n in sides
+    return out.select(*[f"`{c}`" for c in df.columns], *[near(side, carried, i, f) for side, _, carried, n in sides
                                      for i in range(1, n + 1) for f in fields])
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.timeline import Axis, running
 from ..operators.clean import floats_to_null, split_trial_id
+from .recording import DEMOGRAPHIC_COPIES, DEMOGRAPHICS
 
 # The parts of a side-file name, and the band in a baseline file name.
 SIDE_FILE = r"_(\d{2})_DC(\d+)"
@@ -87,13 +88,19 @@ def read_subject_dim(spark: SparkSession, path: str, renames: Mapping[str, str],
                      subjects: int | None = None) -> DataFrame:
     """Per-subject file in subject order: numbered ``01``.. and renamed; optionally without its last row."""
     raw = spark.read.option("header", True).option("inferSchema", True).csv(path)
-    lines = _numbered(_located(raw), [], "__i", {"__n": ("total", F.lit(1))})
+    named = _located(raw).select("__file", "__at", "__o", *[F.col(f"`{a}`").alias(b) for a, b in renames.items()])
+    lines = _numbered(named, [], "__i", {"__n": ("total", F.lit(1))})
     if drop_last:
         lines = lines.where("__i < __n - 1")
     if subjects is not None:
         lines = lines.where(F.col("__i") < subjects)
-    return lines.select(F.format_string("%02d", F.col("__i") + 1).alias("subject"),
-                        *[F.col(f"`{a}`").alias(b) for a, b in renames.items()])
+    return lines.select(F.format_string("%02d", F.col("__i") + 1).alias("subject"), *renames.values())
+
+
+def read_demographics(spark: SparkSession, path: str) -> DataFrame:
+    """Demographic file in subject order with the feature names of :mod:`.recording`."""
+    df = read_subject_dim(spark, path, DEMOGRAPHICS)
+    return df.withColumns({new: F.col(source) for new, source in DEMOGRAPHIC_COPIES.items()})
 
 
 def read_band_baseline(spark: SparkSession, glob: str) -> DataFrame:
