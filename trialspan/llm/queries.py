@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["exact_dedup", "pieces"]
+MODULES = ["exact_dedup", "pieces", "secrets"]
 
 
 def load() -> tuple[dict, dict]:
