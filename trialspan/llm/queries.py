@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["exact_dedup", "pieces", "secrets", "near_dedup", "fingerprints", "html_text"]
+MODULES = ["exact_dedup", "pieces", "secrets", "near_dedup", "fingerprints", "html_text", "mixing"]
 
 
 def load() -> tuple[dict, dict]:
