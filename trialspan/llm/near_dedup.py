@@ -133,16 +133,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = each.join(each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "s")
         bound = stored(both.groupBy("node").agg(F.count(F.lit(1)).alias("common")), "common")  # shingles another one has
         sketches = classes.select("node", "sketch")
-        rows2 = (open_.join(bound, "node", "left").fillna(0, ["common"])
+        its = open_.groupBy("node").agg(F.collect_list("value").alias("its_lists"))
+        rows2 = (open_.join(bound, "node", "left").fillna(0, ["common"]).join(its, "node")
                  # the best conceivable partner is exactly the shared part
                  .where(100 * F.col("common") >= percent * F.col("n")))
-        side = lambda p: rows2.select("value", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "comp", "n", "common", "blocks")])
+        side = lambda p: rows2.select("value", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "comp", "n", "common", "its_lists", "blocks")])
         left = side("x").withColumn("salt", F.pmod(F.xxhash64("x_node"), F.col("x_blocks")).cast("int"))
         right = side("y").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("y_blocks") - 1)))
         most = F.least("x_common", "y_common")
         pairs = left.join(right, ["value", "salt"]).where(
             (F.col("x_node") < F.col("y_node")) & (F.col("x_comp") != F.col("y_comp")) & near_size(F.col("x_n"), F.col("y_n"))
-            & similar(most, F.col("x_n") + F.col("y_n") - most, percent))
+            & similar(most, F.col("x_n") + F.col("y_n") - most, percent)
+            # two classes meet in many lists; the first of them gives the pair
+            & (F.array_min(F.array_intersect("x_its_lists", "y_its_lists")) == F.col("value")))
         pairs = stored(pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct(), "rest")
         for c in ("a", "b"):
             pairs = pairs.join(sketches.select(F.col("node").alias(c), F.col("sketch").alias(f"k_{c}")), c)
