@@ -271,8 +271,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     """
     with open(model_path, "rb") as f:
         model = f.read()
-    schema = docs.select(id_col, *keep).schema
-    names = [id_col, *keep]
+    names = [f"`{c}`" for c in (id_col, *keep)]
+    schema = docs.select(*names).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)

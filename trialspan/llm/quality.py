@@ -183,8 +183,8 @@ def score(docs: DataFrame, model: CoTrained, text_col: str = "text", meta: tuple
           keep: tuple[str, ...] = ("doc_id",), at_least: float | None = None) -> DataFrame:
     """Columns ``keep`` of every row with score, text_score and meta_score; with ``at_least``, only the columns of
     the rows that reach it."""
-    n = len(keep)
-    out = docs.select(*keep).schema
+    n, kept = len(keep), [f"`{c}`" for c in keep]
+    out = docs.select(*kept).schema
     if at_least is None:
         out = out.add("score", "double").add("text_score", "double").add("meta_score", "double")
 
@@ -200,7 +200,7 @@ def score(docs: DataFrame, model: CoTrained, text_col: str = "text", meta: tuple
                     good = pa.array(p[0] >= at_least)
                     yield pa.RecordBatch.from_arrays([c.filter(good) for c in cols], names=out.names)
 
-    return docs.select(*keep, F.col(text_col).alias("__t"), *[F.col(c).cast("string" if i < 2 else "long").alias(f"__m{i}")
+    return docs.select(*kept, F.col(text_col).alias("__t"), *[F.col(c).cast("string" if i < 2 else "long").alias(f"__m{i}")
                                                             for i, c in enumerate(meta)]).mapInArrow(run, out)
 
 
