@@ -3,8 +3,8 @@ r"""Mixing sources to target weights by iterative proportional fitting (raking).
 Tokens are summed by cell (source, language, topic). A sweep scales the cells' weights to each target marginal
 in turn; after ``sweeps`` of them the weights match all marginals that can be met together. A document is then
 sampled with the calibrated probability of its cell: budget x weight share / tokens there, at most 1, against a
-uniform number made of its id, so the choice repeats on any cluster. All steps are aggregates and joins on the
-cell table; documents are only counted and joined to their cell.
+uniform number made of its id, so the choice repeats on any cluster. All sweeps work on the cell table;
+documents are only counted and joined to their cell.
 
 Defined cases: a null source, language or topic is the category ''; a null text has no tokens; documents of a
 cell without tokens, or whose target is 0, have probability 0; rows that repeat an id share their number, hence
@@ -13,7 +13,7 @@ their fate; a null id has one of its own; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import join_counted, read, small, stored
@@ -36,18 +36,21 @@ def tempered(cells: DataFrame, dim: str, alpha: float) -> DataFrame:
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
-    """Add ``weight``: shares of the cells that meet the target shares; ``targets``: dim -> (dim, share)."""
+    """Add ``weight``: shares of the cells that meet the target shares; ``targets``: dim -> (dim, share).
+
+    The cell table has at most the product of the numbers of categories as rows, whatever the corpus.
+    """
     out = cells.withColumn("weight", F.col("tokens").cast("double"))
-    targets = {d: stored(t, "target") for d, t in targets.items()}
+    for dim, target in targets.items():
+        out = out.join(target.withColumnRenamed("share", f"__goal_{dim}"), dim, "left").fillna(0.0, [f"__goal_{dim}"])
+    out = stored(out, "goals")
     for k in range(sweeps):
-        for dim, target in targets.items():
-            now = out.groupBy(dim).agg(F.sum("weight").alias("__now"))
-            scale = now.join(target, dim, "left").select(dim, F.coalesce(F.when(
-                F.col("__now") > 0, F.col("share") / F.col("__now")), F.lit(0.0)).alias("__scale"))
-            out = out.join(scale, dim).withColumn("weight", F.col("weight") * F.col("__scale")).drop("__scale")
+        for dim in targets:
+            now = F.sum("weight").over(Window.partitionBy(dim))
+            out = out.withColumn("weight", F.when(now > 0, F.col("weight") * (F.col(f"__goal_{dim}") / now)).otherwise(0.0))
         if k % 2 or k == sweeps - 1:
             out = stored(out, "raked")
-    return out
+    return out.drop(*[f"__goal_{d}" for d in targets])
 
 
 def mix(docs: DataFrame, dims: dict[str, Column], targets: dict[str, DataFrame] | float = ALPHA, budget: float = BUDGET,
