@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import read
 
 GAP = 2
-CUT = r"[.!?;:]+[\x20\x09-\x0D]+|[\x0A\x0D]+"
+CUT = r"[.!?;]+[\x20\x09-\x0D]+|[\x0A\x0D]+"
 NOTICE = (r"^(?:(?:this|the|our|all)(?: [a-z]+){1,3} (?:is|are) )?(?:dual )?(?:licensed|released|distributed|available|published|provided|"
           r"made available) (?:to you )?under (?:the )?(?:terms of )?(?:the )?(.+?)(?: license| licence)?(?: see [a-z ]+)?$")
 SPDX = r"^spdx license identifier (.+)$"
