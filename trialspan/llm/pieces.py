@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import read
@@ -292,7 +293,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     out = schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
         out = out.add("ids", ArrayType(IntegerType()))
-    return docs.select(*names, text_col).mapInArrow(run, out)
+    return docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(names)], F.col(text_col).alias("__t")).mapInArrow(run, out)
 
 
 def decode(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

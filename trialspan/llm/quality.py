@@ -200,7 +200,7 @@ def score(docs: DataFrame, model: CoTrained, text_col: str = "text", meta: tuple
                     good = pa.array(p[0] >= at_least)
                     yield pa.RecordBatch.from_arrays([c.filter(good) for c in cols], names=out.names)
 
-    return docs.select(*kept, F.col(text_col).alias("__t"), *[F.col(c).cast("string" if i < 2 else "long").alias(f"__m{i}")
+    return docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(kept)], F.col(text_col).alias("__t"), *[F.col(c).cast("string" if i < 2 else "long").alias(f"__m{i}")
                                                             for i, c in enumerate(meta)]).mapInArrow(run, out)
 
 
