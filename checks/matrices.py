@@ -12,7 +12,7 @@ from .base import CTES, MATRIX, check, matrix
 
 CTES["rows"] = """select vec_id, label, case when label = 0 then 1 else 0 end as y, vec_id % 20 as grp,
   cast(embedding as double[]) as v from embeddings"""
-U = "cast(concat('0x', substr(md5({}), 1, 8)) as bigint) / 4294967296.0"
+U = "cast(concat('0x', substr(md5({}), 1, 13)) as bigint) / 4503599627370496.0"
 CTES["means"] = "select dim, avg(case when hole = 0 then x end) as m from cells group by 1"
 CTES["trainmeans"] = "select dim, avg(case when hole = 0 then x end) as m from cells where vec_id % 5 <> 0 group by 1"
 CTES["filled"] = """select vec_id, dim, hole, case when hole = 1 then m else x end as x from cells join means using (dim)"""
@@ -31,6 +31,15 @@ def _(spark, sf):
     return sm.stratified_folds(matrix(spark, sf).select("vec_id", "y"), "vec_id", "y", 5)
 
 
+@check("stratified_folds_null", "vec_id:l, y:l, fold:l", """
+with r as (select vec_id, case when vec_id % 4 <> 0 then y end as y from rows)
+select vec_id, y, (row_number() over (partition by y order by md5(concat('42:', cast(vec_id as varchar))), vec_id) - 1) % 5
+  as fold from r""")
+def _(spark, sf):
+    m = matrix(spark, sf).select("vec_id", F.when(F.col("vec_id") % 4 != 0, F.col("y")).alias("y"))
+    return sm.stratified_folds(m, "vec_id", "y", 5)
+
+
 @check("group_folds", "vec_id:l, fold:l", """
 with g as (select grp, sum(y) as p, md5(concat('42:', cast(grp as varchar))) as h from rows group by 1),
 r as (select grp, row_number() over (partition by p > 0 order by p desc, h, grp) - 1 as r from g)

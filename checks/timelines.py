@@ -269,6 +269,28 @@ def _(spark, sf):
                                             for k, n in names.items()])
 
 
+@check("positions_null_key", "trial_id:l, sample_id:l, pos:l", """
+with s as (select case when trial_id % 3 <> 0 then trial_id end as trial_id, case when sample_id % 5 <> 0 then t_s end as t_s, sample_id from signals)
+select trial_id, sample_id, row_number() over (partition by trial_id order by t_s nulls first, sample_id) - 1 as pos from s""")
+def _(spark, sf):
+    s = signals(spark, sf).withColumns({"trial_id": F.when(F.col("trial_id") % 3 != 0, F.col("trial_id")),
+                                        "t_s": F.when(F.col("sample_id") % 5 != 0, F.col("t_s"))})
+    return positions(s, axis(spark, sf))
+
+
+@check("sliding_stats_decimal", "trial_id:l, window:l, m:d, hi:d, r:d", """
+with p as (select trial_id, sig_a, row_number() over (partition by trial_id order by t_s, sample_id) - 1 as i from signals),
+n as (select trial_id, max(i) * 2 // 5 - 9 as n from p group by 1),
+w as (select trial_id, unnest(range(n)) as j from n where n > 0)
+select w.trial_id, j as window, avg(sig_a) as m, max(sig_a) as hi, max(sig_a) - min(sig_a) as r from w
+join p on p.trial_id = w.trial_id and i * 2 >= j * 5 and i * 2 < j * 5 + 50 group by 1, 2""")
+def _(spark, sf):
+    """25 samples a second, windows of 1.0 s every 0.1 s: bounds that doubles do not hold exactly."""
+    s = positions(signals(spark, sf), axis(spark, sf)).withColumn("t", F.col("pos") / F.lit(25.0))
+    w = win.sliding_stats(s, time_axis("trial_id", "t", ("sample_id",), 40.0), win.Slide(1.0, 0.1), ["sig_a"])
+    return w.select("trial_id", "window", F.col("sig_a_mean").alias("m"), F.col("sig_a_max").alias("hi"), F.col("sig_a_range").alias("r"))
+
+
 @check("sliding_label", "trial_id:l, window:l, y:l", "select *, j as window from wlabel")
 def _(spark, sf):
     return win.sliding_label(labelled(spark, sf), axis(spark, sf), SLIDE, "y")

@@ -15,8 +15,8 @@ def hash_key(*cols: str | Column, seed: int | str = HASH_SEED) -> Column:
 
 
 def hash_uniform(h: Column) -> Column:
-    """Uniform number in [0, 1) from the first eight hex digits of an md5."""
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    """Uniform number in [0, 1) from the first 13 hex digits (52 bits) of an md5."""
+    return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def ratio(num: Column, den: Column, otherwise: float | None = None) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +27,12 @@ def attach(df: DataFrame, dim: DataFrame, on: list[str], how: str = "left",
 
     The side is counted first. Within the bound it is broadcast, so the large side is not
     shuffled on a key that may be skewed; beyond it, Spark's shuffled join (with adaptive
-    skew splitting) is used.
+    skew splitting) is used. NULL keys are equal to each other.
     """
     dim, small = measured(dim, max_cells)
-    return df.join(F.broadcast(dim) if small else dim, on, how)
+    side = dim.withColumnsRenamed({c: f"__on_{c}" for c in on})
+    match = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__on_{c}")) for c in on])
+    return df.join(F.broadcast(side) if small else side, match, how).drop(*[f"__on_{c}" for c in on])
 
 
 def attach_one(df: DataFrame, stats: DataFrame) -> DataFrame:

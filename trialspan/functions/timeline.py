@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .sizing import cut
 
 BLK = "__blk"
+AT = "__at"  # key and block as one value: NULL keys and NULL blocks are values like any other
 
 
 @dataclass(frozen=True)
@@ -37,13 +38,17 @@ class Axis:
         return self.order[0]
 
     def blocked(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(BLK, F.expr(self.block))
+        return df.withColumn(AT, F.struct(*self.keys, F.expr(self.block).alias(BLK)))
 
     def local(self) -> Window:
-        return Window.partitionBy(*self.keys, BLK).orderBy(*self.order)
+        return Window.partitionBy(AT).orderBy(*self.order)
+
+    def whole(self) -> Window:
+        """All blocks of a key, over a frame with one row per block."""
+        return Window.partitionBy(*[F.col(AT)[k] for k in self.keys])
 
     def blocks(self) -> Window:
-        return Window.partitionBy(*self.keys).orderBy(BLK)
+        return self.whole().orderBy(F.col(AT)[BLK])
 
 
 def time_axis(key: str = "trial_id", ts: str = "t_s", tie: tuple[str, ...] = ("sample_id",),
@@ -94,10 +99,9 @@ def running(df: DataFrame, axis: Axis, aggs: dict[str, tuple[str, Column]]) -> D
     (sum over the whole key).
     """
     b = axis.blocked(df)
-    keys = [*axis.keys, BLK]
     upto = axis.local().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = axis.blocks().rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*axis.keys)
+    whole = axis.whole()
 
     per_block, carry, here, final = [], [], [], []
     for i, (name, (kind, e)) in enumerate(aggs.items()):
@@ -126,9 +130,9 @@ def running(df: DataFrame, axis: Axis, aggs: dict[str, tuple[str, Column]]) -> D
         else:
             raise ValueError(f"unknown running aggregate: {kind}")
 
-    carried = b.groupBy(*keys).agg(*per_block).select(*keys, *carry)
+    carried = b.groupBy(AT).agg(*per_block).select(AT, *carry)
     kept = [f"`{c}`" for c in df.columns if c not in aggs]
-    return b.select("*", *here).join(carried, keys, "left").select(*kept, *final)
+    return b.select("*", *here).join(carried, AT, "left").select(*kept, *final)
 
 
 def neighbours(df: DataFrame, axis: Axis, cols: list[str], before: int = 1, after: int = 0) -> DataFrame:
@@ -138,7 +142,6 @@ def neighbours(df: DataFrame, axis: Axis, cols: list[str], before: int = 1, afte
     the ends of a trial. Inside a block this is lag/lead; at a block's edge the rows come from a
     per-block carry of its first and last few rows.
     """
-    keys = [*axis.keys, BLK]
     fields = list(dict.fromkeys([*axis.order, *cols]))
     row, asc, wb = F.struct(*fields), axis.local(), axis.blocks()
     b = axis.blocked(df)
@@ -147,8 +150,8 @@ def neighbours(df: DataFrame, axis: Axis, cols: list[str], before: int = 1, afte
     one = F.lit(1)
     head = F.lag(one, after).over(asc).isNull() if after else F.lit(False)
     tail = F.lead(one, before).over(asc).isNull() if before else F.lit(False)
-    edge = (b.select(*dict.fromkeys([*keys, *fields])).withColumns({"__head": head, "__tail": tail})
-            .where("__head or __tail").groupBy(*keys)
+    edge = (b.select(AT, *fields).withColumns({"__head": head, "__tail": tail})
+            .where("__head or __tail").groupBy(AT)
             .agg(F.array_sort(F.collect_list(F.when(F.col("__tail"), row))).alias("__t"),
                  F.array_sort(F.collect_list(F.when(F.col("__head"), row))).alias("__h")))
     carry = []
@@ -159,7 +162,7 @@ def neighbours(df: DataFrame, axis: Axis, cols: list[str], before: int = 1, afte
     sides = [("prev", F.lag, "__cp", before), ("next", F.lead, "__cn", after)]
     local = [fn(f, i).over(asc).alias(f"__{side}{i}_{f}") for side, fn, _, n in sides for i in range(1, n + 1)
              for f in fields]
-    out = b.select("*", *local).join(edge.select(*keys, *carry), keys, "left")
+    out = b.select("*", *local).join(edge.select(AT, *carry), AT, "left")
 
     def near(side: str, carried: str, i: int, f: str) -> Column:
         here = lambda j: F.col(f"__{side}{j}_{axis.ts}").isNotNull()

@@ -23,6 +23,12 @@ from ..functions.timeline import Axis, neighbours
 
 WINDOWS_PER_BLOCK = 1024
 STATS = ("mean", "stddev", "max", "range")
+TICKS = 1_000_000  # per time unit: times are told apart to a millionth
+
+
+def floor_div(n: Column, d: int) -> Column:
+    """Integer division that rounds down, also below zero."""
+    return F.when(n >= 0, F.call_function("div", n, F.lit(d))).otherwise(-F.call_function("div", F.lit(d - 1) - n, F.lit(d))) if d > 1 else n
 
 
 @dataclass(frozen=True)
@@ -43,8 +49,20 @@ class Slide:
     def panes(self, value: float) -> int:
         return int(Fraction(str(value)) / self.grain)
 
+    @property
+    def scale(self) -> int:
+        """Ticks per time unit: at least a million, and every parameter a whole number of them."""
+        return math.lcm(TICKS, *[Fraction(str(v)).denominator for v in (self.length, self.stride, self.start, self.offset)])
+
+    def ticks(self, value: float) -> int:
+        return int(Fraction(str(value)) * self.scale)
+
+    def tick(self, ts: Column) -> Column:
+        """Time as a whole number of ticks, so that decimal bounds compare exactly."""
+        return F.round(ts * F.lit(float(self.scale))).cast("bigint")
+
     def pane(self, ts: Column) -> Column:
-        return F.floor((ts - F.lit(self.start)) / F.lit(float(self.grain))).cast("bigint")
+        return floor_div(self.tick(ts) - F.lit(self.ticks(self.start)), int(self.grain * self.scale))
 
     def first_window(self, hi: Column) -> Column:
         """First window that still covers pane ``hi``."""
@@ -57,7 +75,7 @@ class Slide:
     def count(self, ts_max: Column) -> Column:
         """Number of windows of a trial that ends at ``ts_max``."""
         whole = int(Fraction(str(self.length)) // Fraction(str(self.stride)))
-        n = F.floor((ts_max - F.lit(self.offset)) / F.lit(self.stride)).cast("bigint") - F.lit(whole - 1)
+        n = floor_div(self.tick(ts_max) - F.lit(self.ticks(self.offset)), self.ticks(self.stride)) - F.lit(whole - 1)
         return F.greatest(n, F.lit(0).cast("bigint"))
 
 
@@ -74,8 +92,8 @@ def window_spine(df: DataFrame, axis: Axis, slide: Slide) -> DataFrame:
     """Every window of every trial with its bounds."""
     blocks = window_blocks(df, axis, slide).repartition(*axis.keys, "block")
     out = blocks.select(*axis.keys, F.explode(F.expr("sequence(j0, j1)")).alias("window"))
-    begin = F.lit(slide.start) + F.col("window") * F.lit(slide.stride)
-    return out.select("*", begin.alias("t_begin"), (begin + F.lit(slide.length)).alias("t_end"))
+    begin, unit = F.lit(slide.ticks(slide.start)) + F.col("window") * F.lit(slide.ticks(slide.stride)), F.lit(float(slide.scale))
+    return out.select("*", (begin / unit).alias("t_begin"), ((begin + F.lit(slide.ticks(slide.length))) / unit).alias("t_end"))
 
 
 def spread(df: DataFrame, parts: DataFrame, axis: Axis, slide: Slide, aggs: Sequence[Column],

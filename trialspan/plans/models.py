@@ -38,16 +38,16 @@ SPACES: dict[str, dict[str, Sequence]] = {
 
 
 def estimator(name: str, label: str, params: Mapping, n_rows: int, weight: str | None = None):
-    """MLlib estimator of a classifier name; ``C`` is turned into regParam = 1 / (C n)."""
+    """MLlib estimator of a classifier name; ``C`` (1 if not given) becomes regParam = 1 / (C n) on the raw coefficients."""
     p = dict(params)
     common = {"featuresCol": "features", "labelCol": label}
     if weight:
         common["weightCol"] = weight
     if name == "LogReg":
         return LogisticRegression(regParam=1.0 / (p.pop("C", 1.0) * max(1, n_rows)),
-                                  elasticNetParam=p.pop("l1_ratio", 0.0), **common, **p)
+                                  elasticNetParam=p.pop("l1_ratio", 0.0), standardization=False, **common, **p)
     if name == "SVM":
-        return LinearSVC(regParam=1.0 / (p.pop("C", 1.0) * max(1, n_rows)), **common, **p)
+        return LinearSVC(regParam=1.0 / (p.pop("C", 1.0) * max(1, n_rows)), standardization=False, **common, **p)
     if name == "RF":
         return RandomForestClassifier(seed=p.pop("seed", 42), **common, **p)
     if name == "EGB":
@@ -67,7 +67,7 @@ def fit(name: str, df: DataFrame, cols: Sequence[str], y: str, params: Mapping |
         weight = "__weight"
         data = attach(data, class_weights(data, label).select(label, F.col("weight").alias(weight)), [label])
     stages = [VectorAssembler(inputCols=list(cols), outputCol="features"),
-              estimator(name, label, params, data.count() if "C" in params else 1, weight)]
+              estimator(name, label, params, data.count(), weight)]
     return Pipeline(stages=stages).fit(data)
 
 
