@@ -176,3 +176,12 @@ def test_join_counted(spark):
     right = stored(left.where("k <> 3").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("top")), "test")
     got = join_counted(left, right, "k", "n", left.count()).groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.max("top").alias("t")).collect()
     assert {r.k: (r.c, r.t) for r in got} == {1: (5000, 4999), 2: (3, 2), 3: (1, None), None: (4, None)}
+
+
+def test_near_long_chain_of_half_alike_texts(spark):
+    """Lists that share members only one after the other: their pairs are compared list by list."""
+    w = [f"w{i}" for i in range(9000)]
+    rows = [(i, " ".join(w[40 * i:40 * i + 90])) for i in range(220)]
+    rows += [(1000 + i, " ".join(w[40 * i:40 * i + 88] + ["x", f"y{i}"])) for i in range(0, 220, 9)]
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()}
+    assert got == {i: c for i, (_, c) in near_wanted(rows, 4).items()}

@@ -8,9 +8,9 @@
    all but ``SHARED`` of its sketch, plus one (the prefix of the overlap filter).
 3. In each list the class with the fewest values of its own is the centre; centre and members are compared on
    full sets. What is linked becomes one component. Lists that still hold several components are compared
-   in full: salted blocks of the list are joined, and only pairs survive whose union-sketch and overlap bounds
-   reach the threshold. The overlap bound is exact: shingles that no other contested class has cannot be shared.
-4. Surviving pairs are verified on full sets; components are contracted. No list is cut or sampled.
+   in full, in salted blocks; lists with nearly the same members are compared once. Only links come out, or
+   pairs whose union-sketch estimate allows one, which are then verified.
+4. Components are contracted. No list is cut or sampled.
 
 Defined cases: a text without words (null, empty, white space) has an empty set, is linked with nothing and
 kept; rows that repeat an id get a row each; a row without id is kept only if no row with an id has its set
@@ -86,6 +86,49 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(similar(F.col("i"), F.col("t") - F.col("i"), percent)).select("a", "b"))
 
 
+def contested_links(rows: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int, k: int, shared: float) -> DataFrame:
+    """Links (a, b) between different components of the same list; ``rows``: value, node, n, comp, m (size of the list).
+
+    A group of near copies meets in many lists of nearly the same members. Lists that share members form a
+    cluster; where all pairs of the cluster are fewer than the pairs of its lists, the cluster is compared as one
+    list, on full sets inside the join, so that only links come out. Other lists are joined one by one; a pair
+    comes out of the first list it shares, is filtered by the union sketch and verified.
+    """
+    first = rows.groupBy("node").agg(F.min("value").alias("b"))
+    chains = components(rows.join(first, "node").select(F.col("value").alias("a"), "b"))
+    rows = stored(rows.join(chains.select(F.col("node").alias("value"), F.col("comp").alias("chain")), "value", "left")
+                  .withColumn("chain", F.coalesce("chain", "value")), "chained")
+    each = rows.groupBy("chain", "value").agg(F.max("m").alias("m")).groupBy("chain").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("apart"))
+    whole = rows.select("chain", "node").distinct().groupBy("chain").agg(F.count(F.lit(1)).alias("u"))
+    merge = stored(each.join(whole, "chain").select("chain", "u", (F.col("u").cast("double") * F.col("u") <= F.col("apart")).alias("merged")), "merge")
+    rows = rows.join(merge, "chain")
+    near_size = 100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")
+
+    def met(side: DataFrame, cols: list[str], also: Column) -> DataFrame:
+        """Pairs of a list with different components, by blocks."""
+        side = side.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+        as_ = lambda p: side.select("value", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "comp", "n", "blocks", *cols)])
+        left = as_("x").withColumn("salt", F.pmod(F.xxhash64("x_node"), F.col("x_blocks")).cast("int"))
+        right = as_("y").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("y_blocks") - 1)))
+        return left.join(right, ["value", "salt"]).where((F.col("x_node") < F.col("y_node")) & (F.col("x_comp") != F.col("y_comp")) & near_size & also
+                                                         ).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+
+    one = rows.where("merged").select(F.col("chain").alias("value"), "node", "comp", "n", F.col("u").alias("m")).distinct().join(sets, "node")
+    inter = F.size(F.array_intersect("x_shingles", "y_shingles"))
+    links = stored(met(one, ["shingles"], similar(inter, F.col("x_n") + F.col("y_n") - inter, percent)), "rest-links")
+    apart = stored(rows.where("not merged").select("value", "node", "comp", "n", "m"), "apart")
+    if apart.isEmpty():
+        return links
+    its = apart.groupBy("node").agg(F.collect_list("value").alias("its"))
+    pairs = met(apart.join(its, "node"), ["its"], F.array_min(F.array_intersect("x_its", "y_its")) == F.col("value"))
+    for c in ("a", "b"):
+        pairs = pairs.join(sketches.select(F.col("node").alias(c), F.col("sketch").alias(f"k_{c}")), c)
+    union = F.slice(F.array_sort(F.transform(F.array_union("k_a", "k_b"), unsigned)), 1, k)
+    of_both = F.size(F.array_intersect(union, F.transform(F.array_intersect("k_a", "k_b"), unsigned)))
+    close = stored(pairs.where(of_both >= F.floor(F.size(union) * shared)).select("a", "b"), "rest-close")
+    return links.unionByName(stored(verified(close, sets, percent), "rest-verified"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
                     percent: int = 80, k: int = K, shared: float = SHARED) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
@@ -125,34 +168,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # lists with several components
     placed = stored(lists.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
     split = stored(placed.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
-                   .where("lo <> hi").select("value", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "contested")
+                   .where("lo <> hi").select("value", "m"), "contested")
     if not split.isEmpty():
-        open_ = stored(placed.join(split, "value"), "contested-rows")
-        nodes = stored(open_.select("node").distinct(), "contested-nodes")
-        each = sets.join(nodes, "node").select("node", F.explode("shingles").alias("s"))
-        both = each.join(each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "s")
-        bound = stored(both.groupBy("node").agg(F.count(F.lit(1)).alias("common")), "common")  # shingles another one has
-        sketches = classes.select("node", "sketch")
-        its = open_.groupBy("node").agg(F.collect_list("value").alias("its_lists"))
-        rows2 = (open_.join(bound, "node", "left").fillna(0, ["common"]).join(its, "node")
-                 # the best conceivable partner is exactly the shared part
-                 .where(100 * F.col("common") >= percent * F.col("n")))
-        side = lambda p: rows2.select("value", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "comp", "n", "common", "its_lists", "blocks")])
-        left = side("x").withColumn("salt", F.pmod(F.xxhash64("x_node"), F.col("x_blocks")).cast("int"))
-        right = side("y").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("y_blocks") - 1)))
-        most = F.least("x_common", "y_common")
-        pairs = left.join(right, ["value", "salt"]).where(
-            (F.col("x_node") < F.col("y_node")) & (F.col("x_comp") != F.col("y_comp")) & near_size(F.col("x_n"), F.col("y_n"))
-            & similar(most, F.col("x_n") + F.col("y_n") - most, percent)
-            # two classes meet in many lists; the first of them gives the pair
-            & (F.array_min(F.array_intersect("x_its_lists", "y_its_lists")) == F.col("value")))
-        pairs = stored(pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct(), "rest")
-        for c in ("a", "b"):
-            pairs = pairs.join(sketches.select(F.col("node").alias(c), F.col("sketch").alias(f"k_{c}")), c)
-        union = F.slice(F.array_sort(F.transform(F.array_union("k_a", "k_b"), unsigned)), 1, k)
-        of_both = F.size(F.array_intersect(union, F.transform(F.array_intersect("k_a", "k_b"), unsigned)))
-        pairs = pairs.where(of_both >= F.floor(F.size(union) * shared)).select("a", "b")
-        more = stored(verified(stored(pairs, "rest-close"), sets, percent), "rest-links")
+        more = contested_links(stored(placed.join(split, "value"), "contested-rows"), sets, classes.select("node", "sketch"), percent, k, shared)
         comp = components(links.unionByName(more))
 
     ends = stored(classes.join(comp, "node", "left").select("set_id", "rows", F.coalesce("comp", "node").alias("component_id")), "ends")
