@@ -158,11 +158,19 @@ def test_lines_edges(spark, docs):
     assert text == "a\n\nc"
 
 
-def test_edit_similarity(spark):
-    rows = [("a" * 10, "a" * 8 + "bb"), ("a" * 10, "a" * 7 + "bbb"), ("x" * 300, "x" * 240 + "y" * 60), ("x" * 300, "x" * 239 + "y" * 61), ("", ""), ("a", "b"),
-            ("ab" * 3000, "ab" * 2500 + "c" * 1000), ("ab" * 3000, "ab" * 2300 + "c" * 1400)]
-    got = [r[0] for r in spark.createDataFrame(rows, "a string, b string").select(L.edit_similar(F.col("a"), F.col("b"), 80)).collect()]
-    assert got == [distance(a, b) <= max(len(a), len(b)) * 20 // 100 for a, b in rows]
+def test_edit_similarity():
+    rng = np.random.default_rng(6)
+    rows = [("a" * 10, "a" * 8 + "bb"), ("a" * 10, "a" * 7 + "bbb"), ("", ""), ("", "abc"), ("a", "b"), ("ab" * 900, "ab" * 700 + "c" * 400)]
+    rows += [tuple("".join(rng.choice(list("abc"), n)) for n in rng.integers(0, 90, 2)) for _ in range(300)]
+    for _ in range(200):  # changed copies
+        w = rng.choice(list("abcdefgh "), 200)
+        x = "".join(w)
+        for i in rng.integers(0, 200, 5):
+            w[i] = rng.choice(["", "z", "zz"])
+        rows.append((x, "".join(w)))
+    for a, b in rows:
+        assert L.edit_distance(a, b) == distance(a, b)
+        assert L.edit_similar(a, b, 80) == (distance(a, b) <= max(len(a), len(b)) * 20 // 100)
 
 
 def test_components(spark):
