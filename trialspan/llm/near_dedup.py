@@ -41,9 +41,8 @@ def sketch_rows(docs: DataFrame, id_col: str, text_col: str, words: int, k: int)
     """(doc_id, n, set_id, sketch) per row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                sets = shingles(texts[a:b], words)
+            for a, b, texts in slices(batch.column(1)):
+                sets = shingles(texts, words)
                 heads = [s[:k].view(np.int64) for s in sets]
                 ends = np.concatenate([[0], np.cumsum([len(h) for h in heads])])
                 yield pa.RecordBatch.from_arrays([
@@ -60,9 +59,8 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words
     """(node, shingles) of the rows whose id is in ``ids`` (node)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                sets = [s.view(np.int64) for s in shingles(texts[a:b], words)]
+            for a, b, texts in slices(batch.column(1)):
+                sets = [s.view(np.int64) for s in shingles(texts, words)]
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a),

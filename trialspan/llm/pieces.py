@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -29,8 +30,8 @@ from .common import read
 
 MARK = "▁"
 LONG = 2048  # symbols
-CHARS = 2_000_000  # characters encoded at a time
-WORDS = 200_000  # distinct words a task remembers
+CHARS = 300_000  # bytes of text encoded at a time
+WORDS = 100_000  # distinct words a task remembers
 NONE = np.int64(1) << 30
 
 
@@ -248,16 +249,14 @@ def pieces(model: bytes) -> Pieces:
     return _LOADED[key]
 
 
-def slices(texts: list[str | None], chars: int = CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of a batch with about ``chars`` characters, so memory does not follow the number of long texts."""
-    a = total = 0
-    for i, t in enumerate(texts):
-        if i > a and total + len(t or "") > chars:
-            yield a, i
-            a, total = i, 0
-        total += len(t or "")
-    if a < len(texts):
-        yield a, len(texts)
+def slices(column: pa.Array, chars: int = CHARS) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Ranges of a column of texts with about ``chars`` bytes and their texts, so that memory does not follow a batch."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + chars, side="right")))
+        yield a, b, column.slice(a, b - a).to_pylist()
+        a = b
 
 
 def sha(text: str) -> str:
@@ -278,9 +277,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
         for batch in batches:
-            texts = batch.column(len(names)).to_pylist()
-            for a, b in slices(texts):
-                ids, counts, joined = p.encode(texts[a:b])
+            for a, b, texts in slices(batch.column(len(names))):
+                ids, counts, joined = p.encode(texts)
                 back = p.decode(ids, counts)
                 cols = [batch.column(i).slice(a, b - a) for i in range(len(names))]
                 cols += [pa.array(counts, pa.int64()), pa.array(list(map(sha, joined)), pa.string()),

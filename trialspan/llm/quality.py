@@ -34,7 +34,7 @@ ROUNDS = 3
 SURE = 0.98  # calibrated probability of a pseudo-label
 WORDS = 256  # hashed words
 META = 96  # hashed metadata
-CHARS = 1_000_000
+CHARS = 300_000  # bytes of text at a time
 _KIND = np.full(256, 7, dtype=np.int64)  # byte kinds: 0 space, 1 lower, 2 upper, 3 digit, 4 sentence signs, 5 other signs, 6 line feed, 7 beyond ASCII
 _KIND[:128] = 5
 for _chars, _kind in ((b" \t\r\x0b\x0c", 0), (bytes(range(97, 123)), 1), (bytes(range(65, 91)), 2), (b"0123456789", 3), (b".,;:?'\"()-", 4), (b"\n", 6)):
@@ -162,9 +162,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def view(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t, m0, m1, m2, y, held = (batch.column(i).to_pylist() for i in range(6))
-            for a, b in slices(t, CHARS):
-                x = np.hstack([text_view(t[a:b]), meta_view(m0[a:b], m1[a:b], m2[a:b])]).astype(np.float32)
+            m0, m1, m2, y, held = (batch.column(i).to_pylist() for i in range(1, 6))
+            for a, b, t in slices(batch.column(0), CHARS):
+                x = np.hstack([text_view(t), meta_view(m0[a:b], m1[a:b], m2[a:b])]).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), pa.array(y[a:b], pa.int32()),
                                                   pa.array(held[a:b], pa.bool_())], names=["x", "y", "held"])
 
@@ -190,9 +190,9 @@ def score(docs: DataFrame, model: CoTrained, text_col: str = "text", meta: tuple
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t, m0, m1, m2 = (batch.column(n + i).to_pylist() for i in range(4))
-            for a, b in slices(t, CHARS):
-                p = model.score(text_view(t[a:b]), meta_view(m0[a:b], m1[a:b], m2[a:b]))
+            m0, m1, m2 = (batch.column(n + i).to_pylist() for i in range(1, 4))
+            for a, b, t in slices(batch.column(n), CHARS):
+                p = model.score(text_view(t), meta_view(m0[a:b], m1[a:b], m2[a:b]))
                 cols = [batch.column(i).slice(a, b - a) for i in range(n)]
                 if at_least is None:
                     yield pa.RecordBatch.from_arrays([*cols, *[pa.array(x, pa.float64()) for x in p]], names=out.names)
