@@ -143,14 +143,15 @@ def neighbours(df: DataFrame, axis: Axis, cols: list[str], before: int = 1, afte
     per-block carry of its first and last few rows.
     """
     fields = list(dict.fromkeys([*axis.order, *cols]))
-    row, asc, wb = F.struct(*fields), axis.local(), axis.blocks()
-    b = axis.blocked(df)
+    held = [*fields, "__is"]  # a row is there even if its time is NULL
+    row, asc, wb = F.struct(*held), axis.local(), axis.blocks()
+    b = axis.blocked(df).withColumn("__is", F.lit(True))
 
     # a row is among the first n of its block iff there is none n rows before it
     one = F.lit(1)
     head = F.lag(one, after).over(asc).isNull() if after else F.lit(False)
     tail = F.lead(one, before).over(asc).isNull() if before else F.lit(False)
-    edge = (b.select(AT, *fields).withColumns({"__head": head, "__tail": tail})
+    edge = (b.select(AT, *held).withColumns({"__head": head, "__tail": tail})
             .where("__head or __tail").groupBy(AT)
             .agg(F.array_sort(F.collect_list(F.when(F.col("__tail"), row))).alias("__t"),
                  F.array_sort(F.collect_list(F.when(F.col("__head"), row))).alias("__h")))
@@ -161,11 +162,11 @@ def neighbours(df: DataFrame, axis: Axis, cols: list[str], before: int = 1, afte
         carry.append(F.flatten(F.collect_list("__h").over(wb.rowsBetween(1, after))).alias("__cn"))
     sides = [("prev", F.lag, "__cp", before), ("next", F.lead, "__cn", after)]
     local = [fn(f, i).over(asc).alias(f"__{side}{i}_{f}") for side, fn, _, n in sides for i in range(1, n + 1)
-             for f in fields]
+             for f in held]
     out = b.select("*", *local).join(edge.select(AT, *carry), AT, "left")
 
     def near(side: str, carried: str, i: int, f: str) -> Column:
-        here = lambda j: F.col(f"__{side}{j}_{axis.ts}").isNotNull()
+        here = lambda j: F.col(f"__{side}{j}___is").isNotNull()
         inside = sum((here(j).cast("int") for j in range(1, i)), F.lit(0))
         return F.when(here(i), F.col(f"__{side}{i}_{f}")).otherwise(
             F.get(F.col(carried), F.lit(i - 1) - inside)[f]).alias(f"__{side}{i}_{f}")

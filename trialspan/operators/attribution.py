@@ -116,15 +116,16 @@ def shapley_permutation(score: Callable[[DataFrame], DataFrame], train: DataFram
     order = F.transform(F.array_sort(F.array(*[
         F.struct(hash_key("row_id", F.lit(i), seed=seed).alias("h"), F.lit(i).alias("i")) for i in range(d)])),
         lambda s: s["i"])
-    steps = (attach_one(rows, backs).withColumn("order", order)
+    # place of each feature in the row's order
+    place = F.transform(F.array_sort(F.transform("order", lambda i, k: F.struct(i.alias("i"), k.alias("k")))), lambda s: s["k"])
+    steps = (attach_one(rows, backs).withColumn("order", order).withColumn("place", place)
              .withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(2 * d)))))
     # steps 0..d switch on the first `step` features; steps d+1..2d switch the same ones off again
-    on = F.when(F.col("step") <= d, F.slice("order", 1, F.col("step"))).otherwise(
-        F.slice("order", F.col("step") - d + 1, F.lit(2 * d) - F.col("step")))
-    masked = steps.withColumn("on", on).withColumn("b", F.explode("backs"))
-    fed = masked.select("row_id", "step", F.inline(F.array(F.struct(*[
-        F.when(F.array_contains("on", i), F.get("x", i)).otherwise(F.get("b", i)).alias(c)
-        for i, c in enumerate(cols)]))))
+    masked = steps.withColumn("b", F.explode("backs"))
+    on = lambda i: F.when(F.col("step") <= d, F.get("place", F.lit(i)) < F.col("step")).otherwise(
+        F.get("place", F.lit(i)) >= F.col("step") - d)
+    fed = masked.select("row_id", "step", *[F.when(on(i), F.get("x", F.lit(i))).otherwise(F.get("b", F.lit(i))).alias(c)
+                                            for i, c in enumerate(cols)])
     means = score(fed).groupBy("row_id", "step").agg(F.avg(out).alias("f"))
     path = means.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("step", "f"))).alias("p"))
     f = lambda i: F.get("p", i)["f"]

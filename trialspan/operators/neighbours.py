@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import hash_key
 from ..functions.sizing import cut
 
-PIVOTS = (4, 512)  # fewest and most; in between a quarter of the root of the distinct references
+PIVOTS = 4  # fewest; otherwise a quarter of the root of the distinct references
 REF_BLOCK = 20_000
 QUERY_BLOCK = 5_000
 _CHUNK = 4_000_000  # distance entries held at once
@@ -138,7 +138,7 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, p: int = 2, skip_self:
     folded = cut(fold_copies(refs, need))
     asked = queries.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
     if pivots is None:
-        pivots = min(max(int(folded.count() ** 0.5 / 4), PIVOTS[0]), PIVOTS[1])
+        pivots = max(int(folded.count() ** 0.5 / 4), PIVOTS)
     pv = choose_pivots(folded, pivots)
     if not len(pv):
         return queries.select("id", F.lit(None).cast("bigint").alias("rid"), F.lit(None).cast("double").alias("dist"),

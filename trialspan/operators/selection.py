@@ -155,9 +155,8 @@ def permutation_importance(model, df: DataFrame, id_col: str, cols: Sequence[str
     pairs = a.join(b, "__r")
     # variant -1 keeps the row as it is
     variants = pairs.withColumn("i", F.explode(F.sequence(F.lit(-1), F.lit(len(cols) - 1))))
-    swapped = F.transform("v", lambda x, j: F.when(j == F.col("i"), F.get(F.col("w"), j)).otherwise(x))
-    fed = variants.select("i", "__y", F.inline(F.array(F.struct(*[F.get(swapped, i).alias(c)
-                                                                  for i, c in enumerate(cols)]))))
+    fed = variants.select("i", "__y", *[F.when(F.col("i") == j, F.get("w", F.lit(j))).otherwise(F.get("v", F.lit(j))).alias(c)
+                                        for j, c in enumerate(cols)])
     scored = model.transform(fed)
     hit, pos = F.col(prediction) == 1, F.col("__y") == 1
     counts = scored.groupBy("i").agg(F.count_if(hit & pos).alias("tp"), F.count_if(hit & ~pos).alias("fp"),

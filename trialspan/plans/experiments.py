@@ -57,10 +57,14 @@ def cross_validate(df: DataFrame, id_col: str, cols: Sequence[str], y: str, mode
     keep = [id_col, y, *([group] if group else []), *cols]
     folded = (sampling.group_folds(df.select(*keep), group, y, k, seed) if group
               else sampling.stratified_folds(df.select(*keep), id_col, y, k, seed))
+    if trials and "KNN" in models:
+        raise ValueError("the neighbour classifier has no search space; give its parameters and leave trials at 0")
     folded, out = cut(folded), []
     for fold in range(k):
         train, test = sampling.take_fold(folded, fold, k)
-        names = selection.select_lasso(train, id_col, cols, y, alphas, seed) or list(cols)
+        names = selection.select_lasso(train, id_col, cols, y, alphas, seed)
+        if not names:
+            raise ValueError(f"the lasso keeps no column in fold {fold}; give smaller alphas")
         n_train, n_val = train.count(), test.count()
         used = train.select(id_col, y, *names)
         if resample:
@@ -70,7 +74,7 @@ def cross_validate(df: DataFrame, id_col: str, cols: Sequence[str], y: str, mode
                 F.xxhash64(F.col(id_col), F.col("copy")))).drop("copy"))
         for name in models:
             chosen = dict((params or {}).get(name, {}))
-            if trials and name != "KNN":
+            if trials:
                 inner = sampling.stratified_folds(used, id_col, y, 3, seed)
                 model, chosen, _ = tune(name, inner, names, y, trials, 3, seed, "fold")
                 pred = predict(model, test.select(id_col, y, *names))

@@ -123,7 +123,9 @@ def tune(name: str, df: DataFrame, cols: Sequence[str], y: str, n: int = 30, fol
                                     .transform(data.where(F.col(fold_col) == i))) for i in range(folds)]
             found.append((float(np.mean(marks)), p))
         best = max(found, key=lambda t: t[0])
-        return fit_lda(data, cols, label, **best[1]), best[1], best[0]
+        model = fit_lda(data, cols, label, **best[1])
+        data.unpersist()
+        return model, best[1], best[0]
     n_rows = data.count()
     est = estimator(name, label, {}, n_rows)
     pipe = Pipeline(stages=[VectorAssembler(inputCols=list(cols), outputCol="features"), est])

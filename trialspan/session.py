@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -13,6 +17,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -23,7 +28,24 @@ def session(master: str | None = None, app: str = "trialspan", **extra: str) ->
         builder = builder.master(master)
     for k, v in {**SETTINGS, **extra}.items():
         builder = builder.config(k, v)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, whose Python tasks import it by name; once for a session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_trialspan_sent", False):
+        return
+    here, d = Path(__file__).resolve().parent, tempfile.mkdtemp(prefix="trialspan-")
+    atexit.register(shutil.rmtree, d, True)  # the driver serves the file to executors while it runs
+    out = Path(d) / "trialspan.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    sc.addPyFile(str(out))
+    sc._trialspan_sent = True
 
 
 def shared_dir(spark: SparkSession) -> str:
