@@ -34,7 +34,7 @@ from .hashing import U, Words, mix, stream
 CUT = 3  # a paragraph is cut after one word in 2 ** CUT
 CELLS = 15  # of the table that is the fingerprint
 GROW = 4
-CHARS = 1_000_000  # of a slice
+CHARS = 300_000  # of a slice
 _SEED = stream(9, 64) | U(1)
 _SET = np.dtype([("count", "<i4"), ("digest", "<u8"), ("check", "<u4")])
 
@@ -216,7 +216,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 names=["doc_id", *names])
 
         for batch in batches:
-            for extra, r, i, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            texts = (x.as_py() for x in batch.column(3))  # one at a time
+            for extra, r, i, text in zip(*(batch.column(k).to_pylist() for k in range(3)), texts, strict=True):
                 if last is not None and last[0] == r:
                     held.append((last[1], last[2], text))
                     size += len(last[2]) + len(text)
