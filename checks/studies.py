@@ -228,6 +228,19 @@ def _(spark, sf):
     return at.shapley_permutation(at.probability_score(model), train, test, "vec_id", FEW, 20, 10)
 
 
+@check("shapley_of_linear_score", "row_id:l, feature:s, shap:d6, base_value:d6, data:d9", """
+with b as (select vec_id from rows where vec_id % 4 <> 0 order by md5(concat('42:b:', cast(vec_id as varchar))), vec_id limit 100),
+t as (select vec_id from rows where vec_id % 4 = 0 order by md5(concat('42:t:', cast(vec_id as varchar))), vec_id limit 50),
+m as (select dim, avg(x) as m from cells join b using (vec_id) group by 1)
+select vec_id as row_id, 'x' || dim as feature, dim * 0.5 * (x - m) as shap, (select sum(dim * 0.5 * m) from m) as base_value, x as data
+from cells join t using (vec_id) join m using (dim)""")
+def _(spark, sf):
+    """Permutation Shapley values (100 background and 50 test rows, all columns) of a score whose values are known."""
+    train, test = split(spark, sf)
+    linear = lambda df: df.withColumn("score", sum((F.col(c) * (0.5 * (i + 1)) for i, c in enumerate(MATRIX)), F.lit(0.0)))
+    return at.shapley_permutation(linear, train, test, "vec_id", MATRIX)
+
+
 @check("shapley_linear", "row_id:l, feature:s, shap:d9, data:d9", """
 select vec_id as row_id, 'x' || dim as feature, dim * 0.5 * (x - avg(x) over (partition by dim)) as shap, x as data from cells""")
 def _(spark, sf):
@@ -378,6 +391,18 @@ def _(spark, sf):
     return mt.binary_metrics(models.predict(store.load_model(path), test.select("vec_id", "y", *FEW)), "y", "p")
 
 
+@check("save_load_same", "n:l, differ:l", "select count(*) as n, 0 as differ from rows where vec_id % 4 = 0")
+def _(spark, sf):
+    """Rows whose prediction by the stored model is not that of the fitted one, on all columns."""
+    train, test = split(spark, sf)
+    path, model = scratch(spark, "model"), models.fit("LogReg", train, MATRIX, "y")
+    store.save_model(model, path)
+    rows = test.select("vec_id", *MATRIX)
+    both = models.predict(model, rows).select("vec_id", "p").join(
+        models.predict(store.load_model(path), rows).select("vec_id", F.col("p").alias("q")), "vec_id")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p") != F.col("q")).alias("differ"))
+
+
 # --- streams --------------------------------------------------------------------------------
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -441,3 +466,16 @@ def _(spark, sf):
     rows = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 1).parquet(path)
     out = live.score_stream(rows, models.fit("LogReg", m, FEW, "y"), FEW).select("vec_id", "prediction")
     return _drain(spark, out, "score")
+
+
+@check("stream_score_same", "n:l, differ:l", "select count(*) as n, 0 as differ from rows")
+def _(spark, sf):
+    """Rows whose streamed score by a stored model is not the batch prediction, on all columns."""
+    m = matrix(spark, sf).select("vec_id", "y", *MATRIX)
+    path, stored, model = scratch(spark, "rows"), scratch(spark, "model"), models.fit("LogReg", m, MATRIX, "y")
+    m.repartition(3).write.parquet(path)
+    store.save_model(model, stored)
+    rows = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = live.score_stream(rows, store.load_model(stored), MATRIX).select("vec_id", "prediction")
+    both = _drain(spark, out, "score").join(models.predict(model, m.select("vec_id", *MATRIX)).select("vec_id", "p"), "vec_id")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("prediction") != F.col("p")).alias("differ"))
