@@ -34,7 +34,7 @@ from .pieces import slices
 
 K = 64  # retained values
 SHARED = 0.45  # share of a sketch that a linked sketch has too, for certain but for 1e-8 at a similarity of 0.8
-BLOCK = 512  # classes of a contested list on one side of a block
+BLOCK = 256  # classes of a contested list on one side of a block
 
 
 def sketch_rows(docs: DataFrame, id_col: str, text_col: str, words: int, k: int) -> DataFrame:
@@ -108,7 +108,10 @@ def contested_links(rows: DataFrame, sets: DataFrame, sketches: DataFrame, perce
         as_ = lambda p: side.select("value", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "comp", "n", "blocks", *cols)])
         left = as_("x").withColumn("salt", F.pmod(F.xxhash64("x_node"), F.col("x_blocks")).cast("int"))
         right = as_("y").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("y_blocks") - 1)))
-        return left.join(right, ["value", "salt"]).where((F.col("x_node") < F.col("y_node")) & (F.col("x_comp") != F.col("y_comp")) & near_size & also
+        # dealt out by key here: a block is as small as it should be, splitting it further would only copy its other side
+        parts = int(side.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        left, right = (x.repartition(parts, "value", "salt") for x in (left, right))
+        return left.join(right.hint("merge"), ["value", "salt"]).where((F.col("x_node") < F.col("y_node")) & (F.col("x_comp") != F.col("y_comp")) & near_size & also
                                                          ).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
 
     one = rows.where("merged").select(F.col("chain").alias("value"), "node", "comp", "n", F.col("u").alias("m")).distinct().join(sets, "node")
