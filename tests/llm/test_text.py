@@ -182,6 +182,105 @@ def test_licences(spark, text, licences):
     assert got.licences == licences and got.n_licences == len([x for x in licences.split(",") if x])
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD3 = """Copyright (c) 2020, Some One
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """Copyright 2020 Some One
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL2 = """Copyright (C) 2020 Some One
+
+This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+GPL3 = GPL2.replace("software;", "software:").replace("Foundation; either version 2", "Foundation, either version 3")
+ISC = """ISC License
+
+Copyright (c) 2020 Some One
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+@pytest.mark.parametrize("form", [str, lambda t: t.replace("\n", "\r\n"), lambda t: "".join(f" * {x}\n" for x in t.split("\n")),
+                                  lambda t: "".join(f"// {x}\n" for x in t.split("\n")),
+                                  lambda t: "\n\n".join(" ".join(x.split()) for x in t.split("\n\n"))])
+@pytest.mark.parametrize("text,licence,sentences", [
+    (MIT, "MIT", "mit-head,copyright,mit-grant,mit-notice,as-is,no-liability"),
+    (BSD3, "BSD-3-Clause", "copyright,all-rights,bsd-grant,bsd-source,bsd-binary,bsd-names"),
+    (BSD3[:BSD3.index("3. N")].replace("1. ", "(a) ").replace("2. ", "(b) "), "BSD-2-Clause", "copyright,all-rights,bsd-grant,bsd-source,bsd-binary"),
+    (APACHE, "Apache-2.0", "copyright,notice-Apache-2.0,apache-use,apache-copy,apache-as-is"),
+    (GPL2, "GPL-2.0", "copyright,gpl-free2,gpl-no-warranty"), (GPL3, "GPL-3.0", "copyright,gpl-free3,gpl-no-warranty"),
+    (ISC, "ISC", "copyright,isc-grant"), (MPL, "MPL-2.0", "mpl-source"),
+])
+def test_standard_texts(spark, text, licence, sentences, form):
+    """Verbatim, wrapped as licence files and source headers are, and unwrapped."""
+    got = R.recognise(spark.createDataFrame([(1, form(text))], "doc_id long, text string")).first()
+    if "All rights" in text and "\n" in text and "One All" in form(text):  # unwrapped: the copyright sentence goes on
+        sentences = sentences.replace(",all-rights", "")
+    assert (got.licences, got.sentences, got.n_licences) == (licence, sentences, 1)
+
+
 def test_licences_edges(docs):
     assert R.recognise(docs).count() == docs.count()
     assert R.recognise(docs.limit(0)).count() == 0

@@ -1,11 +1,13 @@
 r"""Licence recognition by sentences and rules.
 
-A text is cut into sentences, each sentence is normalised and mapped to a known licence-sentence identifier; a
+A text is normalised and its ends of sentences are marked: hard ones at full stops, blank lines and list marks,
+soft ones at line breaks and semicolons. A known licence sentence that stands between two marks gets its
+identifier, whatever marks it has inside, so wrapped texts and comment blocks are read like unwrapped ones; a
 sentence of the form "... licensed under X" maps to the notice of X. The identifiers in text order, with ``_``
-for any other sentence, are matched against ordered licence rules: fuller licences come first and take their
-sentences, so that shorter rules see only what is left. Between two sentences of a rule up to ``GAP`` others may
-stand. Texts without any word that every known sentence has are answered without cutting them; that such words
-exist is checked when the tables are built.
+for any other sentence (up to its hard end), are matched against ordered licence rules: fuller licences come first
+and take their sentences, so that shorter rules see only what is left. Between two sentences of a rule up to
+``GAP`` others may stand. Texts without any word that every known sentence has are answered without cutting them;
+that such words exist is checked when the tables are built.
 
 Defined cases: a null text is empty; a text without licence sentences has empty strings and 0; rows that repeat
 an id each get a row; very long texts are read whole; other columns are not read.
@@ -22,6 +24,13 @@ GAP = 2
 CUT = r"[.!?;]+[\x20\x09-\x0D]+|[\x0A\x0D]+"
 NOTICE = (r"^(?:(?:this|the|our|all)(?: [a-z]+){1,3} (?:is|are) )?(?:dual )?(?:licensed|released|distributed|available|published|provided|"
           r"made available) (?:to you )?under (?:the )?(?:terms of )?(?:the )?(.+?)(?: license| licence)?(?: see [a-z ]+)?$")
+# the same between marks, with the name's expression; a definition such as (the "License") may follow the name
+UNDER = ("(?:(?:this|the|our|all)(?:S[a-z]+){{1,3}}S(?:is|are)S)?(?:dualS)?(?:licensed|released|distributed|available|published|provided|madeSavailable)S"
+         "(?:toSyouS)?underS(?:theS)?(?:termsSofS)?(?:theS)?(?:{name})(?:Slicen[cs]e)?(?:StheSlicen[cs]e)?(?:Ssee(?:S[a-z]+)+)?"
+         ).replace("S", "(?: /)? ")
+# list marks at the start of a line, and what follows "copyright" inside a sentence
+LIST = "[(]?[0-9]{1,2}|[(]?[a-z]|[(][ivx]{1,4}"
+INSIDE = "(?:notices?|holders?|owners?|laws?|statements?|licen[cs]es?|and|or|of|in|is|to|by law)[ ]"
 SPDX = r"^spdx license identifier (.+)$"
 CUES = "licen|copyright|warrant|permission|rights reserved|redistribut|public domain|spdx|free software|liab|under "
 
@@ -120,22 +129,50 @@ def pattern(rule: str) -> str:
     return "".join(parts) + "( |$)"
 
 
-def identifier(sentence: Column, known: Column) -> Column:
-    """Identifier of a sentence; null for an empty one."""
-    s = F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
-    named = F.concat(F.lit("@"), F.regexp_extract(s, NOTICE, 1))
-    spdx = F.concat(F.lit("@"), F.regexp_extract(s, SPDX, 1))
-    found = F.coalesce(F.try_element_at(known, s), F.try_element_at(known, named), F.try_element_at(known, spdx),
-                       F.when(s.startswith("copyright "), "copyright"))
-    return F.when(s != "", F.coalesce(found, F.lit("_")))
+def marked(text: Column) -> Column:
+    """Words with ``|`` at hard and ``/`` at soft ends of sentences, each between blanks; both ends are hard."""
+    t = F.regexp_replace(F.regexp_replace(F.lower(text), "[|/=~^]", " "), r"\r\n?", "\n")
+    t = F.regexp_replace(t, rf"(?m)^([^a-z0-9\n]*(?:{LIST})[.)])(?=[\x20\x09])", "| $1 |")
+    t = F.regexp_replace(t, r"[.!?]+;*[\x20\x09-\x0D]+|;+[.!?]+[\x20\x09-\x0D]+|\n[^a-z0-9\n|]*(?=\n)", " | ")
+    t = F.regexp_replace(t, r"\n|;+[\x20\x09-\x0D]+", " / ")
+    t = F.regexp_replace(F.concat(F.lit("| "), t, F.lit(" |")), "[^a-z0-9|/]+", " ")
+    t = F.regexp_replace(t, r"[|/](?: [|/])* [|](?: [|/])*|[|](?: [|/])+", "|")
+    return F.regexp_replace(t, "/(?: /)+", "/")
+
+
+def phrase(words: str) -> str:
+    """Regular expression of words that may have ends of sentences between them."""
+    return words.replace(" ", "(?: [|/])? ")
+
+
+def identifiers(text: Column) -> Column:
+    """Identifiers of the sentences of a text, joined by blanks."""
+    found, known = marked(text), {}
+    for sentence, i in tables().items():
+        known.setdefault((i, sentence[0] == "@"), []).append(sentence.lstrip("@"))
+    for (i, name), sentences in known.items():
+        if not name:
+            some = "|".join(phrase(s) for s in sorted(sentences, key=len, reverse=True))
+            found = F.regexp_replace(found, f"([|/]) (?:{some})(?= [|/])", f"$1 ={i}=")
+    cue = found.rlike("under |spdx ")
+    named = found
+    for (i, name), sentences in known.items():
+        if name:
+            some = "|".join(phrase(s) for s in sorted(sentences, key=len, reverse=True))
+            named = F.regexp_replace(named, f"([|/]) (?:{UNDER.format(name=some)}|{phrase('spdx license identifier ')}(?:{some}))(?= [|/])", f"$1 ={i}=")
+    found = F.when(cue, named).otherwise(found)
+    # a copyright line; after an unfinished sentence only what is none of its usual words
+    found = F.regexp_replace(found, r"([|] |= / )copyright [^|/=]+(?= [|/])", "$1=copyright=")
+    found = F.regexp_replace(found, rf"(/ )copyright (?!{INSIDE})[^|/=]+(?= [|/])", "$1=copyright=")
+    found = F.regexp_replace(found, r"=copyright= / [^|/=]+(?: / [^|/=]+)*(?= [|/])", "=copyright=")
+    found = F.regexp_replace(found, r"([|/]) [^|/=]+(?: / [^|/=]+)*(?= [|/])", "$1 _")
+    return F.trim(F.regexp_replace(found, "[ |/=]+", " "))
 
 
 def recognise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, licences and identifiers in text order (comma-joined), n_licences."""
-    known = F.create_map(*[F.lit(x) for kv in tables().items() for x in kv])
     text = F.coalesce(F.col(text_col), F.lit(""))
-    ids = F.filter(F.transform(F.split(text, CUT, -1), lambda s: identifier(s, known)), lambda i: i.isNotNull())
-    line = F.when(text.rlike(f"(?i){CUES}"), F.concat(F.lit(" "), F.array_join(ids, " "))).otherwise("")
+    line = F.when(text.rlike("(?i)" + CUES.replace(" ", "[^a-z0-9]+")), F.concat(F.lit(" "), identifiers(text))).otherwise("")
     found = F.col("sequence")
     for licence, rule in RULES:
         found = F.regexp_replace(found, pattern(rule), f" ={licence}= ")
