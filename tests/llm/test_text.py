@@ -322,6 +322,24 @@ def test_mixing(spark, docs):
     assert M.take_mix(docs, dims).columns == docs.columns
 
 
+def test_mixing_meets_targets_beyond_full_cells(spark):
+    """Cells that are too small for their share are taken whole and the others of their categories take over."""
+    n = {("a", "x"): 100, ("a", "y"): 900, ("b", "x"): 500, ("b", "y"): 8500}
+    rows = [(i, " ".join(["w"] * 10), s, t) for (s, t), k in n.items() for i in range(k)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, s string, t string")
+    dims = {d: F.col(d) for d in "st"}
+    even = lambda d, a, b: spark.createDataFrame([(a, .4), (b, .6)], f"{d} string, share double")
+    told = M.mix(docs, dims, {"s": even("s", "a", "b"), "t": even("t", "x", "y")}, budget=.1)
+    got = {(r.s, r.t): r.n for r in told.groupBy("s", "t").agg(F.sum(F.col("p") * F.col("tokens")).alias("n")).collect()}
+    assert got["a", "x"] == pytest.approx(1000) and sum(got.values()) == pytest.approx(10_000, rel=1e-5)
+    assert got["a", "x"] + got["a", "y"] == pytest.approx(4000, rel=1e-5) and got["a", "x"] + got["b", "x"] == pytest.approx(4000, rel=1e-5)
+    # targets that no sample can meet: all of a, the rest of the budget from b
+    with pytest.warns(UserWarning, match="exceed all tokens"):
+        told = M.mix(docs, {"s": F.col("s")}, {"s": even("s", "b", "a")}, budget=.5)
+    got = {r.s: r.n for r in told.groupBy("s").agg(F.sum(F.col("p") * F.col("tokens")).alias("n")).collect()}
+    assert got == {"a": pytest.approx(10_000), "b": pytest.approx(40_000, rel=1e-5)}
+
+
 # ---- quality
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"

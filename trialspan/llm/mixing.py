@@ -2,9 +2,12 @@ r"""Mixing sources to target weights by iterative proportional fitting (raking).
 
 Tokens are summed by cell (source, language, topic). A sweep scales the cells' weights to each target marginal
 in turn; after ``sweeps`` of them the weights match all marginals that can be met together. A document is then
-sampled with the calibrated probability of its cell: budget x weight share / tokens there, at most 1, against a
-uniform number made of its id, so the choice repeats on any cluster. All sweeps work on the cell table;
-documents are only counted and joined to their cell.
+sampled with the calibrated probability of its cell: budget x weight share / tokens there, against a
+uniform number made of its id, so the choice repeats on any cluster. If that is over 1 for some cell, the weights are
+raked with the tokens of each cell as a bound, until all marginals are met within ``TOLERANCE`` of the budget.
+A target above all tokens of its category takes the whole category and leaves the rest of its share to the others of
+its dimension in proportion to their targets; this and marginals that stay unmet are told by a warning. All sweeps
+work on the cell table; documents are only counted and joined to their cell.
 
 Defined cases: a null source, language or topic is the category ''; a null text has no tokens; documents of a
 cell without tokens, or whose target is 0, have probability 0; rows that repeat an id share their number, hence
@@ -13,6 +16,8 @@ their fate; a null id has one of its own; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +26,8 @@ from .common import join_counted, read, small, stored
 WORD = r"[^\x20\x09-\x0D]+"
 SWEEPS = 12
 BUDGET = 0.7  # share of all tokens
+TOLERANCE = 1e-6  # error of a marginal, as a share of the sample
+BOUNDED_SWEEPS = 200  # bounded raking gives up (and says so) after these
 ALPHA = 0.7  # a category with n tokens aims at a share in proportion to n ** ALPHA
 
 
@@ -53,6 +60,59 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
     return out.drop(*[f"__goal_{d}" for d in targets])
 
 
+def filled(df: DataFrame, part: list[str], weight: str, bound: str, goal: str) -> DataFrame:
+    """Scale ``weight`` in each part by the factor that makes the sum of least(bound, weight) the part's goal.
+
+    In order of bound / weight the first rows are full; a row's own factor counts if the row is not full under it,
+    and the largest of these is the factor sought. Parts that cannot reach the goal become full.
+    """
+    key = [F.col(c) for c in part] or [F.lit(0)]
+    order = Window.partitionBy(*key).orderBy(F.col("__ratio").asc_nulls_last())
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    full, open_ = F.coalesce(F.sum(bound).over(before), F.lit(0.0)), F.sum(weight).over(after)
+    out = df.withColumn("__ratio", F.when(F.col(weight) > 0, F.col(bound) / F.col(weight)))
+    out = out.withColumn("__factor", F.when(F.col(weight) > 0, (F.col(goal) - full) / open_))
+    own = Window.partitionBy(*key)
+    best = F.coalesce(F.max(F.when(F.col("__factor") <= F.col("__ratio"), F.greatest("__factor", F.lit(0.0)))).over(own), F.max("__ratio").over(own), F.lit(0.0))
+    return out.withColumn(weight, F.col(weight) * best).drop("__ratio", "__factor")
+
+
+def rake_bounded(cells: DataFrame, targets: dict[str, DataFrame], total: float) -> DataFrame:
+    """Add ``weight``: tokens to take of each cell, at most those it has, that sum to ``total`` and meet the target shares."""
+    out = cells
+    for dim, target in targets.items():
+        out = out.join(target.withColumnRenamed("share", f"__share_{dim}"), dim, "left").fillna(0.0, [f"__share_{dim}"])
+    wanted = F.least(*[F.col(f"__share_{d}") for d in targets], F.lit(1.0)) > 0
+    out = stored(out.withColumn("__bound", F.when(wanted, F.col("tokens").cast("double")).otherwise(0.0)), "bounds")
+    total = min(total, out.agg(F.sum("__bound")).first()[0] or 0.0)
+    if not total:
+        return out.withColumn("weight", F.lit(0.0)).drop("__bound", *[f"__share_{d}" for d in targets])
+    for dim in targets:
+        goals = out.groupBy(dim).agg(F.sum("__bound").alias("__all"), F.max(f"__share_{dim}").alias("__share"))
+        goals = goals.withColumn("__goal", F.col("__share")).withColumn("__total", F.lit(total))
+        goals = filled(goals.where("__all > 0"), [], "__goal", "__all", "__total")
+        goals = goals.withColumn("__even", F.col("__share") / F.sum("__share").over(Window.partitionBy(F.lit(0))) * total)
+        goals = stored(goals.select(dim, F.least("__goal", "__all").alias(f"__goal_{dim}"), "__even"), "bounded-goals")
+        short = goals.where(F.col("__even") - F.col(f"__goal_{dim}") > TOLERANCE * total)
+        if n := short.count():
+            some = [f"{r[0]!r}: {r[1] / total:.4f} of {r[2] / total:.4f}" for r in short.orderBy(F.col("__even").desc(), dim).limit(20).collect()]
+            warnings.warn(f"{n} targets of {dim} exceed all tokens of their category, which is taken whole: {', '.join(some)}", stacklevel=2)
+        out = out.join(goals.drop("__even"), dim, "left").fillna(0.0, [f"__goal_{dim}"])
+    out = stored(out.withColumn("weight", F.col("__bound")), "bounded")
+    take = F.least("weight", "__bound")
+    for k in range(BOUNDED_SWEEPS):
+        for dim in targets:
+            out = filled(out, [dim], "weight", "__bound", f"__goal_{dim}")
+        out = stored(out, "bounded")
+        if k % 4 == 3:
+            error = max(out.groupBy(d).agg(F.abs(F.sum(take) - F.max(f"__goal_{d}")).alias("e")).agg(F.max("e")).first()[0] for d in targets) / total
+            if error <= TOLERANCE:
+                break
+    else:
+        warnings.warn(f"no sample found that meets all targets: a marginal is {error:.6f} of the sample off", stacklevel=2)
+    return out.withColumn("weight", take).drop("__bound", *[f"__{x}_{d}" for d in targets for x in ("share", "goal")])
+
+
 def mix(docs: DataFrame, dims: dict[str, Column], targets: dict[str, DataFrame] | float = ALPHA, budget: float = BUDGET,
         sweeps: int = SWEEPS, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
     """One row per row of ``docs``: doc_id, the dimensions, tokens, p (inclusion probability) and sampled.
@@ -67,7 +127,10 @@ def mix(docs: DataFrame, dims: dict[str, Column], targets: dict[str, DataFrame]
         targets = {d: tempered(cells, d, targets) for d in names}
     raked = rake(cells, targets, sweeps)
     weight, tokens, n = raked.agg(F.sum("weight"), F.sum("tokens"), F.sum("docs")).first()
-    p = F.least(F.lit(1.0), F.lit(budget * (tokens or 0)) * F.col("weight") / F.lit(weight or 1.0) / F.col("tokens"))
+    p = F.lit(budget * (tokens or 0)) * F.col("weight") / F.lit(weight or 1.0) / F.col("tokens")
+    if (raked.where("tokens > 0").agg(F.max(p)).first()[0] or 0) > 1:
+        raked = rake_bounded(cells, targets, budget * tokens)
+        p = F.col("weight") / F.col("tokens")
     key = F.to_json(F.array(*names))
     odds = stored(raked.select(
         key.alias("__cell"), "docs", F.when(F.col("tokens") > 0, F.round(p, 9)).otherwise(0.0).alias("p")), "odds")
