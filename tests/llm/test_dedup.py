@@ -158,6 +158,31 @@ def test_lines_edges(spark, docs):
     assert text == "a\n\nc"
 
 
+def test_lines_by_edit_similarity_alone(spark):
+    """Copies with one word replaced, in lines of 3 to 60 words, and all short lines, against all pairs."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghiklmnoprstu"), rng.integers(3, 9)))
+    lines = []
+    for n in (3, 5, 6, 8, 12, 20, 27, 40, 60):
+        for _ in range(8):
+            w = [word() for _ in range(n)]
+            lines.append(" ".join(w))
+            w[rng.integers(n)] = word()
+            lines.append(" ".join(w))
+    lines += ["".join(rng.choice(list("ab c"), rng.integers(1, 12))) for _ in range(60)]
+    rows = [(i, x) for i, x in enumerate(lines)]
+    got = {r.doc_id: r.dropped for r in L.near_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first, groups = {}, Groups()
+    for i, x in enumerate(lines):
+        if L.normalised(x):
+            groups.join(i, first.setdefault(L.normalised(x), i))
+    for (x, a), (y, b) in combinations(first.items(), 2):
+        if L.edit_similar(x, y, 80):
+            groups.join(a, b)
+    want = {i: [0] if L.normalised(x) and groups.find(i) != i else [] for i, x in rows}
+    assert got == want and sum(map(len, want.values())) > 70
+
+
 def test_edit_similarity():
     rng = np.random.default_rng(6)
     rows = [("a" * 10, "a" * 8 + "bb"), ("a" * 10, "a" * 7 + "bbb"), ("", ""), ("", "abc"), ("a", "b"), ("ab" * 900, "ab" * 700 + "c" * 400)]
