@@ -6,7 +6,8 @@ from importlib import import_module
 
 import corpus_pipeline
 
-MODULES = ["exact_dedup", "pieces", "secrets", "near_dedup", "fingerprints", "html_text", "mixing", "quality", "licenses", "line_dedup"]
+MODULES = ["exact_dedup", "pieces", "secrets", "near_dedup", "fingerprints", "html_text", "mixing", "quality", "licenses", "line_dedup",
+           "token_counts"]
 
 
 def load() -> tuple[dict, dict]:
