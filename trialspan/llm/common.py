@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
@@ -62,3 +62,19 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, total:
 def no_space(text: Column) -> Column:
     """The text without its white space."""
     return F.translate(text, SPACES, "")
+
+
+def numbered(df: DataFrame, order: list[Column], name: str, out: str = "at") -> DataFrame:
+    """A stored copy whose column ``out`` counts the rows from 0 in the order given, whatever keys are frequent.
+
+    Sort ranges are spread over tasks; a table with one row per range says how many rows come before it. Rows that
+    tie in ``order`` are numbered in any order, the same one at every later read.
+    """
+    cut = stored(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                 .withColumn("__m", F.monotonically_increasing_id()), name)
+    part = F.shiftright("__m", 33)
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    # no more rows than shuffle partitions
+    starts = cut.groupBy(part.alias("__p")).count().select("__p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__s"))
+    return cut.join(F.broadcast(starts), part == F.col("__p")).withColumn(
+        out, F.col("__s") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__m", "__p", "__s")
