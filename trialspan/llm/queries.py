@@ -7,7 +7,7 @@ from importlib import import_module
 import corpus_pipeline
 
 MODULES = ["exact_dedup", "pieces", "secrets", "near_dedup", "fingerprints", "html_text", "mixing", "quality", "licenses", "line_dedup",
-           "token_counts", "merkle"]
+           "token_counts", "merkle", "prefix_trie"]
 
 
 def load() -> tuple[dict, dict]:
