@@ -115,6 +115,15 @@ def _(spark, sf):
     return nb.knn_join(v.where("id % 5 = 0"), v.where("id % 5 <> 0"), 5)
 
 
+@check("knn_join_approx", "n_queries:l, recall_ok:b",
+       "select count(*) as n_queries, true as recall_ok from embeddings where vec_id % 20 = 0")
+def _(spark, sf):
+    """Recall of the hashed index at k = 5, against the exact join of every twentieth row with all rows."""
+    v = nb.vectors(matrix(spark, sf), "vec_id", MATRIX)
+    found, exact = (nb.knn_join(v.where("id % 20 = 0"), v, 5, skip_self=True, mode=m) for m in ("approx", "exact"))
+    return nb.recall_of(found, exact).withColumn("recall_ok", F.col("recall") >= 0.9)
+
+
 @check("knn_classify", "vec_id:l, score:d, prediction:l", f"""
 with nn as ({NEAR}, b.y from rows a join rows b on a.vec_id % 5 = 0 and b.vec_id % 5 <> 0 qualify rank <= 7)
 select id as vec_id, sum(y / dist) / sum(1 / dist) as score,
@@ -142,6 +151,16 @@ def _(spark, sf):
     return long_cells(im.knn_impute(matrix(spark, sf, holes=True), "vec_id", MATRIX, 5))
 
 
+@check("knn_impute_approx", "vec_id:l, n_null:l, n_kept:l", """
+select vec_id, 0 as n_null, count_if(hole = 0) as n_kept from cells group by 1""")
+def _(spark, sf):
+    """Every missing cell is filled and every other cell stays as it was."""
+    m = matrix(spark, sf, holes=True)
+    out = long_cells(im.knn_impute(m, "vec_id", MATRIX, 5, mode="approx")).join(
+        long_cells(m).withColumnRenamed("x", "was"), ["vec_id", "dim"])
+    return out.groupBy("vec_id").agg(F.count_if(F.col("x").isNull()).alias("n_null"), F.count_if(F.col("x") == F.col("was")).alias("n_kept"))
+
+
 @check("knn_impute_train", "vec_id:l, dim:l, x:d", f"""
 with nn as ({NEAR} from fvect a join fvect b on a.vec_id <> b.vec_id and a.q = 1 and b.vec_id % 5 <> 0
   qualify rank <= 5),

@@ -1,4 +1,4 @@
-"""Exact k-nearest-neighbour join by pivots and blocks.
+"""K-nearest-neighbour join: exact by pivots and blocks, or approximate by a hashed bucket index.
 
 Exact copies are folded first: of each distinct reference vector only the k smallest ids can ever
 be among the k nearest (ties go by id), and equal queries share one search. The distinct
@@ -8,11 +8,16 @@ something nearer (triangle inequality, so no neighbour is lost). Large cells are
 blocks and crowded blocks get several query groups, so one task sees a bounded number of rows on
 both sides; distances live in NumPy blocks inside the task and only the k best per query and
 block are emitted.
+
+The approximate mode replaces cells by buckets: a few bits per vector, one for each direction. A query probes the buckets
+that it is nearest to; how many is measured on the data for a wanted recall, not assumed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,11 +25,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_key
-from ..functions.sizing import cut
+from ..functions.sizing import attach, cut
 
 PIVOTS = 4  # fewest; otherwise a quarter of the root of the distinct references
 REF_BLOCK = 20_000
 QUERY_BLOCK = 5_000
+BUCKET_ROWS = 64  # fewest references that a bucket should hold; otherwise the root of their number
+FIT_ROWS = 4096  # references that directions and thresholds are fitted on
+FIT_QUERIES = 256  # queries whose exact neighbours size the probing
+PROBES = 256  # most buckets a query visits
+FLIPS = 12  # most bits in which a probed bucket may differ
 _CHUNK = 4_000_000  # distance entries held at once
 
 
@@ -128,26 +138,12 @@ def _assign(refs: DataFrame, pivots: np.ndarray, p: int) -> DataFrame:
     return refs.mapInPandas(fn, "id long, ids array<long>, v array<double>, cell int, pd double")
 
 
-def knn_join(queries: DataFrame, refs: DataFrame, k: int, p: int = 2, skip_self: bool = False,
-             pivots: int | None = None, ref_block: int = REF_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """(id, rid, dist, rank) for the k nearest references of every query; both sides are (id, v).
-
-    ``skip_self`` leaves out the reference with the query's own id. Ties break by id.
-    """
-    need = k + 1 if skip_self else k
-    folded = cut(fold_copies(refs, need))
-    asked = queries.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
-    if pivots is None:
-        pivots = max(int(folded.count() ** 0.5 / 4), PIVOTS)
-    pv = choose_pivots(folded, pivots)
-    if not len(pv):
-        return queries.select("id", F.lit(None).cast("bigint").alias("rid"), F.lit(None).cast("double").alias("dist"),
-                              F.lit(None).cast("int").alias("rank")).where(F.lit(False))
+def _pivot_cells(folded: DataFrame, asked: DataFrame, n: int, need: int, p: int, pivots: int | None) -> tuple[DataFrame, DataFrame]:
+    """References with their cell, and the cells that each query has to visit so that no neighbour is lost."""
+    pv = choose_pivots(folded, pivots or max(int(n ** 0.5 / 4), PIVOTS))
     celled = cut(_assign(folded, pv, p))
-
-    # per cell: size, radius and the distances of the rows closest to the pivot
-    sizes = {r["cell"]: (r["n"], r["rad"]) for r in
-             celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("pd").alias("rad")).collect()}
+    # per cell: radius and the distances of the rows closest to the pivot
+    radii = {r["cell"]: r["rad"] for r in celled.groupBy("cell").agg(F.max("pd").alias("rad")).collect()}
     salted = Window.partitionBy("cell", "salt").orderBy("pd")
     inner = (celled.select("cell", "pd", F.pmod(F.xxhash64("id"), F.lit(256)).alias("salt"))
              .withColumn("r", F.row_number().over(salted)).where(F.col("r") <= need))
@@ -155,9 +151,8 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, p: int = 2, skip_self:
              .where(F.col("r") <= need).select("cell", "pd").collect())
     near_cell = np.array([r["cell"] for r in close])
     near_pd = np.array([r["pd"] for r in close])
-    cells = np.array(sorted(sizes))
-    radius = np.array([sizes[c][1] for c in cells])
-    blocks = {int(c): int(-(-sizes[c][0] // ref_block)) for c in cells}
+    cells = np.array(sorted(radii))
+    radius = np.array([radii[c] for c in cells])
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -171,19 +166,139 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, p: int = 2, skip_self:
             go = (d[:, cells] - radius[None, :]) <= (bound + slack)[:, None]
             qi, ci = np.nonzero(go)
             yield pd.DataFrame({"id": b["id"].to_numpy()[qi], "v": b["v"].to_numpy()[qi],
-                                "cell": cells[ci].astype("int32")})
-
-    visits = cut(asked.mapInPandas(visit, "id long, v array<double>, cell int"))
-    groups = {r["cell"]: int(-(-r["n"] // query_block)) for r in
-              visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_blk = F.create_map(*[x for c, b in blocks.items() for x in (F.lit(c), F.lit(b))])
-    n_grp = F.create_map(*[x for c in blocks for x in (F.lit(c), F.lit(groups.get(c, 0)))])
-
-    left = visits.select("id", "v", "cell", F.pmod(F.xxhash64("id"), n_grp[F.col("cell")]).alias("g"),
-                         F.explode(F.sequence(F.lit(0), n_blk[F.col("cell")] - 1)).alias("blk"))
-    right = (celled.select("id", "ids", "v", "cell", F.pmod(F.hash("id"), n_blk[F.col("cell")]).alias("blk"),
-                           n_grp[F.col("cell")].alias("ng")).where("ng > 0")
-             .select("id", "ids", "v", "cell", "blk", F.explode(F.expr("sequence(0L, cast(ng - 1 as bigint))")).alias("g")))
+                                "cell": cells[ci].astype("int64")})
+
+    return celled.select("id", "ids", "v", F.col("cell").cast("long").alias("cell")), asked.mapInPandas(
+        visit, "id long, v array<double>, cell long")
+
+
+@dataclass(frozen=True)
+class Buckets:
+    """Hash of a vector: one bit per direction, set above the threshold; queries go to their ``probes`` best buckets."""
+
+    directions: np.ndarray
+    thresholds: np.ndarray
+    probes: int
+    recall: float
+
+    def margins(self, v: np.ndarray) -> np.ndarray:
+        return v @ self.directions - self.thresholds
+
+    def code(self, margins: np.ndarray) -> np.ndarray:
+        return ((margins > 0) << np.arange(margins.shape[1], dtype=np.int64)).sum(1)
+
+    def ranked(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket codes in the order in which a query would visit them, and their scores (squared margins of flipped bits)."""
+        w = min(margins.shape[1], FLIPS)
+        weak = np.argsort(np.abs(margins), axis=1, kind="stable")[:, :w]
+        flips = (np.arange(1 << w)[:, None] >> np.arange(w)[None, :]) & 1
+        score = np.take_along_axis(margins * margins, weak, 1) @ flips.T.astype("float64")
+        order = np.argsort(score, axis=1, kind="stable")
+        codes = self.code(margins)[:, None] ^ ((np.int64(1) << weak) @ flips.T)
+        return np.take_along_axis(codes, order, 1), np.take_along_axis(score, order, 1)
+
+
+def _nearest_of_few(few: list, refs: DataFrame, need: int, p: int) -> DataFrame:
+    """(q, rid, dist, v) of the exact nearest references of a few collected queries, in one pass over the references."""
+    ids, qv = np.array([r["id"] for r in few]), np.array([r["v"] for r in few], dtype="float64")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                qi, ri, d = _candidates(qv, _stack(b["v"]), need, p)
+                order = np.lexsort((b["id"].to_numpy()[ri], d, qi))
+                order = order[_first(qi[order], need)]
+                yield pd.DataFrame({"q": ids[qi[order]], "rid": b["id"].to_numpy()[ri[order]], "dist": d[order],
+                                    "v": b["v"].to_numpy()[ri[order]]})
+
+    found = refs.select("id", "v").mapInPandas(scan, "q long, rid long, dist double, v array<double>")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("dist", "rid"))
+    return found.withColumn("r", rank).where(F.col("r") <= need).drop("r")
+
+
+def fit_buckets(refs: DataFrame, queries: DataFrame, n: int, need: int, p: int, recall: float) -> Buckets:
+    """Directions, thresholds and number of probes for ``n`` references.
+
+    Directions are the leading components of ``FIT_ROWS`` references and thresholds their medians, one bit for each
+    halving down to ``BUCKET_ROWS`` or the root of n. The exact neighbours of ``FIT_QUERIES`` queries among all references tell how many
+    probes find the share ``recall`` of them; bits are given up until that takes at most ``PROBES``. All references are
+    indexed; without bits the join is exact.
+    """
+    pick = lambda df, m: df.orderBy(hash_key("id", seed="buckets"), "id").limit(m).collect()
+    x = np.array([r["v"] for r in pick(refs, FIT_ROWS)], dtype="float64")
+    bits = min(x.shape[1], max(0, math.ceil(math.log2(n / max(BUCKET_ROWS, n ** 0.5)))))
+    _, vectors_ = np.linalg.eigh(np.atleast_2d(np.cov(x.T)) if len(x) > 1 else np.eye(x.shape[1]))
+    w = vectors_[:, ::-1][:, :bits]
+    few = pick(queries, FIT_QUERIES)
+    if not bits or not few:
+        return Buckets(w[:, :0], np.zeros(0), 1, 1.0)
+    told = _nearest_of_few(few, refs, need, p).collect()
+    at = {r["id"]: i for i, r in enumerate(few)}
+    who, near = np.array([at[r["q"]] for r in told]), np.array([r["v"] for r in told], dtype="float64")
+    qv = np.array([r["v"] for r in few], dtype="float64")
+    for m in range(bits, 0, -1):
+        b = Buckets(w[:, :m], np.median(x @ w[:, :m], axis=0), 1, 1.0)
+        codes, _ = b.ranked(b.margins(qv))
+        hit = codes[who] == b.code(b.margins(near))[:, None]
+        probe = np.sort(np.where(hit.any(1), hit.argmax(1) + 1, codes.shape[1] + 1))
+        probes = int(probe[math.ceil(recall * len(probe)) - 1])
+        if probes <= min(PROBES, codes.shape[1]):
+            return Buckets(b.directions, b.thresholds, probes, float((probe <= probes).mean()))
+    return Buckets(w[:, :0], np.zeros(0), 1, 1.0)
+
+
+def _bucket_cells(folded: DataFrame, asked: DataFrame, b: Buckets) -> tuple[DataFrame, DataFrame]:
+    """References with their bucket, and the buckets that each query probes."""
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            if len(x):
+                yield x.assign(cell=b.code(b.margins(_stack(x["v"]))))
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for s in range(0, len(x), 256):
+                part = x.iloc[s:s + 256]
+                codes = b.ranked(b.margins(_stack(part["v"])))[0][:, :b.probes]
+                i = np.repeat(np.arange(len(part)), codes.shape[1])
+                yield pd.DataFrame({"id": part["id"].to_numpy()[i], "v": part["v"].to_numpy()[i], "cell": codes.ravel()})
+
+    return (folded.mapInPandas(assign, "id long, ids array<long>, v array<double>, cell long"),
+            asked.mapInPandas(probe, "id long, v array<double>, cell long"))
+
+
+def knn_join(queries: DataFrame, refs: DataFrame, k: int, p: int = 2, skip_self: bool = False, mode: str = "exact",
+             recall: float = 0.95, pivots: int | None = None, ref_block: int = REF_BLOCK,
+             query_block: int = QUERY_BLOCK) -> DataFrame:
+    """(id, rid, dist, rank) for the k nearest references of every query; both sides are (id, v).
+
+    ``skip_self`` leaves out the reference with the query's own id. Ties break by id. ``mode`` is "exact", or "approx":
+    queries then visit only the buckets of a hashed index in which they expect the share ``recall`` of their neighbours.
+    A few references need no cells.
+    """
+    if mode not in ("exact", "approx"):
+        raise ValueError(f"unknown mode: {mode}")
+    need = k + 1 if skip_self else k
+    folded = cut(fold_copies(refs, need))
+    asked = queries.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
+    n = folded.count()
+    if not n:
+        return queries.select("id", F.lit(None).cast("bigint").alias("rid"), F.lit(None).cast("double").alias("dist"),
+                              F.lit(None).cast("int").alias("rank")).where(F.lit(False))
+    asked = cut(asked)
+    if mode == "approx":
+        celled, visits = _bucket_cells(folded, asked, fit_buckets(folded, asked, n, need, p, recall))
+    elif n <= ref_block and pivots is None:
+        celled, visits = (df.withColumn("cell", F.lit(0).cast("long")) for df in (folded, asked))
+    else:
+        celled, visits = _pivot_cells(folded, asked, n, need, p, pivots)
+    # blocks and query groups of the cells that are visited at all
+    plan = (visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / query_block).alias("n_grp"))
+            .join(celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / ref_block).alias("n_blk")), "cell"))
+    plan = cut(plan)
+    left = attach(visits, plan, ["cell"], "inner").select(
+        F.col("id").alias("id"), F.col("v").alias("v"), "cell", F.pmod(F.xxhash64("id"), "n_grp").alias("g"), F.explode(F.expr("sequence(0L, n_blk - 1)")).alias("blk"))
+    right = attach(celled, plan, ["cell"], "inner").select(
+        F.col("id").alias("id"), "ids", F.col("v").alias("v"), "cell", F.pmod(F.hash("id").cast("long"), "n_blk").alias("blk"), F.explode(F.expr("sequence(0L, n_grp - 1)")).alias("g"))
     found = (left.groupBy("cell", "blk", "g").cogroup(right.groupBy("cell", "blk", "g"))
              .applyInPandas(lambda q, r: _best(q, r, need, p), "id long, rid long, dist double"))
     best = Window.partitionBy("id").orderBy("dist", "rid")
@@ -197,6 +312,12 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, p: int = 2, skip_self:
                     (F.col("rank") + 1).alias("rank")))
 
 
+def recall_of(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: n_queries with an exact neighbour, and the share of exact (id, rid) pairs that were found."""
+    hit = exact.select("id", "rid").join(found.select("id", "rid", F.lit(1).alias("hit")), ["id", "rid"], "left")
+    return hit.agg(F.count_distinct("id").alias("n_queries"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+
+
 def knn_classify(train: DataFrame, test: DataFrame, id_col: str, cols: Sequence[str], y: str, k: int,
                  weights: str = "uniform", p: int = 2) -> DataFrame:
     """kNN vote: share of class 1 among the neighbours and the decided class (ties go to 0)."""
