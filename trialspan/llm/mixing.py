@@ -1,13 +1,13 @@
 r"""Mixing sources to target weights by iterative proportional fitting (raking).
 
-Tokens are summed by cell (source, language, topic). A sweep scales the cells' weights to each target marginal
-in turn; after ``sweeps`` of them the weights match all marginals that can be met together. A document is then
-sampled with the calibrated probability of its cell: budget x weight share / tokens there, against a
-uniform number made of its id, so the choice repeats on any cluster. If that is over 1 for some cell, the weights are
-raked with the tokens of each cell as a bound, until all marginals are met within ``TOLERANCE`` of the budget.
-A target above all tokens of its category takes the whole category and leaves the rest of its share to the others of
-its dimension in proportion to their targets; this and marginals that stay unmet are told by a warning. All sweeps
-work on the cell table; documents are only counted and joined to their cell.
+Tokens are summed by cell (source, language, topic). A sweep scales the cells' weights to each target marginal in turn,
+where no cell may take more tokens than it has. Sweeps go on until all marginals are met within ``TOLERANCE`` of the
+sample, or until ``PATIENCE`` of them no longer halve the error: then no sample meets all targets, and a warning tells how
+far a marginal is off. A document is sampled with the calibrated probability of its cell, weight / tokens there, against
+a uniform number made of its id, so the choice repeats on any cluster. A target above all tokens of its category takes
+the whole category and leaves the rest of its share to the others of its dimension in proportion to their targets; a
+warning tells this as well. All sweeps work on the cell table, in one partition if it is counted to be small; documents
+are only counted and joined to their cell.
 
 Defined cases: a null source, language or topic is the category ''; a null text has no tokens; documents of a
 cell without tokens, or whose target is 0, have probability 0; rows that repeat an id share their number, hence
@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 from .common import join_counted, read, small, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-SWEEPS = 12
+SWEEPS = 12  # fewest
+STEP = 4  # sweeps between two looks at the error
+PATIENCE = 20  # sweeps that have to halve the error
 BUDGET = 0.7  # share of all tokens
 TOLERANCE = 1e-6  # error of a marginal, as a share of the sample
-BOUNDED_SWEEPS = 200  # bounded raking gives up (and says so) after these
+ONE_PARTITION = 20_000  # cells
 ALPHA = 0.7  # a category with n tokens aims at a share in proportion to n ** ALPHA
 
 
@@ -42,24 +44,6 @@ def tempered(cells: DataFrame, dim: str, alpha: float) -> DataFrame:
     return cells.groupBy(dim).agg(F.pow(F.sum("tokens"), F.lit(alpha)).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
-    """Add ``weight``: shares of the cells that meet the target shares; ``targets``: dim -> (dim, share).
-
-    The cell table has at most the product of the numbers of categories as rows, whatever the corpus.
-    """
-    out = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for dim, target in targets.items():
-        out = out.join(target.withColumnRenamed("share", f"__goal_{dim}"), dim, "left").fillna(0.0, [f"__goal_{dim}"])
-    out = stored(out, "goals")
-    for k in range(sweeps):
-        for dim in targets:
-            now = F.sum("weight").over(Window.partitionBy(dim))
-            out = out.withColumn("weight", F.when(now > 0, F.col("weight") * (F.col(f"__goal_{dim}") / now)).otherwise(0.0))
-        if k % 2 or k == sweeps - 1:
-            out = stored(out, "raked")
-    return out.drop(*[f"__goal_{d}" for d in targets])
-
-
 def filled(df: DataFrame, part: list[str], weight: str, bound: str, goal: str) -> DataFrame:
     """Scale ``weight`` in each part by the factor that makes the sum of least(bound, weight) the part's goal.
 
@@ -77,9 +61,13 @@ def filled(df: DataFrame, part: list[str], weight: str, bound: str, goal: str) -
     return out.withColumn(weight, F.col(weight) * best).drop("__ratio", "__factor")
 
 
-def rake_bounded(cells: DataFrame, targets: dict[str, DataFrame], total: float) -> DataFrame:
-    """Add ``weight``: tokens to take of each cell, at most those it has, that sum to ``total`` and meet the target shares."""
-    out = cells
+def rake(cells: DataFrame, targets: dict[str, DataFrame], total: float, sweeps: int = SWEEPS) -> DataFrame:
+    """Add ``weight``: tokens to take of each cell, at most those it has, that sum to ``total`` and meet the target shares.
+
+    ``targets``: dim -> (dim, share). The cell table has at most the product of the numbers of categories as rows,
+    whatever the corpus.
+    """
+    out, near = cells, (lambda df: df.coalesce(1)) if cells.limit(ONE_PARTITION + 1).count() <= ONE_PARTITION else (lambda df: df)
     for dim, target in targets.items():
         out = out.join(target.withColumnRenamed("share", f"__share_{dim}"), dim, "left").fillna(0.0, [f"__share_{dim}"])
     wanted = F.least(*[F.col(f"__share_{d}") for d in targets], F.lit(1.0)) > 0
@@ -99,17 +87,22 @@ def rake_bounded(cells: DataFrame, targets: dict[str, DataFrame], total: float)
             warnings.warn(f"{n} targets of {dim} exceed all tokens of their category, which is taken whole: {', '.join(some)}", stacklevel=2)
         out = out.join(goals.drop("__even"), dim, "left").fillna(0.0, [f"__goal_{dim}"])
     out = stored(out.withColumn("weight", F.col("__bound")), "bounded")
-    take = F.least("weight", "__bound")
-    for k in range(BOUNDED_SWEEPS):
-        for dim in targets:
-            out = filled(out, [dim], "weight", "__bound", f"__goal_{dim}")
+    take, errors = F.least("weight", "__bound"), []
+    off = F.greatest(*[F.abs(F.sum(take).over(Window.partitionBy(d)) - F.col(f"__goal_{d}")) for d in targets], F.lit(0.0))
+    while True:
+        out = near(out)
+        for _ in range(STEP):
+            for dim in targets:
+                out = filled(out, [dim], "weight", "__bound", f"__goal_{dim}")
         out = stored(out, "bounded")
-        if k % 4 == 3:
-            error = max(out.groupBy(d).agg(F.abs(F.sum(take) - F.max(f"__goal_{d}")).alias("e")).agg(F.max("e")).first()[0] for d in targets) / total
-            if error <= TOLERANCE:
-                break
-    else:
-        warnings.warn(f"no sample found that meets all targets: a marginal is {error:.6f} of the sample off", stacklevel=2)
+        errors.append(near(out).select(off.alias("e")).agg(F.max("e")).first()[0] / total)
+        if len(errors) * STEP < sweeps:
+            continue
+        if errors[-1] <= TOLERANCE:
+            break
+        if len(errors) > PATIENCE // STEP and errors[-1] > errors[-1 - PATIENCE // STEP] / 2:
+            warnings.warn(f"no sample found that meets all targets: a marginal is {errors[-1]:.6f} of the sample off", stacklevel=2)
+            break
     return out.withColumn("weight", take).drop("__bound", *[f"__{x}_{d}" for d in targets for x in ("share", "goal")])
 
 
@@ -117,7 +110,8 @@ def mix(docs: DataFrame, dims: dict[str, Column], targets: dict[str, DataFrame]
         sweeps: int = SWEEPS, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
     """One row per row of ``docs``: doc_id, the dimensions, tokens, p (inclusion probability) and sampled.
 
-    ``targets`` has the wanted shares by dimension, or the exponent that flattens the present ones.
+    ``targets`` has the wanted shares by dimension, or the exponent that flattens the present ones; ``sweeps`` is the
+    least number of sweeps.
     """
     names = list(dims)
     rows = stored(docs.select(F.col(id_col).alias("doc_id"), *[F.coalesce(c.cast("string"), F.lit("")).alias(d) for d, c in dims.items()],
@@ -125,12 +119,9 @@ def mix(docs: DataFrame, dims: dict[str, Column], targets: dict[str, DataFrame]
     cells = stored(rows.groupBy(*names).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "cells")
     if not isinstance(targets, dict):
         targets = {d: tempered(cells, d, targets) for d in names}
-    raked = rake(cells, targets, sweeps)
-    weight, tokens, n = raked.agg(F.sum("weight"), F.sum("tokens"), F.sum("docs")).first()
-    p = F.lit(budget * (tokens or 0)) * F.col("weight") / F.lit(weight or 1.0) / F.col("tokens")
-    if (raked.where("tokens > 0").agg(F.max(p)).first()[0] or 0) > 1:
-        raked = rake_bounded(cells, targets, budget * tokens)
-        p = F.col("weight") / F.col("tokens")
+    tokens, n = cells.agg(F.sum("tokens"), F.sum("docs")).first()
+    raked = rake(cells, targets, budget * (tokens or 0), sweeps)
+    p = F.col("weight") / F.col("tokens")
     key = F.to_json(F.array(*names))
     odds = stored(raked.select(
         key.alias("__cell"), "docs", F.when(F.col("tokens") > 0, F.round(p, 9)).otherwise(0.0).alias("p")), "odds")
@@ -166,28 +157,47 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"), dimensions())
 
 
+def filled_sql(src: str, part: str, weight: str, bound: str, goal: str) -> str:
+    """DuckDB SQL of ``filled``."""
+    order = f"({part} order by ratio nulls last rows between"
+    return f"""select * exclude (ratio, factor) replace ({weight} * coalesce(max(case when factor <= ratio then greatest(factor, 0) end)
+    over ({part}), max(ratio) over ({part}), 0) as {weight})
+  from (select *, case when {weight} > 0 then ({goal} - coalesce(sum({bound}) over {order} unbounded preceding and 1 preceding), 0))
+      / sum({weight}) over {order} current row and unbounded following) end factor
+    from (select *, case when {weight} > 0 then {bound} / {weight} end ratio from ({src})))"""
+
+
 def oracle(docs: str = "documents") -> str:
     """DuckDB SQL of ``op1_mixing`` over a table or subquery."""
     dims = ("source", "lang", "topic")
-    steps = [f"w0 as (select *, tokens::double weight{''.join(f', goal_{d}' for d in dims)} from cells "
-             + " ".join(f"join goal_{d} using ({d})" for d in dims) + ")"]
-    for k in range(SWEEPS):
-        for j, d in enumerate(dims):
-            n = 3 * k + j
-            now = f"sum(weight) over (partition by {d})"
-            steps.append(f"w{n + 1} as (select * replace (case when {now} > 0 then weight * (goal_{d} / {now}) else 0 end as weight) from w{n})")
-    goals = ",\n".join(f"goal_{d} as (select {d}, pow(n, {ALPHA}) / sum(pow(n, {ALPHA})) over () goal_{d} "
-                       f"from (select {d}, sum(tokens) n from cells group by {d}))" for d in dims)
+    goals = ",\n".join(
+        f"goal_{d} as materialized (select {d}, least(goal, most) goal_{d} from ("
+        + filled_sql(f"select {d}, sum(bound) most, any_value(share_{d}) goal, any_value(total) total from bounds group by {d} having sum(bound) > 0",
+                     "", "goal", "most", "total") + "))" for d in dims)
+    sweep = "select * from sweeps where not done"
+    for d in dims:
+        sweep = filled_sql(sweep, f"partition by {d}", "weight", "bound", f"goal_{d}")
+    off = ", ".join(f"abs(sum(least(weight, bound)) over (partition by {d}) - goal_{d})" for d in dims)
+    back = PATIENCE // STEP
     return f"""
-with d as (select doc_id, coalesce(source, '') source, coalesce(lang, '') lang,
+with recursive d as (select doc_id, coalesce(source, '') source, coalesce(lang, '') lang,
   case when contains(t, 'icense') or contains(t, 'ights reserved') then 'legal' when regexp_matches(t, '[0-9]{{3}}') then 'records'
     when contains(t, '!!') or contains(t, '###') or contains(t, ' | ') then 'markup' else 'prose' end topic,
   len(regexp_extract_all(t, '{WORD}'))::bigint tokens from (select *, coalesce(text, '') t from {docs})),
 cells as materialized (select source, lang, topic, sum(tokens)::bigint tokens from d group by all),
+{', '.join(f"share_{d} as (select {d}, pow(sum(tokens), {ALPHA}) share_{d} from cells group by {d})" for d in dims)},
+bounds as materialized (select * exclude (wanted), {BUDGET} * sum(tokens) over () total
+  from (select *, least({', '.join(f'share_{d}' for d in dims)}, 1) > 0 wanted, case when wanted then tokens::double else 0 end bound
+    from cells {' '.join(f'join share_{d} using ({d})' for d in dims)})),
 {goals},
-{(',' + chr(10)).join(s.replace(' as (', ' as materialized (', 1) for s in steps)},
-odds as (select source, lang, topic, case when tokens > 0 then round(least(1.0, {BUDGET} * sum(tokens) over ()
-  * (weight / sum(weight) over ()) / tokens), 9) else 0.0 end p from w{3 * SWEEPS})
+sweeps as (
+  select source, lang, topic, tokens, bound, total, {', '.join(f'coalesce(goal_{d}, 0) goal_{d}' for d in dims)}, bound weight, 0 k,
+    []::double[] errors, false done from bounds {' '.join(f'left join goal_{d} using ({d})' for d in dims)}
+  union all
+  select * exclude (e1, e) replace (k + 1 as k, case when k % {STEP} = {STEP - 1} then list_append(errors, e) else errors end as errors,
+    k % {STEP} = {STEP - 1} and k + 1 >= {SWEEPS} and (e <= {TOLERANCE} or (len(errors) >= {back} and e > errors[len(errors) - {back - 1}] / 2)) as done)
+  from (select *, max(e1) over () / total e from (select *, greatest({off}) e1 from ({sweep}))) ),
+odds as (select source, lang, topic, case when tokens > 0 then round(least(weight, bound) / tokens, 9) else 0.0 end p from sweeps where done)
 select doc_id, source, lang, topic, tokens, p::double p,
   cast('0x' || substr(md5(concat('42:', doc_id)), 1, 13) as bigint) / 4503599627370496.0 < p sampled
 from d join odds using (source, lang, topic)"""
