@@ -281,6 +281,21 @@ def test_standard_texts(spark, text, licence, sentences, form):
     assert (got.licences, got.sentences, got.n_licences) == (licence, sentences, 1)
 
 
+LINES = 200_000
+
+
+@pytest.mark.parametrize("text,licences", [
+    ("this is a license note\n" + "a short line\n" * LINES, ""),
+    ("under the sun " * LINES, ""),
+    ("\n" * LINES + MIT + "\n;" * LINES, "MIT"),
+    ("Licensed under the MIT license, see " + "some word\n" * LINES, "MIT"),
+    ("Copyright 2020 Somebody\n" + "and others\n" * LINES + "\nAll rights reserved.", "proprietary"),
+    (MIT + "\n1. x\n2) y\n| / = ~ ^" * LINES, "MIT"),
+], ids=["lines", "words", "blank", "see", "copyright", "marks"])
+def test_long_texts_without_full_stops(spark, text, licences):
+    assert R.recognise(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().licences == licences
+
+
 def test_licences_edges(docs):
     assert R.recognise(docs).count() == docs.count()
     assert R.recognise(docs.limit(0)).count() == 0

@@ -26,11 +26,13 @@ NOTICE = (r"^(?:(?:this|the|our|all)(?: [a-z]+){1,3} (?:is|are) )?(?:dual )?(?:l
           r"made available) (?:to you )?under (?:the )?(?:terms of )?(?:the )?(.+?)(?: license| licence)?(?: see [a-z ]+)?$")
 # the same between marks, with the name's expression; a definition such as (the "License") may follow the name
 UNDER = ("(?:(?:this|the|our|all)(?:S[a-z]+){{1,3}}S(?:is|are)S)?(?:dualS)?(?:licensed|released|distributed|available|published|provided|madeSavailable)S"
-         "(?:toSyouS)?underS(?:theS)?(?:termsSofS)?(?:theS)?(?:{name})(?:Slicen[cs]e)?(?:StheSlicen[cs]e)?(?:Ssee(?:S[a-z]+)+)?"
-         ).replace("S", "(?: /)? ")
+         "(?:toSyouS)?underS(?:theS)?(?:termsSofS)?(?:theS)?(?:{name})(?:Slicen[cs]e)?(?:StheSlicen[cs]e)?"
+         "(?:Ssee(?=S[a-z])(?: [a-z]++)*+(?: /(?: [a-z]++)++(?= [|/]))*+)?").replace("S", "(?: /)? ")
 # list marks at the start of a line, and what follows "copyright" inside a sentence
 LIST = "[(]?[0-9]{1,2}|[(]?[a-z]|[(][ivx]{1,4}"
 INSIDE = "(?:notices?|holders?|owners?|laws?|statements?|licen[cs]es?|and|or|of|in|is|to|by law)[ ]"
+# words up to the next mark; loops of unbounded length are possessive, for Java runs others recursively
+PIECE = "(?: [^ |/=]++)++"
 SPDX = r"^spdx license identifier (.+)$"
 CUES = "licen|copyright|warrant|permission|rights reserved|redistribut|public domain|spdx|free software|liab|under "
 
@@ -136,8 +138,7 @@ def marked(text: Column) -> Column:
     t = F.regexp_replace(t, r"[.!?]+;*[\x20\x09-\x0D]+|;+[.!?]+[\x20\x09-\x0D]+|\n[^a-z0-9\n|]*(?=\n)", " | ")
     t = F.regexp_replace(t, r"\n|;+[\x20\x09-\x0D]+", " / ")
     t = F.regexp_replace(F.concat(F.lit("| "), t, F.lit(" |")), "[^a-z0-9|/]+", " ")
-    t = F.regexp_replace(t, r"[|/](?: [|/])* [|](?: [|/])*|[|](?: [|/])+", "|")
-    return F.regexp_replace(t, "/(?: /)+", "/")
+    return F.regexp_replace(F.regexp_replace(t, "/(?: /)++", "/"), "(?:/ )?[|](?: [|/])*+", "|")
 
 
 def phrase(words: str) -> str:
@@ -164,8 +165,8 @@ def identifiers(text: Column) -> Column:
     # a copyright line; after an unfinished sentence only what is none of its usual words
     found = F.regexp_replace(found, r"([|] |= / )copyright [^|/=]+(?= [|/])", "$1=copyright=")
     found = F.regexp_replace(found, rf"(/ )copyright (?!{INSIDE})[^|/=]+(?= [|/])", "$1=copyright=")
-    found = F.regexp_replace(found, r"=copyright= / [^|/=]+(?: / [^|/=]+)*(?= [|/])", "=copyright=")
-    found = F.regexp_replace(found, r"([|/]) [^|/=]+(?: / [^|/=]+)*(?= [|/])", "$1 _")
+    found = F.regexp_replace(found, rf"=copyright=(?: /{PIECE})++(?= [|/])", "=copyright=")
+    found = F.regexp_replace(found, rf"([|/]){PIECE}(?: /{PIECE})*+(?= [|/])", "$1 _")
     return F.trim(F.regexp_replace(found, "[ |/=]+", " "))
 
 
