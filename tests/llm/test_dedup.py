@@ -90,6 +90,28 @@ def test_near_empty(docs):
     assert all(r.kept and r.component_id == r.doc_id for r in N.near_duplicates(none).collect())
 
 
+def test_near_repeated_and_null_ids(spark):
+    w = [f"w{i}" for i in range(60)]
+    a, b = " ".join(w[:30]), " ".join(w[30:])
+    a2, b2 = a + " x", b + " y"
+    schema = "doc_id long, text string, `a.b` long"
+    rows = [(1, a, 0), (1, b, 0), (2, a2, 0), (3, b2, 0), (0, "other words here and more of them", 0), (1, a, 0)]
+    df = spark.createDataFrame(rows, schema)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in N.near_duplicates(df, words=4).collect())
+    assert got == [(0, 0, True), (1, 1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False)]
+    left = N.drop_near(df, words=4)
+    assert left.columns == df.columns and sorted(tuple(r)[:2] for r in left.collect()) == sorted([(1, a), (1, b), rows[4][:2]])
+    # an id of which one text goes and the other stays
+    df = spark.createDataFrame([(0, a, 0), (5, a2, 0), (5, b, 0)], schema)
+    assert sorted(tuple(r)[:2] for r in N.drop_near(df, words=4).collect()) == [(0, a), (5, b)]
+    # without ids: one row of each group; with an id beside them none
+    df = spark.createDataFrame([(None, a, 0), (None, a, 0), (None, a2, 0), (None, b, 0), (3, b2, 0), (None, None, 0), (None, "", 0)], schema)
+    got = N.near_duplicates(df, words=4).collect()
+    assert sum(r.kept for r in got) == 4 and all(r.component_id == 3 for r in got if r.kept and r.n_shingles and r.doc_id is not None)
+    left = [tuple(r)[:2] for r in N.drop_near(df, words=4).collect()]
+    assert len(left) == 4 and (3, b2) in left and sum(t in (a, a2) for _, t in left) == 1 and (None, b) not in left
+
+
 def test_near_links_only_through_others(spark):
     """A chain whose ends are unlike, and a crowd around a centre that is not linked among itself."""
     w = [f"w{i}" for i in range(400)]
@@ -116,13 +138,9 @@ def lines_wanted(rows):
             if L.normalised(line):
                 every.setdefault(L.normalised(line), []).append((i is None, i or 0, k, n))
     lines, groups = list(every), Groups()
-    sims = L.sim_hashes(lines).view(np.uint64)
-    for a in range(len(lines)):
-        near = np.flatnonzero(np.bitwise_count(sims[a + 1:] ^ sims[a]) <= L.BITS) + a + 1
-        for b in near.tolist():
-            x, y = lines[a], lines[b]
-            if distance(x, y) <= max(len(x), len(y)) * 20 // 100:
-                groups.join(a, b)
+    for a, b in combinations(range(len(lines)), 2):
+        if L.edit_similar(lines[a], lines[b], 80):  # equals plain distances, see test_edit_similarity
+            groups.join(a, b)
     first, gone = {}, {}
     for a, line in enumerate(lines):
         first[groups.find(a)] = min([first.get(groups.find(a), (2,)), *every[line]])
@@ -137,7 +155,7 @@ def lines_wanted(rows):
 def test_lines(spark, corpus, block, monkeypatch):
     monkeypatch.setattr(L, "BLOCK", block)
     base = "the quick brown fox jumps over the lazy dog and runs through the deep green forest while birds sing songs".split()
-    rows = [(i, t) for i, t in corpus if len(t or "") < 5000]
+    rows = [(i, t) for i, t in corpus if len(t or "") < 5000][:90]
     for k in range(30):
         w = [*base, *base, *base]
         w[k % 40] = f"word{k % 7}"

@@ -1,7 +1,7 @@
 """Near duplicates by bottom-k sketches of one hash function.
 
 1. Words are hashed, a text's set is its distinct word shingles, its sketch the ``K`` smallest hash values.
-   Texts with equal sets form a class; the smallest id stands for it.
+   Texts with equal sets form a class with a number of its own.
 2. Inverted lists of retained values. A value that only one class retains joins nothing and goes. Two sets with
    the wanted similarity share at least ``SHARED`` of their retained values but for a chance below 1e-8 (binomial
    tail of the bottom-k of the union), so each class needs to enter the lists of its rarest values only:
@@ -13,8 +13,9 @@
 4. Components are contracted. No list is cut or sampled.
 
 Defined cases: a text without words (null, empty, white space) has an empty set, is linked with nothing and
-kept; rows that repeat an id get a row each; a row without id is kept only if no row with an id has its set
-and never names a component; very long texts are read whole; other columns are not read.
+kept; rows that repeat an id get a row each, and each of their texts has its own links; a component is named by its
+smallest id, so rows without id never name one, and of a component that has no id one row is kept; very long texts are
+read whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def sketch_rows(docs: DataFrame, id_col: str, text_col: str, words: int, k: int)
                 ends = np.concatenate([[0], np.cumsum([len(h) for h in heads])])
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.sha256(s.tobytes()).hexdigest()[:32] if len(s) else None for s in sets], pa.string()),
+                    pa.array(map(set_digest, sets), pa.string()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*heads, np.zeros(0, np.int64)]), pa.int64())),
                 ], names=["doc_id", "n", "set_id", "sketch"])
 
@@ -55,20 +56,27 @@ def sketch_rows(docs: DataFrame, id_col: str, text_col: str, words: int, k: int)
             .mapInArrow(run, "doc_id long, n long, set_id string, sketch array<long>"))
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(node, shingles) of the rows whose id is in ``ids`` (node)."""
+def set_digest(s: np.ndarray) -> str | None:
+    return hashlib.sha256(s.tobytes()).hexdigest()[:32] if len(s) else None
+
+
+def full_sets(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(node, shingles) of classes (node, doc_id, set_id), from the rows that have the id of one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, texts in slices(batch.column(1)):
-                sets = [s.view(np.int64) for s in shingles(texts, words)]
+            for _, _, texts in slices(batch.column(0)):
+                sets = shingles(texts, words)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, b - a),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets), pa.int64()))],
-                    names=["node", "shingles"])
+                    pa.array(map(set_digest, sets), pa.string()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64), pa.int64()))],
+                    names=["set_id", "shingles"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    return texts.join(small(ids), "node", "left_semi").mapInArrow(run, "node long, shingles array<long>")
+    ids = classes.select(F.col("doc_id").alias("__id")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = texts.join(small(ids), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text")
+    sets = texts.mapInArrow(run, "set_id string, shingles array<long>").dropDuplicates(["set_id"])
+    return sets.join(small(classes.select("set_id", "node")), "set_id").select("node", "shingles")
 
 
 def similar(inter: Column, union: Column, percent: int) -> Column:
@@ -137,10 +145,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two texts are linked when their sets of ``words``-word shingles have a Jaccard similarity of at least
     ``percent`` / 100; ``shared`` must suit that threshold and ``k``.
     """
-    rows = stored(sketch_rows(docs, id_col, text_col, words, k), "sketches")
-    classes = stored(rows.where("n > 0 and doc_id is not null").groupBy("set_id").agg(
-        F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"),
-        F.first("sketch").alias("sketch")), "classes")
+    told = placed_rows(docs, id_col, text_col, words, percent, k, shared)
+    return told.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def placed_rows(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, k: int = K, shared: float = SHARED) -> DataFrame:
+    """(doc_id, set_id, n, component_id, kept) per row of ``docs``."""
+    rows = stored(sketch_rows(docs, id_col, text_col, words, k).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    classes = stored(rows.where("n > 0").groupBy("set_id").agg(
+        F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"),
+        F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()), "classes")
 
     # lists of the rarest values of each class
     held = classes.select("node", "n", F.size("sketch").alias("held"), F.explode("sketch").alias("value"))
@@ -159,8 +173,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     centres = stored(centres.select("value", F.col("c.node").alias("centre"), F.col("c.n").alias("cn"), "m"), "centres")
     near_size = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     members = lists.join(centres, "value")
-    sets = stored(full_sets(docs, stored(members.select("node").distinct(), "in-lists"), id_col, text_col, words)
-                  .dropDuplicates(["node"]), "sets")
+    listed = stored(classes.select("node", "doc_id", "set_id").join(members.select("node").distinct(), "node"), "in-lists")
+    sets = stored(full_sets(docs, listed, id_col, text_col, words), "sets")
     stars = (members.where((F.col("node") != F.col("centre")) & near_size(F.col("n"), F.col("cn")))
              .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
     links = stored(verified(stored(stars, "stars"), sets, percent), "star-links")
@@ -174,11 +188,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = contested_links(stored(placed.join(split, "value"), "contested-rows"), sets, classes.select("node", "sketch"), percent, k, shared)
         comp = components(links.unionByName(more))
 
-    ends = stored(classes.join(comp, "node", "left").select("set_id", "rows", F.coalesce("comp", "node").alias("component_id")), "ends")
-    told = join_counted(rows.select("doc_id", "n", "set_id"), ends, "set_id", "rows", rows.count())
+    classes = stored(classes.select("node", "set_id", "doc_id", "row", "rows").join(comp, "node", "left")
+                     .withColumn("comp", F.coalesce("comp", "node")), "class-components")
+    named = classes.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min("row").alias("first_row"))
+    ends = stored(classes.select("set_id", "rows", "comp").join(named, "comp").drop("comp"), "ends")
+    told = join_counted(rows.select("doc_id", "row", "n", "set_id"), ends, "set_id", "rows", rows.count())
     told = told.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNull())
-    return told.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+    # of a component without ids its first row
+    lone = F.col("doc_id").isNull() & F.col("component_id").isNull() & ((F.col("n") == 0) | (F.col("row") == F.col("first_row")))
+    return told.select("doc_id", "set_id", "n", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), lone).alias("kept"))
 
 
 def unsigned(x: Column) -> Column:
@@ -187,10 +205,35 @@ def unsigned(x: Column) -> Column:
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` but for near copies of a row with a smaller id, with all columns."""
-    told = near_duplicates(docs, id_col, text_col, words, percent)
-    gone = stored(told.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct(), "gone")
-    return docs.join(small(gone), F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    """The rows of ``docs`` but for near copies of a row with a smaller id, with all columns.
+
+    Of rows that repeat an id and a set, or have no id, one is left. Rows whose id does not tell whether they go are
+    found again by the digest of their set.
+    """
+    told = stored(placed_rows(docs, id_col, text_col, words, percent), "near-told")
+    fate = told.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if("kept").alias("stay"))
+    gone = stored(fate.where("stay = 0 and doc_id is not null").select(F.col("doc_id").alias("__id")), "gone")
+    unclear = stored(fate.where("(rows > 1 and stay > 0) or doc_id is null").select(F.col("doc_id").alias("__id")), "unclear")
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id"))
+    if unclear.isEmpty():
+        return docs.join(small(gone), same, "left_anti")
+    out = docs.join(small(gone.unionByName(unclear)), same, "left_anti")
+    again = docs.join(small(unclear), same, "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"),
+                                                                 F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, texts in slices(batch.column(2)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(
+                    map(set_digest, shingles(texts, words)), pa.string())], names=["all", "__id", "__set"])
+
+    again = again.mapInArrow(run, again.drop("__text").schema.add("__set", "string"))
+    kept = told.where("kept").join(small(unclear), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    kept = kept.select(F.col("doc_id").alias("__kid"), F.col("set_id").alias("__kset")).distinct()
+    found = again.join(small(stored(kept, "unclear-kept")), F.col("__id").eqNullSafe(F.col("__kid")) & F.col("__set").eqNullSafe(F.col("__kset")), "left_semi")
+    # rows without words are no copies of one another
+    wordless, worded = found.where("__set is null"), found.where("__set is not null").dropDuplicates(["__id", "__set"])
+    return out.unionByName(wordless.unionByName(worded).select("all.*"))
 
 
 def op7_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
