@@ -408,20 +408,21 @@ def _(spark, sf):
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def _staged(spark, sf):
-    """The events table as a folder of files appended in time order (a recording to replay).
+def _staged(spark, sf, slices=(0, 1, 2, 3)):
+    """The events table as a folder of files appended slice by slice (a recording to replay), and closed.
 
     Files of one slice hold different trials, so their order inside the slice does not matter.
     """
     path, events = scratch(spark, "recording"), table(spark, sf, "events")
     week = F.floor((F.dayofmonth("ts") - 1) / 8)
-    for i in range(4):
+    for i in slices:
         events.where(week == i).repartition("user_id").write.mode("append").parquet(path)
+    live.close_recording(spark, path, EVENT_SCHEMA, "ts", "60 days")
     return path
 
 
-def _played(spark, sf):
-    return live.replay(spark, _staged(spark, sf), EVENT_SCHEMA, "ts", 1).selectExpr(
+def _played(spark, sf, slices=(0, 1, 2, 3)):
+    return live.replay(spark, _staged(spark, sf, slices), EVENT_SCHEMA, "ts", 1).selectExpr(
         "user_id as trial_id", "event_id as sample_id", "ts", "case when event_id % 7 = 0 then null else value end as sig_a")
 
 
@@ -433,7 +434,7 @@ def _drain(spark, df, name):
 
 @check("stream_replay", "sample_id:l, trial_id:l, sig_a:d", "select sample_id, trial_id, sig_a from signals")
 def _(spark, sf):
-    return _drain(spark, _played(spark, sf), "replay")
+    return _drain(spark, _played(spark, sf).where("sample_id is not null"), "replay")
 
 
 @check("stream_ffill", "sample_id:l, sig_a:d", """
@@ -441,7 +442,17 @@ select event_id as sample_id, coalesce(last_value(case when event_id % 7 = 0 the
   over (partition by user_id order by ts, event_id rows between unbounded preceding and current row), 0) as sig_a from events""")
 def _(spark, sf):
     # one file per trigger, in time order
-    return _drain(spark, live.ffill_stream(_played(spark, sf), "trial_id", ["ts", "sample_id"], ["sig_a"]), "ffill")
+    played = _played(spark, sf).where("sample_id is not null")
+    return _drain(spark, live.ffill_stream(played, "trial_id", ["ts", "sample_id"], ["sig_a"]), "ffill")
+
+
+@check("stream_ffill_events", "sample_id:l, sig_a:d", """
+select event_id as sample_id, coalesce(last_value(case when event_id % 7 = 0 then null else value end ignore nulls)
+  over (partition by user_id order by ts, event_id rows between unbounded preceding and current row), 0) as sig_a from events""")
+def _(spark, sf):
+    """The recording's slices arrive out of order; rows wait for the watermark."""
+    played = _played(spark, sf, (1, 0, 3, 2))
+    return _drain(spark, live.ffill_events(played, "trial_id", "ts", ["sig_a"], "17 days", ["sample_id"], slice_seconds=86400.0), "ffill")
 
 
 @check("stream_sliding_stats", "trial_id:l, t_begin:l, mean:d, std:d, max:d, range:d", f"""
@@ -449,7 +460,7 @@ with e as (select user_id as trial_id, epoch(ts) as t, case when event_id % 7 =
 w as (select trial_id, v, unnest(range(cast(floor(t / {STRIDE}) as bigint) - {WINDOW // STRIDE} + 1,
     cast(floor(t / {STRIDE}) as bigint) + 1)) * {STRIDE} as b from e)
 select trial_id, b as t_begin, avg(v) as mean, stddev_pop(v) as std, max(v) as max, max(v) - min(v) as range
-from w where b + {WINDOW} <= (select floor(epoch(max(ts)) - 691200) from events) group by 1, 2""")
+from w group by 1, 2""")
 def _(spark, sf):
     df = live.sliding_stats_stream(_played(spark, sf), "trial_id", "ts", ["sig_a"], f"{WINDOW} seconds",
                                    f"{STRIDE} seconds", "691200 seconds")
@@ -468,6 +479,27 @@ def _(spark, sf):
     return _drain(spark, out, "score")
 
 
+@check("stream_window_scores", "n:l, differ:l", f"""
+with w as (select user_id, unnest(range(cast(floor(epoch(ts) / {STRIDE}) as bigint) - {WINDOW // STRIDE} + 1,
+    cast(floor(epoch(ts) / {STRIDE}) as bigint) + 1)) as b from events)
+select count(*) as n, 0 as differ from (select distinct user_id, b from w)""")
+def _(spark, sf):
+    """Windows of the stream whose score by a stored model is not that of the batch windows."""
+    cols, span = ["sig_a"], (f"{WINDOW} seconds", f"{STRIDE} seconds", "691200 seconds")
+    played = _played(spark, sf)
+    batch = table(spark, sf, "events").selectExpr("user_id as trial_id", "event_id as sample_id", "timestamp_micros(timestampdiff(MICROSECOND, "
+        "timestamp_ntz'1970-01-01 00:00:00', ts)) as ts", "case when event_id % 7 = 0 then null else value end as sig_a")
+    rows = live.window_features(batch, "trial_id", "ts", cols, *span)
+    rows = rows.withColumn("y", (F.col("trial_id") % 3 == 0).cast("int"))
+    names, path = live.feature_names(cols), scratch(spark, "model")
+    model = models.fit("LogReg", rows, names, "y")
+    store.save_model(model, path)
+    streamed = _drain(spark, live.window_scores_stream(played, "trial_id", "ts", cols, *span, store.load_model(path)).select(
+        "trial_id", "t_begin", "prediction"), "scores")
+    both = models.predict(model, rows.select("trial_id", "t_begin", *names)).join(streamed, ["trial_id", "t_begin"], "full")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("prediction").eqNullSafe(F.col("p").cast("double"))).alias("differ"))
+
+
 @check("stream_score_same", "n:l, differ:l", "select count(*) as n, 0 as differ from rows")
 def _(spark, sf):
     """Rows whose streamed score by a stored model is not the batch prediction, on all columns."""

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -52,30 +55,175 @@ def ffill_stream(df: DataFrame, key: str, order: Sequence[str], cols: Sequence[s
         fill, out.schema, state, "append", GroupStateTimeout.NoTimeout)
 
 
+def close_recording(spark: SparkSession, path: str, schema: T.StructType | str, ts: str, beyond: str, fmt: str = "parquet") -> None:
+    """Append two closing files to a finished recording; each holds one row with nothing but a time, ``beyond`` its last.
+
+    The first lets the watermark pass everything recorded, the second makes a micro-batch that sees it. Event-time
+    operators here skip such rows, so all windows and rows that still wait come out.
+    """
+    rows = spark.read.schema(schema).format(fmt).load(path)
+    last = rows.agg(F.max(ts).alias(ts)).withColumn(ts, F.expr(f"`{ts}` + interval {beyond}"))
+    kinds = dict(rows.dtypes)
+    for _ in range(2):
+        (last.select(*[(F.col(ts) if c == ts else F.lit(None)).cast(kinds[c]).alias(c) for c in rows.columns])
+         .coalesce(1).write.mode("append").format(fmt).save(path))
+
+
+def carries(df: DataFrame, ts: str) -> Column:
+    """Whether a row has anything but a time; closing rows have not."""
+    return F.coalesce(*[F.col(f"`{c}`").cast("string") for c in df.columns if c != ts]).isNotNull()
+
+
+def merged(moments: Column) -> Column:
+    """Count, mean and sum of squared deviations of several sets together, from those of each; nothing cancels."""
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def add(a: Column, b: Column) -> Column:
+        n, apart = a["n"] + b["n"], b["mean"] - a["mean"]
+        share = b["n"].cast("double") / n
+        return F.struct(n.alias("n"), (a["mean"] + apart * share).alias("mean"),
+                        (a["m2"] + b["m2"] + apart * apart * a["n"] * share).alias("m2"))
+
+    return F.aggregate(F.filter(moments, lambda x: x["n"] > 0), zero, add)
+
+
 def sliding_stats_stream(df: DataFrame, key: str, ts: str, cols: Sequence[str], length: str, stride: str,
                          lateness: str) -> DataFrame:
     """Sliding mean, population deviation, max and range per trial on a stream.
 
     Two chained aggregations: samples into panes of one stride, panes into windows, so a sample
-    is never copied length / stride times. Rows behind the watermark are dropped; in append mode
-    a window appears once the watermark has passed it.
+    is never copied length / stride times; a window merges the moments of its panes, which are few. Rows behind the
+    watermark are dropped; in append mode a window appears once the watermark has passed it (``close_recording``
+    lets it pass the last ones). On a table the same call gives the windows at once.
     """
-    aggs, merge, out = [], [], []
+    aggs, merge, out = [F.count_if("__real").alias("__rows")], [F.sum("__rows").alias("__rows")], []
     for i, c in enumerate(cols):
-        v = F.col(c).cast("double")
-        aggs += [F.count(v).alias(f"n{i}"), F.sum(v).alias(f"s{i}"), F.sum(v * v).alias(f"q{i}"),
+        v = F.col(f"`{c}`").cast("double")
+        n = F.count(v)
+        aggs += [F.struct(n.alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * n).alias("m2")).alias(f"m{i}"),
                  F.max(v).alias(f"x{i}"), F.min(v).alias(f"i{i}")]
-        merge += [F.sum(f"n{i}").alias(f"n{i}"), F.sum(f"s{i}").alias(f"s{i}"), F.sum(f"q{i}").alias(f"q{i}"),
-                  F.max(f"x{i}").alias(f"x{i}"), F.min(f"i{i}").alias(f"i{i}")]
-        n, s, q, x, lo = (F.col(f"{a}{i}") for a in "nsqxi")
-        mean = F.try_divide(s, n)
-        dev = F.when(x == lo, 0.0).when(n > 0, F.sqrt(F.greatest(F.try_divide(q, n) - mean * mean, F.lit(0.0))))
-        out += [mean.alias(f"{c}_mean"), dev.alias(f"{c}_stddev"), x.alias(f"{c}_max"), (x - lo).alias(f"{c}_range")]
-    panes = df.withWatermark(ts, lateness).groupBy(F.window(ts, stride).alias("pane"), key).agg(*aggs)
-    windows = panes.groupBy(F.window(F.window_time("pane"), length, stride).alias("w"), key).agg(*merge)
+        merge += [merged(F.collect_list(f"m{i}")).alias(f"m{i}"), F.max(f"x{i}").alias(f"x{i}"), F.min(f"i{i}").alias(f"i{i}")]
+        m, x, lo = (F.col(f"{a}{i}") for a in "mxi")
+        some = m["n"] > 0
+        dev = F.when(x == lo, 0.0).when(some, F.sqrt(m["m2"] / m["n"]))
+        out += [F.when(some, m["mean"]).alias(f"{c}_mean"), dev.alias(f"{c}_stddev"), x.alias(f"{c}_max"), (x - lo).alias(f"{c}_range")]
+    rows = df.withColumn("__real", carries(df, ts)).withWatermark(ts, lateness)
+    panes = rows.groupBy(F.window(ts, stride).alias("pane"), key).agg(*aggs)
+    windows = panes.groupBy(F.window(F.window_time("pane"), length, stride).alias("w"), key).agg(*merge).where("__rows > 0")
     return windows.select(key, F.col("w.start").alias("t_begin"), F.col("w.end").alias("t_end"), *out)
 
 
+def window_scores_stream(df: DataFrame, key: str, ts: str, cols: Sequence[str], length: str, stride: str, lateness: str,
+                         model: PipelineModel, fill: float = 0.0) -> DataFrame:
+    """Scores of closed windows: panes, window features, then a model that was fitted on such features and loaded.
+
+    A feature without any value in its window is ``fill``, as it has to be in training (``window_features``).
+    """
+    return model.transform(window_features(df, key, ts, cols, length, stride, lateness, fill))
+
+
+def window_features(df: DataFrame, key: str, ts: str, cols: Sequence[str], length: str, stride: str, lateness: str,
+                    fill: float = 0.0) -> DataFrame:
+    """Features of all windows, of a table to train on or of a stream to score."""
+    stats = sliding_stats_stream(df, key, ts, cols, length, stride, lateness)
+    return stats.na.fill(fill, feature_names(cols))
+
+
+def feature_names(cols: Sequence[str]) -> list[str]:
+    return [f"{c}_{stat}" for c in cols for stat in ("mean", "stddev", "max", "range")]
+
+
+class CarryForward(StatefulProcessor):
+    """Buffers the rows of a trial by slices of event time, and fills a slice once the watermark has passed its end.
+
+    The buffer of a slice is one value (an Arrow table); a timer stands at each slice's end. What is carried on is the
+    last value of each column. A trial that is quiet for ``idle`` microseconds is forgotten.
+    """
+
+    def __init__(self, key: str, ts: str, order: list[str], cols: list[str], slice_us: int, idle_us: int | None, leftover: float):
+        self.key, self.ts, self.order, self.cols = key, ts, order, cols
+        self.slice_us, self.idle_us, self.leftover = slice_us, idle_us, leftover
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "slice long", "rows binary")
+        self.last = handle.getValueState("last", "v array<double>, seen long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for pdf in rows:
+            pdf = pdf[pdf["real"]].drop(columns="real")
+            if not len(pdf):
+                continue
+            at = pdf[self.ts].to_numpy().astype("datetime64[us]").astype("int64") // self.slice_us
+            for s in np.unique(at).tolist():
+                table = pa.Table.from_pandas(pdf[at == s], preserve_index=False)
+                if self.waiting.containsKey((s,)):
+                    table = pa.concat_tables([_unpacked(self.waiting.getValue((s,))[0]), table], promote_options="permissive")
+                else:
+                    self.handle.registerTimer((s + 1) * self.slice_us // 1000)
+                self.waiting.updateValue((s,), (_packed(table),))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        # all slices that end by now, in order, whatever the order of timers
+        due = sorted(k[0] for k in self.waiting.keys() if (k[0] + 1) * self.slice_us <= now)
+        held = self.last.get() if self.last.exists() else None
+        last = list(held[0]) if held else [None] * len(self.cols)
+        for s in due:
+            pdf = _unpacked(self.waiting.getValue((s,))[0]).to_pandas().sort_values(self.order, kind="stable")
+            for i, c in enumerate(self.cols):
+                filled = pdf[c].astype("float64").ffill()
+                pdf[c] = filled if last[i] is None else filled.fillna(last[i])
+                last[i] = None if pd.isna(pdf[c].iloc[-1]) else float(pdf[c].iloc[-1])
+            self.waiting.removeKey((s,))
+            yield pdf.fillna(dict.fromkeys(self.cols, self.leftover))
+        if due:
+            end = (due[-1] + 1) * self.slice_us
+            self.last.update((last, end))
+            if self.idle_us is not None:
+                self.handle.registerTimer((end + self.idle_us) // 1000)
+        elif held and self.idle_us is not None and now >= held[1] + self.idle_us:
+            self.last.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pa.Table:
+    with pa.ipc.open_stream(data) as reader:
+        return reader.read_all()
+
+
+def ffill_events(df: DataFrame, key: str, ts: str, cols: Sequence[str], lateness: str, tie: Sequence[str] = (),
+                 leftover: float = 0.0, slice_seconds: float = 60.0, idle_seconds: float | None = None) -> DataFrame:
+    """Carry the last value of a trial forward in event-time order, however rows arrive within ``lateness``.
+
+    Rows wait in disk-backed state until the watermark passes the end of their slice, so a task holds one slice of a
+    trial at a time. What is missing before the first value becomes ``leftover``. Rows behind the watermark are
+    dropped. With ``idle_seconds`` a trial quiet for that long is forgotten and starts anew.
+    """
+    spark = df.sparkSession
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kept = df.select(key, ts, *[F.col(f"`{c}`") for c in tie], *[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
+    # plain names inside: state and rows travel as named tuples
+    n, plain = len(kept.columns), [f"c{i}" for i in range(len(kept.columns))]
+    first = n - len(cols)
+    made = CarryForward(plain[0], plain[1], plain[1:first], plain[first:], int(slice_seconds * 1e6),
+                        None if idle_seconds is None else int(idle_seconds * 1e6), leftover)
+    rows = kept.withColumn("real", carries(kept, ts)).toDF(*plain, "real").withWatermark("c1", lateness)
+    out = T.StructType([T.StructField(p, f.dataType) for p, f in zip(plain, kept.schema)])
+    return rows.groupBy("c0").transformWithStateInPandas(made, out, "append", "EventTime").toDF(*kept.columns)
+
+
 def score_stream(df: DataFrame, model: PipelineModel, fill: Sequence[str] = ()) -> DataFrame:
     """Score arriving rows with a saved model."""
     ready = df.na.fill(0.0, list(fill)) if fill else df
