@@ -171,23 +171,28 @@ def _(spark, sf):
     return long_cells(im.knn_impute(m, "vec_id", MATRIX, 5, "train"))
 
 
-SHARED = [f"x{i}" for i in range(1, 9)]
-
-
-@check("knn_impute_shared", "vec_id:l, dim:l, x:d", """
-with c as (select vec_id, dim, case when hole = 0 then x end as x from cells where dim <= 8),
-d as (select a.vec_id as id, b.vec_id as rid, sqrt(sum((a.x - b.x) * (a.x - b.x)) * 8 / count(a.x - b.x)) as dist
-  from c a join c b on a.dim = b.dim and a.vec_id <> b.vec_id
-  where a.vec_id in (select vec_id from c where x is null) group by 1, 2),
-k as (select h.vec_id, h.dim, b.x, row_number() over (partition by h.vec_id, h.dim order by d.dist, d.rid) as r
-  from c h join d on d.id = h.vec_id and d.dist is not null join c b on b.vec_id = d.rid and b.dim = h.dim
-    and b.x is not null where h.x is null),
-f as (select vec_id, dim, avg(x) as k from k where r <= 5 group by 1, 2)
-select vec_id, dim, coalesce(x, k) as x from c left join f using (vec_id, dim)""")
-def _(spark, sf):
-    m = matrix(spark, sf, holes=True).select("vec_id", *SHARED)
-    out = im.knn_impute_shared(m, "vec_id", SHARED, 5)
-    return out.select("vec_id", F.posexplode(F.array(*SHARED)).alias("dim", "x")).withColumn("dim", F.col("dim") + 1)
+# nearest donors over shared coordinates; {m} and {s} shift and scale a column's values
+SHARED = """
+with u as (select dim, avg(case when hole = 0 then x end) as m, coalesce(nullif(stddev_pop(case when hole = 0 then x end), 0), 1) as s from cells group by 1),
+c as (select vec_id, dim, case when hole = 0 then x end as x, case when hole = 0 then {value} end as z, {m} as m, {s} as s from cells join u using (dim)),
+v as (select vec_id, list(z order by dim) as z, bool_or(z is null) as q from c group by 1),
+d as (select a.vec_id as id, b.vec_id as rid, list_transform(list_zip(a.z, b.z), lambda p: (p[1] - p[2]) * (p[1] - p[2])) as sq
+  from v a join v b on a.q and a.vec_id <> b.vec_id),
+e as (select id, rid, sqrt(list_sum(sq) * 64 / list_count(sq)) as dist from d where list_count(sq) > 0),
+k as (select h.vec_id, h.dim, b.z, row_number() over (partition by h.vec_id, h.dim order by e.dist, e.rid) as r
+  from c h join e on e.id = h.vec_id join c b on b.vec_id = e.rid and b.dim = h.dim and b.z is not null where h.x is null),
+f as (select vec_id, dim, avg(z) as k from k where r <= 5 group by 1, 2)
+select vec_id, dim, coalesce(x, k * s + m) as x from c left join f using (vec_id, dim)"""
+
+
+@check("knn_impute_shared", "vec_id:l, dim:l, x:d", SHARED.format(value="x", m="0.0", s="1.0"))
+def _(spark, sf):
+    return long_cells(im.knn_impute_shared(matrix(spark, sf, holes=True), "vec_id", MATRIX, 5))
+
+
+@check("knn_impute_scaled", "vec_id:l, dim:l, x:d", SHARED.format(value="(x - m) / s", m="m", s="s"))
+def _(spark, sf):
+    return long_cells(im.knn_impute_shared(matrix(spark, sf, holes=True), "vec_id", MATRIX, 5, scaled=True))
 
 
 @check("missing_indicators", "vec_id:l, dim:l, x:l", "select vec_id, dim, hole as x from cells")

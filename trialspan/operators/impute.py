@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import any_null
 from ..functions.sizing import attach_one, cut
 from .clean import drop_null_rows
-from .neighbours import QUERY_BLOCK, REF_BLOCK, fold_copies, knn_join
+from .neighbours import _CHUNK, QUERY_BLOCK, REF_BLOCK, first_of_runs, fold_copies, knn_join
 
 # The imputation phases of the configuration.
 PHASES = ("none", "pre_feature", "post_feature_remove_rows", "post_feature_knn")
@@ -59,43 +59,67 @@ def missing_indicators(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select("*", *[F.col(c).isNull().cast("int").alias(f"{c}_missing") for c in cols])
 
 
+def _shared_distances(qv: np.ndarray, rv: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances over the coordinates that both rows have, and how many those are, by masked products."""
+    qm, rm = (~np.isnan(qv)).astype("float64"), (~np.isnan(rv)).astype("float64")
+    q, r = np.where(qm > 0, qv, 0.0), np.where(rm > 0, rv, 0.0)
+    return np.maximum((q * q) @ rm.T - 2.0 * (q @ r.T) + qm @ (r * r).T, 0.0), qm @ rm.T
+
+
 def _donor_block(q: pd.DataFrame, r: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Nearest donors of every missing cell inside one block, distance over shared coordinates."""
-    empty = pd.DataFrame({"id": [], "dim": [], "rid": [], "dist": [], "value": []}).astype(
-        {"id": "int64", "dim": "int32", "rid": "int64"})
-    if not len(q) or not len(r):
-        return empty
-    r = r.sort_values("id")
-    qv, rv = np.stack(q["v"].to_numpy()).astype("float64"), np.stack(r["v"].to_numpy()).astype("float64")
-    rid, parts = r["id"].to_numpy(), []
-    present = ~np.isnan(rv)
-    for qid, x in zip(q["id"].to_numpy(), qv):
-        both = present & ~np.isnan(x)[None, :]
-        n = both.sum(1)
-        sq = np.where(both, rv - x[None, :], 0.0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            d = np.sqrt((sq * sq).sum(1) * len(x) / n)
-        d[n == 0] = np.inf
-        for dim in np.nonzero(np.isnan(x))[0]:
-            cand = np.where(present[:, dim], d, np.inf)
-            best = np.argsort(cand, kind="stable")[:k]
-            best = best[np.isfinite(cand[best])]
-            parts.append(pd.DataFrame({"id": qid, "dim": np.int32(dim), "rid": rid[best], "dist": cand[best],
-                                       "value": rv[best, dim]}))
-    return pd.concat(parts, ignore_index=True) if parts else empty
-
-
-def knn_impute_shared(df: DataFrame, id_col: str, cols: Sequence[str], k: int = 5,
+    """Nearest donors of every missing cell inside one block, distance over shared coordinates.
+
+    Products find for each column the rows that may be among the k nearest; only their distances are computed exactly.
+    """
+    parts = [pd.DataFrame({"id": [], "dim": [], "rid": [], "dist": [], "value": []}).astype(
+        {"id": "int64", "dim": "int32", "rid": "int64"})]
+    if len(q) and len(r):
+        r = r.sort_values("id")
+        every, rv, rid = np.stack(q["v"].to_numpy()).astype("float64"), np.stack(r["v"].to_numpy()).astype("float64"), r["id"].to_numpy()
+        step = max(1, _CHUNK // len(r))
+        for s in range(0, len(q), step):
+            qv, qid = every[s:s + step], q["id"].to_numpy()[s:s + step]
+            rough, n = _shared_distances(qv, rv)
+            d = qv.shape[1]
+            size = np.nansum(qv * qv, axis=1)[:, None] + np.nansum(rv * rv, axis=1).max()
+            with np.errstate(divide="ignore", invalid="ignore"):
+                rough, slack = np.where(n > 0, rough * d / n, np.inf), np.where(n > 0, 1e-9 * size * d / n, 0.0)
+            for dim in np.nonzero(np.isnan(qv).any(axis=0))[0]:
+                rows, donors = np.nonzero(np.isnan(qv[:, dim]))[0], np.nonzero(~np.isnan(rv[:, dim]))[0]
+                if not len(donors):
+                    continue
+                part, wide = rough[np.ix_(rows, donors)], slack[np.ix_(rows, donors)]
+                bar = np.partition(part + wide, k - 1, axis=1)[:, k - 1:k] if len(donors) > k else np.full((len(rows), 1), np.inf)
+                qi, ri = np.nonzero((part - wide <= bar) & np.isfinite(part))
+                qi, ri = rows[qi], donors[ri]
+                diff = qv[qi] - rv[ri]
+                both = ~np.isnan(diff)
+                dist = np.sqrt(np.where(both, diff * diff, 0.0).sum(1) * d / np.maximum(both.sum(1), 1))
+                order = np.lexsort((rid[ri], dist, qi))
+                order = order[first_of_runs(qi[order], k)]
+                qi, ri = qi[order], ri[order]
+                parts.append(pd.DataFrame({"id": qid[qi], "dim": np.int32(dim), "rid": rid[ri], "dist": dist[order], "value": rv[ri, dim]}))
+    return pd.concat(parts, ignore_index=True)
+
+
+def knn_impute_shared(df: DataFrame, id_col: str, cols: Sequence[str], k: int = 5, scaled: bool = False,
                       ref_block: int = REF_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """kNN imputation with the distance over coordinates present in both rows.
 
-    Scaled by d / shared coordinates. That is no metric, so nothing can be pruned: hashed query
+    Times d / shared coordinates. That is no metric, so nothing can be pruned: hashed query
     groups meet hashed reference blocks, and each block emits the k nearest rows that hold the
-    value. Cells without any donor get the column mean.
+    value. Cells without any donor get the column mean. With ``scaled`` columns count by their own deviation.
     """
     nan = F.lit(float("nan"))
-    packed = cut(df.select(F.col(id_col).alias("id"), any_null(list(cols)).alias("__q"), F.array(*[
-        F.coalesce(F.col(c).cast("double"), nan) for c in cols]).alias("v")))
+    means = df.agg(*[x for c in cols for x in (F.avg(c).alias(f"__m_{c}"), F.stddev_pop(c).alias(f"__s_{c}"))])
+    if scaled:
+        unit = {c: F.coalesce(F.nullif(F.col(f"__s_{c}"), F.lit(0.0)), F.lit(1.0)) for c in cols}
+        base, value = attach_one(df, means), (lambda c: (F.col(c).cast("double") - F.col(f"__m_{c}")) / unit[c])
+        back = lambda c: F.col(f"__k_{c}") * unit[c] + F.col(f"__m_{c}")
+    else:
+        base, value, back = df, (lambda c: F.col(c).cast("double")), (lambda c: F.col(f"__k_{c}"))
+    packed = cut(base.select(F.col(id_col).alias("id"), any_null(list(cols)).alias("__q"), F.array(*[
+        F.coalesce(value(c), nan) for c in cols]).alias("v")))
     # copies: the k + 1 smallest ids stand for all, and equal rows share one search
     refs = cut(fold_copies(packed.select("id", "v"), k + 1).select(F.explode("ids").alias("id"), "v"))
     asked = packed.where("__q").select("id", "v")
@@ -117,9 +141,8 @@ def knn_impute_shared(df: DataFrame, id_col: str, cols: Sequence[str], k: int =
         F.aggregate(near, F.lit(0.0), lambda acc, x: acc + x["value"]), F.size(near).cast("double")).alias("value"))
     wide = cells.groupBy(F.col("id").alias(id_col)).agg(*[
         F.max(F.when(F.col("dim") == i, F.col("value"))).alias(f"__k_{c}") for i, c in enumerate(cols)])
-    means = df.agg(*[F.avg(c).alias(f"__m_{c}") for c in cols])
     out = attach_one(df.join(wide, id_col, "left"), means)
-    return out.select(*[F.coalesce(F.col(c), F.col(f"__k_{c}"), F.col(f"__m_{c}")).alias(c) if c in set(cols)
+    return out.select(*[F.coalesce(F.col(c), back(c), F.col(f"__m_{c}")).alias(c) if c in set(cols)
                         else F.col(c) for c in df.columns])
 
 

@@ -77,7 +77,7 @@ def _candidates(a: np.ndarray, b: np.ndarray, k: int, p: int) -> tuple[np.ndarra
     return qi, ri, exact
 
 
-def _first(group: np.ndarray, k: int) -> np.ndarray:
+def first_of_runs(group: np.ndarray, k: int) -> np.ndarray:
     """Mask of the first k entries of every run of a sorted array."""
     start = np.r_[0, np.nonzero(np.diff(group))[0] + 1]
     return np.arange(len(group)) - np.repeat(start, np.diff(np.r_[start, len(group)])) < k
@@ -95,14 +95,14 @@ def _best(q: pd.DataFrame, r: pd.DataFrame, k: int, p: int) -> pd.DataFrame:
         for s in range(0, len(q), step):
             qi, ri, d = _candidates(qv[s:s + step], rv, k, p)
             order = np.lexsort((lead[ri], d, qi))
-            order = order[_first(qi[order], k)]
+            order = order[first_of_runs(qi[order], k)]
             qi, ri, d = qi[order], ri[order], d[order]
             # one entry per copy of the vector
             n = lens[ri]
             at = np.repeat(begin[ri] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
             qi, d, ids = np.repeat(qi, n), np.repeat(d, n), every[at]
             order = np.lexsort((ids, d, qi))
-            order = order[_first(qi[order], k)]
+            order = order[first_of_runs(qi[order], k)]
             out.append(pd.DataFrame({"id": qid[s:s + step][qi[order]], "rid": ids[order], "dist": d[order]}))
     if not out:
         return pd.DataFrame({"id": [], "rid": [], "dist": []}).astype({"id": "int64", "rid": "int64"})
@@ -207,7 +207,7 @@ def _nearest_of_few(few: list, refs: DataFrame, need: int, p: int) -> DataFrame:
             if len(b):
                 qi, ri, d = _candidates(qv, _stack(b["v"]), need, p)
                 order = np.lexsort((b["id"].to_numpy()[ri], d, qi))
-                order = order[_first(qi[order], need)]
+                order = order[first_of_runs(qi[order], need)]
                 yield pd.DataFrame({"q": ids[qi[order]], "rid": b["id"].to_numpy()[ri[order]], "dist": d[order],
                                     "v": b["v"].to_numpy()[ri[order]]})
 
