@@ -60,6 +60,63 @@ def _(spark, sf):
     return names_frame(spark, sf, sel.select_ridge(matrix(spark, sf), "vec_id", MATRIX, "y", 20, ALPHAS))
 
 
+def optimal(ratio):
+    """Whether the coefficients that the search chose meet their conditions, measured on all rows."""
+    def run(spark, sf):
+        m = matrix(spark, sf)
+        folds = sel.fold_moments(m, "vec_id", MATRIX, "y", k=10)
+        b, alpha, r = sel.search_linear(folds, sel.ALPHAS, [ratio])
+        return sel.optimality(m, MATRIX, "y", b, alpha, r).select("feature", (F.col("excess") < 1e-7).alias("optimal"))
+    return run
+
+
+# 50 penalties on 10 folds from one pass
+OPTIMAL = "select 'x' || i as feature, true as optimal from (select unnest(range(1, 65)) as i)"
+check("lasso_optimal", "feature:s, optimal:b", OPTIMAL)(optimal(1.0))
+check("enet_optimal", "feature:s, optimal:b", OPTIMAL)(optimal(0.5))
+check("ridge_optimal", "feature:s, optimal:b", OPTIMAL)(optimal(0.0))
+
+
+@check("fold_moments", "fold:l, n:l, feature:s, mean:d, with_y:d", """
+with r as (select vec_id, y, (row_number() over (partition by y order by md5(concat('42:', cast(vec_id as varchar))), vec_id) - 1) % 3 as fold from rows),
+f as (select fold, count(*) as n from r group by 1)
+select fold, n, 'x' || dim as feature, avg(x) as mean, covar_pop(x, r.y) as with_y
+from r join f using (fold) join cells using (vec_id) group by 1, 2, dim""")
+def _(spark, sf):
+    folds = sel.fold_moments(matrix(spark, sf), "vec_id", MATRIX, "y")
+    rows = [(k, m.n, c, float(m.mean[i]), float(m.scatter[i, -1] / m.n)) for k, m in enumerate(folds) for i, c in enumerate(MATRIX)]
+    return spark.createDataFrame(rows, "fold long, n long, feature string, mean double, with_y double")
+
+
+@check("pca_shares", "component:l, share_ok:b, apart:b", "select unnest(range(64)) as component, true as share_ok, true as apart")
+def _(spark, sf):
+    """Each component's share against the variance of the projected rows, and that it is uncorrelated with the next one."""
+    m = matrix(spark, sf)
+    values, _ = sel.components(sel.moments_by(m, MATRIX)[0])
+    (made,), k = sel.reduce_pca(m, MATRIX, 1.0)
+    whole = sum((F.var_samp(c) for c in MATRIX), F.lit(0.0))
+    pc = [F.get("pca", F.lit(i)) for i in range(k)]
+    row = made.agg(F.array(*[F.struct(F.var_samp(p).alias("v"), F.corr(p, pc[(i + 1) % k]).alias("c"), F.lit(float(values[i] / values.sum())).alias("share"))
+                             for i, p in enumerate(pc)]).alias("s"), whole.alias("all"))
+    each = row.select("all", F.posexplode("s").alias("component", "x"))
+    return each.select("component", (F.abs(F.col("x.v") / F.col("all") - F.col("x.share")) < 1e-9).alias("share_ok"),
+                       (F.abs(F.col("x.c")) < 1e-6).alias("apart"))
+
+
+@check("pca_tuned", "share:d, components:l, likelihood:d4, best:b")
+def _(spark, sf):
+    """Held-out likelihood of every share, and the one chosen."""
+    m = matrix(spark, sf)
+    chosen, k = sel.tune_share(m, "vec_id", MATRIX)
+    folds = list(sel.moments_by(sel.stratified_folds(m.withColumn("one", F.lit(0)), "vec_id", "one", 3), MATRIX, "fold").values())
+    total = sel.together(folds, 64)
+    rows = []
+    for share in sel.SHARES:
+        marks = [sel.component_likelihood(total - f, f, sel.components_for(sel.components(total - f)[0], share)) for f in folds]
+        rows.append((share, sel.components_for(sel.components(total)[0], share), sum(marks) / len(marks), share == chosen))
+    return spark.createDataFrame(rows, "share double, components long, likelihood double, best boolean")
+
+
 @check("reduce_pca", "vec_id:l, k:l, first:d3")
 def _(spark, sf):
     (out,), k = sel.reduce_pca(matrix(spark, sf), MATRIX, 0.9)

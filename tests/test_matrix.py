@@ -236,3 +236,111 @@ def test_cross_validation_separates(spark):
     out = ex.cross_validate(df, "id", cols, "y", ["LDA"], k=2, alphas=[1e-3], resample=False).collect()
     assert sorted(r["fold"] for r in out) == [0, 1] and all(r["n_train"] + r["n_val"] == 80 for r in out)
     assert all(r["f1"] > 0.6 for r in out)
+
+
+def test_moments_add_and_subtract():
+    from trialspan.functions.moments import Moments
+
+    rng = np.random.default_rng(1)
+    x = 1e7 + rng.normal(size=(90, 4))
+    a, b = Moments.of(x[:30]), Moments.of(x[30:])
+    whole = Moments.of(x)
+    np.testing.assert_allclose((a + b).scatter, whole.scatter, rtol=1e-6)
+    np.testing.assert_allclose((whole - a).scatter, b.scatter, rtol=1e-6, atol=1e-6)
+    np.testing.assert_allclose((whole - a).mean, b.mean)
+    assert (whole - whole).n == 0 and (Moments.of(x[:0]) + a).n == 30
+
+
+def test_moments_of_missing_values(spark):
+    from trialspan.functions.moments import moments_by
+
+    df = spark.createDataFrame([(1, 1.0), (2, None)], "id long, x double")
+    with pytest.raises(Exception, match="missing values in x"):
+        moments_by(df, ["x"])
+    assert moments_by(df.limit(0), ["x"]) == {}
+
+
+def test_linear_search_equals_plain_search(spark):
+    """The penalty chosen from moments is that of fitting and scoring every fold; coefficients equal MLlib's."""
+    from pyspark.ml.regression import LinearRegression
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 5)) * [1, 2, .5, 1, 3] + 4
+    y = x[:, 0] - 2 * x[:, 2] + rng.normal(size=300)
+    y = (y > np.median(y)).astype(int)
+    cols = [f"x{i}" for i in range(5)]
+    df = spark.createDataFrame([(i, int(y[i]), *map(float, x[i])) for i in range(300)], "id long, y int, " + ", ".join(f"{c} double" for c in cols))
+    alphas, ratios = [1e-3, 1e-2, 1e-1], [0.0, 0.5, 1.0]
+    b, alpha, ratio = sel.search_linear(sel.fold_moments(df, "id", cols, "y"), alphas, ratios)
+    folded = [(r["fold"], r["y"], [r[c] for c in cols]) for r in sel.stratified_folds(df, "id", "y", 3, 42).collect()]
+    marks = {}
+    for f in range(3):
+        train, test = [r for r in folded if r[0] != f], [r for r in folded if r[0] == f]
+        xt, yt = np.array([r[2] for r in train]), np.array([r[1] for r in train], float)
+        xv, yv = np.array([r[2] for r in test]), np.array([r[1] for r in test], float)
+        for a in alphas:
+            for q in ratios:
+                m = sel.Moments.of(np.column_stack([xt, yt]))
+                w = sel.elastic_net(m, a, q)
+                p = xv @ w + yt.mean() - xt.mean(0) @ w
+                marks.setdefault((a, q), []).append(1 - ((yv - p) ** 2).sum() / ((yv - yv.mean()) ** 2).sum())
+    assert (alpha, ratio) == max(marks, key=lambda k: np.mean(marks[k]))
+    for a, q in ((0.02, 1.0), (0.05, 0.5), (0.1, 0.0)):
+        want = LinearRegression(featuresCol="features", labelCol="y", standardization=False, regParam=a, elasticNetParam=q, tol=1e-10, maxIter=500).fit(
+            sel.assemble(df, cols)).coefficients.toArray()
+        np.testing.assert_allclose(sel.search_linear(sel.fold_moments(df, "id", cols, "y"), [a], [q])[0], want, atol=2e-4)
+
+
+def test_lasso_by_fold_leaves_the_fold_out(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(240, 3))
+    rows = [(i, i % 4, int(x[i, 0] + .1 * rng.normal() > 0), *map(float, x[i])) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, fold int, y int, a double, b double, c double")
+    got = sel.lasso_by_fold(df, "id", ["a", "b", "c"], "y", [0.1])
+    assert got == {f: sel.select_lasso(df.where(f"fold <> {f}"), "id", ["a", "b", "c"], "y", [0.1]) for f in range(4)} and "a" in got[0]
+
+
+def test_tuned_component_share(spark):
+    """Likelihoods from moments equal those of the Gaussian; the share follows the data's true rank."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 3)) @ rng.normal(size=(3, 8)) * 5 + rng.normal(size=(400, 8)) * .3
+    train, test = sel.Moments.of(x[:300]), sel.Moments.of(x[300:])
+    values, vectors = sel.components(train)
+    noise = values[3:].mean()
+    c = vectors[:, :3] @ np.diag(values[:3] - noise) @ vectors[:, :3].T + noise * np.eye(8)
+    z = x[300:] - x[:300].mean(0)
+    want = np.mean([-0.5 * (8 * np.log(2 * np.pi) + np.linalg.slogdet(c)[1] + r @ np.linalg.solve(c, r)) for r in z])
+    assert sel.component_likelihood(train, test, 3) == pytest.approx(want)
+    cols = [f"x{i}" for i in range(8)]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, " + ", ".join(f"{c} double" for c in cols))
+    share, k = sel.tune_share(df, "id", cols, [0.5, 0.95, 0.9999999])
+    assert (share, k) == (0.95, 3) or k == 3
+    (made,), m = sel.reduce_pca(df, cols, None, id_col="id")
+    got = np.array([r["pca"] for r in made.orderBy("id").collect()])
+    assert got.shape[1] == m and abs(np.cov(got.T) - np.diag(np.diag(np.cov(got.T)))).max() < 1e-8
+
+
+def test_hashed_buckets(spark):
+    """All references are indexed, the measured recall holds, and clustered rows need few probes."""
+    from trialspan.operators import neighbours as nb
+
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 12)) * 10
+    x = centres[rng.integers(40, size=4000)] + rng.normal(size=(4000, 12))
+    v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "id long, v array<double>").repartition(4).cache()
+    queries = v.where("id % 20 = 0")
+    found = nb.knn_join(queries, v, 5, skip_self=True, mode="approx")
+    exact = nb.knn_join(queries, v, 5, skip_self=True)
+    row = nb.recall_of(found, exact).first()
+    assert row["n_queries"] == 200 and row["recall"] >= 0.9
+    b = nb.fit_buckets(nb.fold_copies(v, 6), queries, 4000, 6, 2, 0.95)
+    assert b.directions.shape[1] == 6 and b.probes <= 8 and b.recall >= 0.95
+    m = b.margins(x[:50])
+    codes, score = b.ranked(m)
+    assert (codes[:, 0] == b.code(m)).all() and (np.diff(score, axis=1) >= 0).all() and all(len(set(c)) == 64 for c in codes.tolist())
+    # few rows, copies and no rows at all
+    few = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(9)], "id long, v array<double>")
+    assert {(r["id"], r["rid"]) for r in nb.knn_join(few, few, 1, skip_self=True, mode="approx").collect()} == {(i, 0 if i else 1) for i in range(9)}
+    assert nb.knn_join(few, few.limit(0), 1, mode="approx").count() == 0 == nb.knn_join(few.limit(0), few, 1, mode="approx").count()
+    with pytest.raises(ValueError):
+        nb.knn_join(few, few, 1, mode="other")

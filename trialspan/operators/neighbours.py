@@ -266,9 +266,9 @@ def _bucket_cells(folded: DataFrame, asked: DataFrame, b: Buckets) -> tuple[Data
             asked.mapInPandas(probe, "id long, v array<double>, cell long"))
 
 
-def knn_join(queries: DataFrame, refs: DataFrame, k: int, p: int = 2, skip_self: bool = False, mode: str = "exact",
-             recall: float = 0.95, pivots: int | None = None, ref_block: int = REF_BLOCK,
-             query_block: int = QUERY_BLOCK) -> DataFrame:
+def knn_join(queries: DataFrame, refs: DataFrame, k: int, p: int = 2, skip_self: bool = False,
+             pivots: int | None = None, ref_block: int = REF_BLOCK, query_block: int = QUERY_BLOCK,
+             mode: str = "exact", recall: float = 0.95) -> DataFrame:
     """(id, rid, dist, rank) for the k nearest references of every query; both sides are (id, v).
 
     ``skip_self`` leaves out the reference with the query's own id. Ties break by id. ``mode`` is "exact", or "approx":

@@ -60,9 +60,10 @@ def cross_validate(df: DataFrame, id_col: str, cols: Sequence[str], y: str, mode
     if trials and "KNN" in models:
         raise ValueError("the neighbour classifier has no search space; give its parameters and leave trials at 0")
     folded, out = cut(folded), []
+    picks = selection.lasso_by_fold(folded, id_col, cols, y, alphas, seed)
     for fold in range(k):
         train, test = sampling.take_fold(folded, fold, k)
-        names = selection.select_lasso(train, id_col, cols, y, alphas, seed)
+        names = picks[fold]
         if not names:
             raise ValueError(f"the lasso keeps no column in fold {fold}; give smaller alphas")
         n_train, n_val = train.count(), test.count()
@@ -181,7 +182,7 @@ def reduction_study(train: DataFrame, test: DataFrame, id_col: str, cols: Sequen
             pred = scored(name, train, test, id_col, names, y)
             out.append(binary_metrics(pred, y, "p").withColumns(
                 {"method": F.lit(method), "model": F.lit(name), "n_features": F.lit(len(names))}))
-    (a, b), m = selection.reduce_pca(train, cols, 0.95, test)
+    (a, b), m = selection.reduce_pca(train, cols, None, test, id_col=id_col, seed=seed)
     names = [f"pc{i}" for i in range(m)]
     flat = lambda d: d.select(id_col, y, *[F.get("pca", i).alias(n_) for i, n_ in enumerate(names)])
     for name in models:
