@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from trialspan.operators import attribution as at
 from trialspan.operators import metrics as mt
+from trialspan.functions.sizing import cut
+from trialspan.operators import sampling
 from trialspan.operators import selection as sel
 from trialspan.operators import sequences
 from trialspan.operators import windows as win
@@ -201,6 +203,39 @@ def _(spark, sf):
     return mt.binary_metrics(pred, "y", "p").withColumn("C", F.lit(str(params["C"])))
 
 
+@check("search_neighbours", "p:l, weights:s, k:l, f1:d", """
+with r as (select vec_id, y, v, (row_number() over (partition by y order by md5(concat('42:', cast(vec_id as varchar))), vec_id) - 1) % 3 as fold from rows),
+d as (select a.vec_id as id, a.fold, a.y as truth, b.y, b.vec_id as rid, list_distance(a.v, b.v) as d2,
+  list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2]))) as d1 from r a join r b on a.fold <> b.fold),
+n as (select *, row_number() over (partition by p, id order by dist, rid) as k from (
+  select 1 as p, id, fold, truth, y, rid, d1 as dist from d union all select 2, id, fold, truth, y, rid, d2 from d) qualify k <= 30),
+v as (select p, k, fold, truth, avg(y) over w as uniform, sum(y / dist) over w / sum(1 / dist) over w as distance from n
+  window w as (partition by p, id order by k rows between unbounded preceding and current row)),
+l as (select p, k, fold, truth, unnest(['uniform', 'distance']) as weights, unnest([uniform, distance]) > 0.5 as hit from v where k >= 3),
+f as (select p, weights, k, fold, count_if(hit and truth = 1) as tp, count_if(hit and truth <> 1) as fp, count_if(not hit and truth = 1) as fn
+  from l group by 1, 2, 3, 4)
+select p, weights, k, avg(case when tp + fp + fn > 0 then 2.0 * tp / (2 * tp + fp + fn) else 0 end) as f1 from f group by 1, 2, 3""")
+def _(spark, sf):
+    m = matrix(spark, sf)
+    return models.search_neighbours(cut(sampling.stratified_folds(m, "vec_id", "y", 3)), "vec_id", MATRIX, "y")
+
+
+@check("median_parameters", "model:s, fold_id:l, f1_score:d, c:d, n_features:l", """
+with r as (select *, row_number() over (partition by model order by f1, fold) as k, count(*) over (partition by model) as n from folds),
+m as (select model, f1 as f1_median from r where k = n // 2 + 1),
+o as (select m.model, min(fold) as fold, any_value(f1_median) as f1 from m join folds f on f.model = m.model and f.f1 = f1_median group by 1)
+select model, fold as fold_id, f1 as f1_score, 0.5 + fold as c, 2 as n_features from o""")
+def _(spark, sf):
+    """Parameters of every model's median fold, written to one file a model and read back."""
+    path = scratch(spark, "median")
+    f = mt.binary_metrics(predictions(spark, sf), keys=["model", "fold"]).withColumns({
+        "best_params": F.create_map(F.lit("C"), (F.col("fold") + 0.5).cast("string"), F.lit("weights"), F.lit("distance")),
+        "selected_features": F.array(F.lit("a"), F.concat(F.lit("b"), "fold"))})
+    store.write_median(f, path)
+    rows = [(m, r["fold_id"], r["f1_score"], float(r["best_params"]["C"]), len(r["selected_features"])) for m, r in store.read_median(spark, path).items()]
+    return spark.createDataFrame(rows, "model string, fold_id long, f1_score double, c double, n_features long")
+
+
 @check("window_logistic", "trial_id:l, start:l, label:l, p:l, score:d3")
 def _(spark, sf):
     w = sequences.sequence_windows(labelled(spark, sf), axis(spark, sf), ["sig_a", "sig_b"], "y", 12, 5)

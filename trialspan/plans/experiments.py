@@ -19,7 +19,8 @@ from ..operators.metrics import binary_metrics
 from ..operators.neighbours import knn_classify
 from ..operators.sequences import sequence_windows
 from ..operators.windows import Slide, sliding_label
-from .models import fit, fit_window_logistic, predict, tune, window_scores
+from ..sources.store import read_median
+from .models import WEIGHTED, fit, fit_window_logistic, predict, tune, window_scores
 
 
 def stack(frames: Sequence[DataFrame]) -> DataFrame:
@@ -49,16 +50,16 @@ def fold_result(pred: DataFrame, y: str, keys: Mapping[str, object], n_train: in
 
 def cross_validate(df: DataFrame, id_col: str, cols: Sequence[str], y: str, models: Sequence[str], k: int = 10,
                    seed: int = 42, group: str | None = None, alphas: Sequence[float] = selection.ALPHAS,
-                   resample: bool = True, trials: int = 0, params: Mapping[str, Mapping] | None = None) -> DataFrame:
+                   resample: bool = True, trials: int = 0, params: Mapping[str, Mapping] | None = None,
+                   balanced: bool = False) -> DataFrame:
     """Per fold: lasso on the training rows, SMOTE on the training rows, fit or tune, metrics.
 
-    Folds split rows by class, or whole groups where ``group`` is given.
+    Folds split rows by class, or whole groups where ``group`` is given. ``balanced`` weights the classes in search and
+    fit, for the classifiers that take weights.
     """
     keep = [id_col, y, *([group] if group else []), *cols]
     folded = (sampling.group_folds(df.select(*keep), group, y, k, seed) if group
               else sampling.stratified_folds(df.select(*keep), id_col, y, k, seed))
-    if trials and "KNN" in models:
-        raise ValueError("the neighbour classifier has no search space; give its parameters and leave trials at 0")
     folded, out = cut(folded), []
     picks = selection.lasso_by_fold(folded, id_col, cols, y, alphas, seed)
     for fold in range(k):
@@ -77,10 +78,10 @@ def cross_validate(df: DataFrame, id_col: str, cols: Sequence[str], y: str, mode
             chosen = dict((params or {}).get(name, {}))
             if trials:
                 inner = sampling.stratified_folds(used, id_col, y, 3, seed)
-                model, chosen, _ = tune(name, inner, names, y, trials, 3, seed, "fold")
+                model, chosen, _ = tune(name, inner, names, y, trials, 3, seed, "fold", balanced=balanced, id_col=id_col)
                 pred = predict(model, test.select(id_col, y, *names))
             else:
-                pred = scored(name, used, test, id_col, names, y, chosen)
+                pred = scored(name, used, test, id_col, names, y, chosen, balanced and name in WEIGHTED)
             out.append(fold_result(pred, y, {"model": name, "fold": fold}, n_train, n_val, chosen, names))
     return stack(out)
 
@@ -103,8 +104,17 @@ def cross_validate_seq(df: DataFrame, axis: Axis, cols: Sequence[str], y: str, k
 
 
 def ablate(df: DataFrame, id_col: str, groups: Mapping[str, Sequence[str]], y: str, models: Sequence[str], k: int,
-           seed: int = 42, params: Mapping[str, Mapping] | None = None) -> DataFrame:
-    """Stream groups x models x folds on one cached, folded table; keyed (grp, model, fold)."""
+           seed: int = 42, params: Mapping[str, Mapping] | None = None, stored: str | None = None) -> DataFrame:
+    """Stream groups x models x folds on one cached, folded table; keyed (grp, model, fold).
+
+    With ``stored`` the parameters of every model are those of its median fold in that folder (``store.write_median``);
+    a model without a file there is an error.
+    """
+    if stored:
+        kept = read_median(df.sparkSession, stored)
+        if missing := [m for m in models if m not in kept]:
+            raise FileNotFoundError(f"no median parameters of {', '.join(missing)} in {stored}")
+        params = {m: kept[m]["best_params"] for m in models}
     everything = list(dict.fromkeys(c for cs in groups.values() for c in cs))
     folded = cut(sampling.stratified_folds(df.select(id_col, y, *everything), id_col, y, k, seed))
     out = []
@@ -136,7 +146,10 @@ def offset_sweep(df: DataFrame, axis: Axis, slide: Slide, y: str, offsets: Seque
 
 def imbalance_study(train: DataFrame, test: DataFrame, id_col: str, cols: Sequence[str], y: str,
                     models: Sequence[str], seed: int = 42) -> DataFrame:
-    """Every resampling variant, alone and with class weights, scored by every model."""
+    """Every resampling variant, alone and with class weights, scored by every model.
+
+    KNN and LDA take no class weights; for them there are no rows of that kind.
+    """
     def fresh(df: DataFrame) -> DataFrame:
         return df.withColumn(id_col, F.xxhash64(F.col(id_col), F.col("copy"))).drop("copy")
 
@@ -152,7 +165,7 @@ def imbalance_study(train: DataFrame, test: DataFrame, id_col: str, cols: Sequen
     for variant, data in variants.items():
         for name in models:
             for balanced in (False, True):
-                if balanced and name in ("KNN", "LDA"):
+                if balanced and name not in WEIGHTED:
                     continue
                 pred = scored(name, data, test, id_col, cols, y, balanced=balanced)
                 label = f"{variant}+weights" if balanced else variant

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -11,11 +14,12 @@ from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegressi
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sizing import attach
 from ..operators.metrics import class_weights
+from ..operators.neighbours import knn_classify, knn_join, vectors
 from ..operators.selection import covariance
 
 # Early-mean window, window length and stride (s) per classifier.
@@ -27,14 +31,18 @@ WINDOWING = {
     "EGB": {"early": 46.25, "length": 12.5, "stride": 0.25},
     "KNN": {"early": 32.5, "length": 15, "stride": 0.25},
 }
-# Search candidates per classifier.
-SPACES: dict[str, dict[str, Sequence]] = {
-    "LogReg": {"C": [10.0 ** e for e in range(-4, 3)], "l1_ratio": [0.0, 0.25, 0.5, 0.75, 1.0]},
-    "RF": {"numTrees": [20, 50, 100], "maxDepth": [4, 8, 12], "impurity": ["gini", "entropy"]},
-    "EGB": {"maxIter": [20, 50], "maxDepth": [3, 5], "stepSize": [0.05, 0.1, 0.3]},
-    "SVM": {"C": [10.0 ** e for e in range(-3, 3)]},
-    "LDA": {"shrinkage": [0.0, 0.1, 0.5, 0.9]},
+# Search ranges per classifier: ``log`` and ``real`` draw from an interval, ``int`` from whole numbers, ``pick`` from a list.
+SPACES: dict[str, dict[str, tuple]] = {
+    "LogReg": {"C": ("log", 0.01, 100.0), "l1_ratio": ("real", 0.0, 1.0)},
+    "RF": {"numTrees": ("int", 10, 1000), "maxDepth": ("int", 3, 30), "impurity": ("pick", ["gini", "entropy"]),
+           "featureSubsetStrategy": ("pick", ["sqrt", "log2"]), "minInstancesPerNode": ("int", 1, 4), "minWeightFractionPerNode": ("real", 0.0, 0.49)},
+    "EGB": {"maxIter": ("int", 50, 1000), "stepSize": ("log", 0.01, 1.0), "maxDepth": ("int", 3, 20),
+            "featureSubsetStrategy": ("pick", ["sqrt", "log2", "all"]), "minInstancesPerNode": ("int", 1, 4), "minWeightFractionPerNode": ("real", 0.0, 0.49)},
+    "SVM": {"C": ("log", 0.1, 1000.0), "tol": ("log", 1e-6, 1e-2)},
+    "LDA": {"shrinkage": ("pick", [0.0, 0.1, 0.2, 0.4, 0.6, 0.8, 1.0])},
+    "KNN": {"k": ("int", 3, 30), "weights": ("pick", ["uniform", "distance"]), "p": ("int", 1, 2)},
 }
+WEIGHTED = ("LogReg", "RF", "EGB", "SVM")  # classifiers that take class weights
 
 
 def estimator(name: str, label: str, params: Mapping, n_rows: int, weight: str | None = None):
@@ -93,26 +101,99 @@ def fit_lda(data: DataFrame, cols: Sequence[str], label: str, shrinkage: float =
     return PipelineModel([SQLTransformer(statement=sql)])
 
 
-def candidates(space: Mapping[str, Sequence], n: int, seed: int = 42) -> list[dict]:
-    """Distinct random parameter sets (all of them if the space is smaller)."""
+def drawn(kind: str, *spec, rng: random.Random):
+    """One value of a search range."""
+    if kind == "log":
+        lo, hi = spec
+        return float(min(hi, max(lo, lo * (hi / lo) ** rng.random())))
+    if kind == "real":
+        return rng.uniform(*spec)
+    return rng.randint(*spec) if kind == "int" else rng.choice(list(spec[0]))
+
+
+def candidates(space: Mapping[str, tuple], n: int, seed: int = 42) -> list[dict]:
+    """Distinct seeded random parameter sets; all of them if the space has no more."""
     rng, out = random.Random(seed), []
-    size = int(np.prod([len(v) for v in space.values()]))
-    while len(out) < min(n, size):
-        one = {k: rng.choice(list(v)) for k, v in space.items()}
+    sizes = [float("inf") if v[0] in ("log", "real") else v[2] - v[1] + 1 if v[0] == "int" else len(v[1]) for v in space.values()]
+    while len(out) < min(n, math.prod(sizes)):
+        one = {k: drawn(*v, rng=rng) for k, v in space.items()}
         if one not in out:
             out.append(one)
     return out
 
 
+@dataclass(frozen=True)
+class Neighbours:
+    """Neighbour classifier with its training rows, used like a fitted model."""
+
+    train: DataFrame
+    id_col: str
+    cols: Sequence[str]
+    y: str
+    params: Mapping
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        p = self.params
+        votes = knn_classify(self.train, df, self.id_col, self.cols, self.y, p.get("k", 5), p.get("weights", "uniform"), p.get("p", 2))
+        votes = votes.select(F.col(self.id_col).alias("__id"), F.col("prediction").cast("double").alias("prediction"))
+        return df.join(votes, F.col(self.id_col) == F.col("__id")).drop("__id")
+
+
+def search_neighbours(df: DataFrame, id_col: str, cols: Sequence[str], y: str, folds: int = 3, fold_col: str = "fold",
+                      space: Mapping[str, tuple] | None = None) -> DataFrame:
+    """(p, weights, k, f1): mean F1 of class 1 over the folds for every k, both votes and every p.
+
+    One neighbour list a fold and p, at the largest k; each k reads a prefix of it.
+    """
+    space = space or SPACES["KNN"]
+    (_, least, most), (_, p_lo, p_hi) = space["k"], space["p"]
+    out = []
+    for p in range(p_lo, p_hi + 1):
+        for f in range(folds):
+            train, test = df.where(F.col(fold_col) != f), df.where(F.col(fold_col) == f)
+            near = knn_join(vectors(test, id_col, cols), vectors(train, id_col, cols), most, p)
+            truth = test.select(F.col(id_col).alias("id"), F.col(y).cast("double").alias("truth"))
+            labels = train.select(F.col(id_col).alias("rid"), F.col(y).cast("double").alias("y"))
+            # a list is as long as the largest k
+            upto = Window.partitionBy("id").orderBy("rank")
+            whole = F.sum("y").over(upto) / F.count(F.lit(1)).over(upto)
+            hits, hit_y = F.sum((F.col("dist") == 0).cast("int")).over(upto), F.sum(F.when(F.col("dist") == 0, F.col("y"))).over(upto)
+            w = F.try_divide(F.lit(1.0), F.col("dist"))
+            by_distance = F.when(hits > 0, hit_y / hits).otherwise(F.try_divide(F.sum(w * F.col("y")).over(upto), F.sum(w).over(upto)))
+            votes = near.join(labels, "rid").select("id", F.col("rank").alias("k"), whole.alias("uniform"), by_distance.alias("distance"))
+            votes = votes.where(F.col("k") >= least).join(truth, "id")
+            for kind in space["weights"][1]:
+                hit, pos = F.col(kind) > 0.5, F.col("truth") == 1
+                out.append(votes.groupBy("k").agg(F.count_if(hit & pos).alias("tp"), F.count_if(hit & ~pos).alias("fp"), F.count_if(~hit & pos).alias("fn"))
+                           .select(F.lit(p).alias("p"), F.lit(kind).alias("weights"), "k", F.lit(f).alias("fold"),
+                                   F.coalesce(F.try_divide(2.0 * F.col("tp"), (2 * F.col("tp") + F.col("fp") + F.col("fn")).cast("double")), F.lit(0.0)).alias("f1")))
+    return reduce(DataFrame.unionByName, out).groupBy("p", "weights", "k").agg(F.avg("f1").alias("f1"))
+
+
 def tune(name: str, df: DataFrame, cols: Sequence[str], y: str, n: int = 30, folds: int = 3, seed: int = 42,
-         fold_col: str | None = None, parallelism: int = 4) -> tuple[PipelineModel, dict, float]:
-    """Random search by cross-validated F1 of class 1: (best model, its parameters, its F1)."""
-    label = "__label"
+         fold_col: str | None = None, parallelism: int = 4, balanced: bool = False, id_col: str | None = None,
+         space: Mapping[str, tuple] | None = None) -> tuple[PipelineModel | Neighbours, dict, float]:
+    """Random search by cross-validated F1 of class 1: (best model, its parameters, its F1).
+
+    ``balanced`` weights classes by n / (2 n_c) where the classifier takes weights. The neighbour classifier tries its
+    whole space; it needs ``id_col`` and ``fold_col``.
+    """
+    label, space = "__label", space or SPACES[name]
+    if name == "KNN":
+        if not fold_col or not id_col:
+            raise ValueError("tuning the neighbour classifier needs an id and a fold column")
+        marks = search_neighbours(df, id_col, cols, y, folds, fold_col, space).orderBy(F.col("f1").desc(), "k", "p", F.col("weights").desc()).first()
+        params = {"k": marks["k"], "weights": marks["weights"], "p": marks["p"]}
+        return Neighbours(df.select(id_col, y, *[F.col(f"`{c}`") for c in cols]), id_col, list(cols), y, params), params, float(marks["f1"])
     keep = [fold_col] if fold_col else []
     data = df.select(*[F.col(c).cast("double").alias(c) for c in cols], F.col(y).cast("double").alias(label),
-                     *[F.col(c).cast("int").alias(c) for c in keep]).persist()
+                     *[F.col(c).cast("int").alias(c) for c in keep])
+    weight = "__weight" if balanced and name in WEIGHTED else None
+    if weight:
+        data = attach(data, class_weights(data, label).select(label, F.col("weight").alias(weight)), [label])
+    data = data.persist()
     score = MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0)
-    sets = candidates(SPACES[name], n, seed)
+    sets = candidates(space, n, seed)
     if name == "LDA":
         # not an MLlib estimator: score each candidate over the given folds
         if not fold_col:
@@ -127,13 +208,13 @@ def tune(name: str, df: DataFrame, cols: Sequence[str], y: str, n: int = 30, fol
         data.unpersist()
         return model, best[1], best[0]
     n_rows = data.count()
-    est = estimator(name, label, {}, n_rows)
+    est = estimator(name, label, {}, n_rows, weight)
     pipe = Pipeline(stages=[VectorAssembler(inputCols=list(cols), outputCol="features"), est])
     grid = []
     for p in sets:
-        made = estimator(name, label, p, n_rows)
+        made = estimator(name, label, p, n_rows, weight)
         grid.append({est.getParam(q.name): made.getOrDefault(q) for q in made.params if made.isSet(q)
-                     and q.name not in ("featuresCol", "labelCol", "seed")})
+                     and q.name not in ("featuresCol", "labelCol", "weightCol", "seed")})
     extra = {"foldCol": fold_col} if fold_col else {}
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=score, numFolds=folds, seed=seed,
                         parallelism=parallelism, **extra)

@@ -11,6 +11,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.metrics import median_fold
+
 # The schema of a fold result.
 RESULT_SCHEMA = ("fold int, metrics struct<accuracy:double,precision:double,recall:double,f1:double,"
                  "specificity:double,g_mean:double>, n_train bigint, n_val bigint, "
@@ -75,6 +77,34 @@ def flatten_results(nested: DataFrame) -> DataFrame:
     return nested.select(*others, "metrics.*")
 
 
+MEDIAN_SCHEMA = "model string, fold_id long, f1_score double, best_params map<string,string>, selected_features array<string>"
+
+
+def write_median(results: DataFrame, path: str) -> None:
+    """Parameters, columns, number and F1 of every model's median fold, one JSON file a model."""
+    rows = median_fold(results, ["best_params", "selected_features"], ["model"])
+    rows.select("model", F.col("fold").alias("fold_id"), F.col("f1_median").alias("f1_score"), "best_params", "selected_features").repartition(
+        "model").write.mode("overwrite").partitionBy("model").json(path)
+
+
+def read_median(spark: SparkSession, path: str) -> dict[str, dict]:
+    """What ``write_median`` wrote, by model; parameter values are numbers where they are numbers. A row a model is read."""
+    out = {}
+    for r in spark.read.schema(MEDIAN_SCHEMA).json(path).collect():
+        out[r["model"]] = {"best_params": {k: _number(v) for k, v in (r["best_params"] or {}).items()},
+                           "selected_features": r["selected_features"] or [], "fold_id": r["fold_id"], "f1_score": r["f1_score"]}
+    return out
+
+
+def _number(text: str) -> object:
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            pass
+    return text
+
+
 def append_metrics(df: DataFrame, path: str) -> None:
     """Append metric rows as CSV part files (every file has the header)."""
     df.write.mode("append").option("header", True).csv(path)
