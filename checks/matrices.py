@@ -80,6 +80,16 @@ def _(spark, sf):
     return sm.oversample(matrix(spark, sf).select("vec_id", "y"), "vec_id", "y")
 
 
+@check("oversample_draws", "vec_id:l, y:l, copy:l", f"""
+with k as ({RANKED}), m as (select max(n) as m from k),
+s as (select vec_id as slot, y, n, unnest(range(1, cast((m - n) // n + case when r < (m - n) % n then 1 else 0 end as bigint) + 1)) as copy from k, m)
+select vec_id, y, 0 as copy from k union all
+select k.vec_id, k.y, s.copy from s join k on k.y = s.y
+  and k.r = floor({U.format("concat('42:d:', cast(slot as varchar), ':', cast(copy as varchar))")} * s.n)""")
+def _(spark, sf):
+    return sm.oversample(matrix(spark, sf).select("vec_id", "y"), "vec_id", "y", replacement=True)
+
+
 SMOTE = """
 with mi as (select vec_id, v, row_number() over (order by md5(concat('42:', cast(vec_id as varchar))), vec_id) - 1 as r
   from rows where y = 1),

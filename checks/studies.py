@@ -254,6 +254,13 @@ def _(spark, sf):
     return ex.cross_validate_seq(labelled(spark, sf), axis(spark, sf), ["sig_a", "sig_b"], "y", 3, 12, 5)
 
 
+@check("cross_validate_seq_tuned", f"model:s, fold:l, method:l, length:l, step:l, threshold:d, {SCORE}")
+def _(spark, sf):
+    df = labelled(spark, sf).withColumnsRenamed({"sig_a": "a_v0", "sig_b": "b_v0"}).withColumn("a_v1", F.col("a_v0") - 1)
+    space = {"method": ("pick", [0, 1]), "length": ("int", 8, 16), "step": ("int", 5, 9)}
+    return ex.cross_validate_seq_tuned(df, axis(spark, sf), ["a_v0", "a_v1", "b_v0"], "y", 3, 3, 5, space=space)
+
+
 @check("ablate", f"grp:s, model:s, fold:l, {SCORE}")
 def _(spark, sf):
     return ex.ablate(matrix(spark, sf), "vec_id", {"low": MATRIX[:8], "high": MATRIX[8:24]}, "y", ["LDA"], 3)

@@ -245,6 +245,19 @@ def _(spark, sf):
     return mt.median_fold(folds(spark, sf), ["recall"], ["model"])
 
 
+@check("threshold_choice", "model:l, fold:l, threshold:d, f1:d", """
+with t as (select unnest(range(100, 901)) as k),
+c as (select model, fold, k, count_if(y = 1 and score * 1000 >= k) as tp, count_if(y <> 1 and score * 1000 >= k) as fp, count_if(y = 1) as pos
+  from preds, t group by 1, 2, 3),
+f as (select *, case when tp + fp + pos > 0 then 2.0 * tp / (tp + fp + pos) else 0 end as f1 from c),
+b as (select *, row_number() over (partition by model, fold order by f1 desc, k) as r from f)
+select model, fold, k / 1000.0 as threshold, f1 from b where r = 1""")
+def _(spark, sf):
+    """The threshold with the best F1, from binned scores, against every threshold over all scores."""
+    p = predictions(spark, sf)
+    return mt.best_threshold(mt.threshold_curve(p, ["model", "fold"], "score", "y"), ["model", "fold"])
+
+
 @check("f1_ci", "model:l, median:d, n:l, std:d, ci95:d, is_best:b", """
 select *, model = (select arg_max(model, (median, model)) from (select model, median(f1) as median from folds group by 1))
   as is_best from (select model, median(f1) as median, count(f1) as n, stddev_samp(f1) as std,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -162,6 +163,19 @@ def prefer_baseline(catalog: DataFrame, method: int, feature: str = "feature") -
             .withColumn("__k", F.row_number().over(best)).where("__k = 1").select(*catalog.columns))
 
 
+def preferred_names(names: Sequence[str], method: int) -> list[str]:
+    """The same choice over column names of a table, in their order; names are metadata."""
+    order = BASELINE_PREFERENCE.get(method)
+    if order is None:
+        return list(names)
+    parts = {n: re.fullmatch(r"(.*)_(v[0-8])", n) for n in names}
+    rank: dict[str, int] = {}
+    for m in parts.values():
+        if m and m[2] in order:
+            rank[m[1]] = min(rank.get(m[1], len(order)), order.index(m[2]))
+    return [n for n, m in parts.items() if m and m[2] in order and rank[m[1]] == order.index(m[2])]
+
+
 def parse_feature(catalog: DataFrame, feature: str = "feature") -> DataFrame:
     """Baseline, derivative order, statistic and standardization out of a name (NULL if absent)."""
     f = F.col(feature)

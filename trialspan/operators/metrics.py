@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -153,6 +154,32 @@ def histogram(df: DataFrame, col: str, bins: int = 15, by: Sequence[str] = ()) -
                     "n"))
 
 
+def threshold_curve(scored: DataFrame, keys: Sequence[str] = (), score: str = "score", y: str = "label", bins: int = 1000,
+                    least: float = 0.1, most: float = 0.9) -> DataFrame:
+    """(keys, threshold, tp, fp, fn, f1) for every threshold k / bins in a range, where scores of at least it are positive.
+
+    Scores are counted by bin first; cumulated counts give the whole curve, so its cost does not follow the rows.
+    """
+    lo, hi = math.ceil(least * bins - 1e-9), math.floor(most * bins + 1e-9)
+    at = F.greatest(F.least(F.floor(F.col(score) * bins), F.lit(hi)), F.lit(lo - 1)).cast("int")
+    counts = scored.select(*keys, at.alias("__b"), (F.col(y) == 1).alias("__pos")).groupBy(*keys, "__b").agg(
+        F.count_if("__pos").alias("__p"), F.count_if(~F.col("__pos")).alias("__q"))
+    # every key has all bins; few rows a key
+    each = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__b", F.struct("__p", "__q").alias("c")))).alias("__m"), F.sum("__p").alias("__all"))
+    grid = each.select(*keys, "__all", "__m", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("__b"))
+    grid = grid.select(*keys, "__all", "__b", F.coalesce(F.col("__m")[F.col("__b")]["__p"], F.lit(0)).alias("__p"), F.coalesce(F.col("__m")[F.col("__b")]["__q"], F.lit(0)).alias("__q"))
+    above = Window.partitionBy(*keys).orderBy(F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = grid.select(*keys, (F.col("__b") / F.lit(float(bins))).alias("threshold"), F.sum("__p").over(above).alias("tp"), F.sum("__q").over(above).alias("fp"), "__all")
+    return out.select(*keys, "threshold", "tp", "fp", (F.col("__all") - F.col("tp")).alias("fn"), ratio(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("__all"), 0.0).alias("f1"))
+
+
+def best_threshold(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The smallest threshold with the largest F1, a row a key."""
+    best = F.max(F.struct("f1", (-F.col("threshold")).alias("t")))
+    out = curve.groupBy(*keys).agg(best.alias("b"))
+    return out.select(*keys, (-F.col("b.t")).alias("threshold"), "b.f1")
+
+
 def class_weights(df: DataFrame, y: str = "y") -> DataFrame:
     """Balanced weights n / (classes * n_class)."""
     counts = df.groupBy(y).agg(F.count(F.lit(1)).alias("n"))

@@ -86,8 +86,29 @@ def replicate(df: DataFrame, times: Column, out: str = "copy", chunk: int = 1024
         f"sequence(__c * {chunk}L, least((__c + 1) * {chunk}L, __n) - 1)"))).drop("__n", "__c")
 
 
-def oversample(df: DataFrame, id_col: str, y: str, seed: int = 42) -> DataFrame:
-    """Random over-sampling of every class to the largest class; ``copy`` 0 is the row itself."""
+def drawn_rows(slots: DataFrame, ranked: DataFrame, keys: Sequence[str], size: str, seed: int | str) -> DataFrame:
+    """For each slot (id ``__slot``, ``copy``, keys and class size) the row of a random rank: draws with replacement."""
+    u = hash_uniform(hash_key("__slot", "copy", seed=seed))
+    return slots.withColumn("__r", F.floor(u * F.col(size))).join(ranked, [*keys, "__r"])
+
+
+def oversample(df: DataFrame, id_col: str, y: str, seed: int = 42, replacement: bool = False) -> DataFrame:
+    """Random over-sampling of every class to the largest class; ``copy`` 0 is the row itself.
+
+    Copies are dealt evenly over the rows of a class, or, with ``replacement``, each is a draw of its own; then ``copy``
+    numbers the draws of a slot, and a row may come any number of times.
+    """
+    if replacement:
+        sizes = cut(_class_sizes(df, y))
+        ranked = cut(hash_ranks(df, id_col, [y], seed, "__r"))
+        goal = sizes.agg(F.max("__n").alias("__max"))
+        rest = F.col("__max") - F.col("__n")
+        times = F.floor(rest / F.col("__n")) + (F.col("__r") < rest % F.col("__n")).cast("int")
+        slots = attach(attach_one(ranked.select(F.col(id_col).alias("__slot"), y, "__r"), goal), sizes, [y])
+        slots = slots.select("__slot", y, F.col("__n").alias("__size"), times.alias("__t"))
+        slots = replicate(slots, F.col("__t")).select("__slot", y, "__size", (F.col("copy") + 1).alias("copy"))
+        made = drawn_rows(slots, ranked, [y], "__size", f"{seed}:d").select(*[f"`{c}`" for c in df.columns], "copy")
+        return df.withColumn("copy", F.lit(0).cast("bigint")).unionByName(made)
     sizes = _class_sizes(df, y)
     goal = sizes.agg(F.max("__n").alias("__max"))
     ranked = attach(attach_one(hash_ranks(df, id_col, [y], seed, "__r"), goal), sizes, [y])

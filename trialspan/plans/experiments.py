@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from ..functions.sizing import cut
 from ..functions.timeline import Axis
 from ..operators import sampling, selection
-from ..operators.metrics import binary_metrics
+from ..operators.catalog import preferred_names
+from ..operators.metrics import best_threshold, binary_metrics, threshold_curve
 from ..operators.neighbours import knn_classify
 from ..operators.sequences import sequence_windows
 from ..operators.windows import Slide, sliding_label
 from ..sources.store import read_median
-from .models import WEIGHTED, fit, fit_window_logistic, predict, tune, window_scores
+from .models import WEIGHTED, candidates, fit, fit_window_logistic, predict, tune, window_scores
 
 
 def stack(frames: Sequence[DataFrame]) -> DataFrame:
@@ -103,6 +104,55 @@ def cross_validate_seq(df: DataFrame, axis: Axis, cols: Sequence[str], y: str, k
     return stack(out)
 
 
+# Search ranges of the sequence model; the threshold is read off the curve of each candidate.
+SEQUENCE_SPACE = {"method": ("pick", [0, 1, 2, 3, 4, 5]), "length": ("int", 25, 250), "step": ("int", 25, 75)}
+
+
+def tune_seq(df: DataFrame, axis: Axis, cols: Sequence[str], y: str, n: int = 30, horizon: int = 0, seed: int = 42,
+             space: Mapping[str, tuple] | None = None, holdout: float = 0.2) -> tuple[dict, float]:
+    """(baseline method, length, step and threshold with the best F1 of class 1 on held-out trials, that F1).
+
+    Every candidate is fitted once; its scores are counted by bin, and one job finds the best threshold of all candidates.
+    """
+    trial = axis.keys[0]
+    parts = sampling.group_holdout(df.select(trial).distinct(), trial, holdout, seed).select(trial, "is_test")
+    sets, curves = candidates(space or SEQUENCE_SPACE, n, seed), []
+    for i, p in enumerate(sets):
+        names = preferred_names(cols, p["method"])
+        if not names:
+            continue
+        windows = cut(sequence_windows(df, axis, names, y, p["length"], p["step"], horizon).join(parts, trial))
+        train = windows.where("is_test = 0")
+        if train.select("label").distinct().count() < 2:
+            continue
+        scored_ = window_scores(fit_window_logistic(train), windows.where("is_test = 1"))
+        curves.append(cut(threshold_curve(scored_, y="label").withColumn("candidate", F.lit(i))))
+    if not curves:
+        raise ValueError("no candidate has columns and windows of both classes")
+    best = best_threshold(stack(curves), ["candidate"]).orderBy(F.col("f1").desc(), "candidate").first()
+    return {**sets[best["candidate"]], "threshold": best["threshold"]}, float(best["f1"])
+
+
+def cross_validate_seq_tuned(df: DataFrame, axis: Axis, cols: Sequence[str], y: str, k: int = 5, n: int = 30, step: int = 10,
+                             horizon: int = 0, seed: int = 42, space: Mapping[str, tuple] | None = None) -> DataFrame:
+    """Per fold of whole trials: search on the training trials, refit with the columns, length and threshold found, metrics.
+
+    Test windows start every ``step`` rows, whatever step the search found for training.
+    """
+    trial = axis.keys[0]
+    folds = sampling.group_folds(df.groupBy(trial).agg(F.max(y).alias(y)), trial, y, k, seed).select(trial, "fold")
+    placed, out = cut(df.join(folds, trial)), []
+    for fold in range(k):
+        train, test = sampling.take_fold(placed, fold, k)
+        best, _ = tune_seq(train, axis, cols, y, n, horizon, seed, space)
+        names = preferred_names(cols, best["method"])
+        model = fit_window_logistic(cut(sequence_windows(train, axis, names, y, best["length"], best["step"], horizon)))
+        pred = window_scores(model, sequence_windows(test, axis, names, y, best["length"], step, horizon), best["threshold"])
+        out.append(binary_metrics(pred, "label", "p").withColumns(
+            {"model": F.lit("LogRegTS"), "fold": F.lit(fold), "horizon": F.lit(horizon), **{c: F.lit(v) for c, v in best.items()}}))
+    return stack(out)
+
+
 def ablate(df: DataFrame, id_col: str, groups: Mapping[str, Sequence[str]], y: str, models: Sequence[str], k: int,
            seed: int = 42, params: Mapping[str, Mapping] | None = None, stored: str | None = None) -> DataFrame:
     """Stream groups x models x folds on one cached, folded table; keyed (grp, model, fold).
