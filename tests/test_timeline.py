@@ -257,5 +257,6 @@ def test_blocks_are_partitioning_keys(spark, capsys):
                                       "double(id) as v")
     running(df, time_axis(block=10.0), {"s": ("sum", F.col("v"))}).explain()
     shuffles = [x for x in capsys.readouterr().out.splitlines() if "hashpartitioning(" in x]
-    # only the per-block totals meet by trial alone
-    assert sum("__blk" in x for x in shuffles) >= 1 and sum("__blk" not in x for x in shuffles) <= 1
+    by_trial = [x for x in shuffles if "trial_id" in x.split("hashpartitioning(")[1]]
+    # rows meet by trial and block as one key; only the per-block totals meet by trial alone
+    assert sum("__at" in x for x in shuffles if x not in by_trial) >= 1 and len(by_trial) <= 1
