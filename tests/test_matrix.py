@@ -344,3 +344,21 @@ def test_hashed_buckets(spark):
     assert nb.knn_join(few, few.limit(0), 1, mode="approx").count() == 0 == nb.knn_join(few.limit(0), few, 1, mode="approx").count()
     with pytest.raises(ValueError):
         nb.knn_join(few, few, 1, mode="other")
+
+
+def test_column_quantiles_equal_numpy(spark):
+    """Brackets that hold, ties at their edges, few rows, one value, and a column without values."""
+    from trialspan.operators.quality import column_quantiles
+
+    rng = np.random.default_rng(9)
+    x = np.column_stack([rng.normal(size=5000), rng.integers(0, 3, 5000), rng.exponential(size=5000) ** 4, np.full(5000, 2.0)])
+    df = spark.createDataFrame([(*map(float, r), None, float(r[0]) if i < 3 else None) for i, r in enumerate(x)],
+                               "a double, b double, `c.1` double, d double, e double, f double").repartition(4)
+    qs = [0.0, 0.25, 0.5, 0.751, 1.0]
+    for accuracy in (1000, 50):
+        got = {r["feature"]: [r[f"q{j}"] for j in range(5)] for r in column_quantiles(df, df.columns, qs, accuracy).collect()}
+        for i, c in enumerate(["a", "b", "c.1", "d"]):
+            np.testing.assert_allclose(got[c], np.quantile(x[:, i], qs), rtol=1e-12)
+        np.testing.assert_allclose(got["f"], np.quantile(x[:3, 0], qs), rtol=1e-9)
+        assert got["e"] == [None] * 5
+    assert all(r["q0"] is None for r in column_quantiles(df.limit(0), ["a"], [0.5]).collect())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -102,6 +103,51 @@ def quantiles(long: DataFrame, qs: Sequence[float], feature: str = "feature", x:
                                     .alias(f"q{i}") for i in range(len(qs))])
 
 
+def column_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], accuracy: int = 1000) -> DataFrame:
+    """Exact quantiles with linear interpolation of many columns, columns ``feature``, ``q0``, ``q1``...
+
+    Approximate quantiles bracket each one; then only the values inside the brackets, about 4 / ``accuracy`` of the rows,
+    are counted and ranked. A bracket that turns out not to hold its quantile is widened to all values and counted again.
+    """
+    x = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    margin = 2.0 / accuracy
+    ends = sorted({min(1.0, max(0.0, q + s)) for q in qs for s in (-margin, margin)})
+    told = df.agg(F.array(*[F.struct(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"),
+                                     F.percentile_approx(v, ends, accuracy).alias("at")) for v in x.values()]).alias("t")).first()["t"]
+    wanted, done = {}, None  # (column, quantile) -> rows, bracket
+    for i, t in enumerate(told):
+        for j, q in enumerate(qs):
+            if t["n"]:
+                lo, hi = q - margin, q + margin
+                wanted[i, j] = (t["n"], t["at"][ends.index(lo)] if lo > 0 else t["lo"], t["at"][ends.index(hi)] if hi < 1 else t["hi"])
+    while wanted:
+        keys = list(wanted)
+        inside = F.array(*[F.struct(F.lit(k).alias("k"), x[cols[i]].alias("x"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
+                           for k, (i, j) in enumerate(keys) for _, lo, hi in [wanted[i, j]]])
+        near = df.select(F.inline(F.filter(inside, lambda r: (r["x"] >= r["lo"]) & (r["x"] <= r["hi"]))))
+        counts = near.groupBy("k", "x").agg(F.count(F.lit(1)).alias("c"))
+        below = df.agg(F.array(*[F.count_if(x[cols[i]] < lo) for i, j in keys for _, lo, _ in [wanted[i, j]]]).alias("b")).first()["b"]
+        ranged, axis = sorted_axis(counts, ["k", "x"])
+        run = running(ranged, Axis(("k",), ("x",), axis.block), {"upto": ("sum", F.col("c"))})
+        at = [q * (n - 1) - below[k] for k, (i, j) in enumerate(keys) for q, n in [(qs[j], wanted[i, j][0])]]
+        place = F.array(*[F.lit(float(a)) for a in at])[F.col("k")]
+        pick = lambda pos: F.max(F.when((pos < F.col("upto")) & (pos >= F.col("upto") - F.col("c")), F.col("x")))
+        got = {r["k"]: (r["a"], r["b"]) for r in run.withColumn("at", place).groupBy("k").agg(
+            pick(F.floor("at")).alias("a"), pick(F.ceil("at")).alias("b")).collect()}
+        found = []
+        for k, (i, j) in enumerate(keys):
+            a, b = got.get(k, (None, None))
+            if a is not None and b is not None:
+                found.append((cols[i], j, a + (b - a) * (at[k] - math.floor(at[k]))))
+                del wanted[i, j]
+            else:
+                wanted[i, j] = (wanted[i, j][0], told[i]["lo"], told[i]["hi"])
+        done = found if done is None else done + found
+    values = {(c, j): v for c, j, v in done or []}
+    rows = [(c, *[values.get((c, j)) for j in range(len(qs))]) for c in cols]
+    return df.sparkSession.createDataFrame(rows, "feature string, " + ", ".join(f"q{j} double" for j in range(len(qs))))
+
+
 def latency_summary(lat: DataFrame) -> DataFrame:
     """Mean, median, max, min, range and population deviation over the trials."""
     v = F.col("latency").cast("double")
@@ -118,9 +164,7 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.lit(c).alias("feature"), F.count(c).alias("n"), (n - F.count(c)).alias("n_null"),
         F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"),
         F.max(c).cast("double").alias("max")) for c in cols])
-    values = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"))
-                                          for c in cols])))
-    quarts = quantiles(values, [0.25, 0.5, 0.75])
+    quarts = column_quantiles(df, list(cols), [0.25, 0.5, 0.75])
     return df.agg(parts.alias("p")).select(F.inline("p")).join(quarts, "feature", "left").withColumnsRenamed(
         {"q0": "q25", "q1": "q50", "q2": "q75"})
 
