@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_counted, read, small, stored
+from .common import join_counted, read, small, small_batches, stored
 from .components import components
 from .hashing import shingles
 from .pieces import slices
@@ -151,6 +151,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def placed_rows(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, k: int = K, shared: float = SHARED) -> DataFrame:
     """(doc_id, set_id, n, component_id, kept) per row of ``docs``."""
+    small_batches(docs.sparkSession)
     rows = stored(sketch_rows(docs, id_col, text_col, words, k).withColumn("row", F.monotonically_increasing_id()), "sketches")
     classes = stored(rows.where("n > 0").groupBy("set_id").agg(
         F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"),

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import read
+from .common import read, small_batches
 
 MARK = "▁"
 LONG = 2048  # symbols
@@ -269,6 +269,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     ``keep`` names columns of ``docs`` that pass through.
     """
+    small_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         model = f.read()
     names = [f"`{c}`" for c in (id_col, *keep)]

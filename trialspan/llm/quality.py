@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import read, small_batches, stored
 from .hashing import U, Words
 from .mixing import uniform
 from .pieces import slices
@@ -183,6 +183,7 @@ def score(docs: DataFrame, model: CoTrained, text_col: str = "text", meta: tuple
           keep: tuple[str, ...] = ("doc_id",), at_least: float | None = None) -> DataFrame:
     """Columns ``keep`` of every row with score, text_score and meta_score; with ``at_least``, only the columns of
     the rows that reach it."""
+    small_batches(docs.sparkSession)
     n, kept = len(keep), [f"`{c}`" for c in keep]
     out = docs.select(*kept).schema
     if at_least is None:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, small_batches
 from .pieces import slices
 
 LONG = 1024  # bytes of a pre-token
@@ -306,6 +306,7 @@ def counter(v: Vocabulary) -> Counter:
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024,
                  keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: the id, ``keep``, n_bytes, n_tokens, over_limit (more than ``limit`` tokens)."""
+    small_batches(docs.sparkSession)
     v = vocabulary(path)
     names = [f"`{c}`" for c in (id_col, *keep)]
     out = docs.select(*names).schema.add("n_bytes", "long").add("n_tokens", "long")
