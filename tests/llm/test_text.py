@@ -374,3 +374,15 @@ def test_quality_edges(spark, docs):
     assert Q.score(docs.limit(0), model).count() == 0 == Q.score(docs.limit(0), Q.train(docs.limit(0), none.limit(0))).count()
     view = Q.text_view([None, "", "AAA!! BBB!!", "aaa aaa aaa", "é" * 10])
     assert np.isfinite(view).all() and view.shape[0] == 5
+
+
+# ---- pages that are cut off
+@pytest.mark.parametrize("page", ["<p>text</p><" + "a" * 1_000_000, "<p>text</p>" + "<a <b " * 200_000, "<p>text</p><a href='" + "x" * 1_000_000,
+                                  "<p>text</p>" + "<!-- " * 200_000, "<p>text</p>" + "<i \"q\" " * 100_000])
+def test_cut_off_pages_take_linear_time(page):
+    import time
+
+    from trialspan.llm import html_text as H
+    begin = time.perf_counter()
+    assert [b.text for b in H.blocks(page)] == ["text"]
+    assert time.perf_counter() - begin < 5

@@ -42,7 +42,7 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "thead": {"tr", "td", "th"}}
 
-MARKUP = re.compile(r"""<!--.*?(?:-->|--!>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)""", re.S)
+MARKUP = re.compile(r"""<!--.*?(?:-->|--!>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)""", re.S)
 ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[a-z]+")
 CUES = re.compile(r"(?i)cookie|copyright|©|subscrib|newsletter|sign ?up|log ?in|comment|repl(?:y|ies)|share|advert|sponsor|privacy|rights")
@@ -143,7 +143,7 @@ def path_features(path: tuple) -> tuple[int, ...]:
 
 @lru_cache(4096)
 def text_features(size: int, linked: int, ends: bool, cue: str, place: str) -> tuple[int, ...]:
-    return tuple(_number(f) for f in (f"size {size}", f"linked {linked}", f"ends {ends}", f"cue {cue}", f"place {place}", "any",
+    return tuple(_number(f) for f in (f"size {size}", f"linked {linked}", f"ends {ends}", f"cue {cue} {size if cue else ''}", f"place {place}", "any",
                                       f"size {size} linked {linked}"))
 
 
@@ -151,7 +151,7 @@ def features(page: list[Block]) -> list[tuple[int, ...]]:
     out = []
     for i, b in enumerate(page):
         n = len(b.text)
-        cue = CUES.search(b.text) if n < 400 else None
+        cue = CUES.search(b.text)
         out.append(path_features(b.path) + text_features(
             n.bit_length(), min(4, 4 * b.linked // n), b.text[-1] in ".!?:;\"'”»…", cue[0].lower() if cue else "",
             "first" if i == 0 else "last" if i == len(page) - 1 else "middle"))
