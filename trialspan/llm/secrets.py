@@ -3,7 +3,8 @@ r"""Secret scan with corpus-wide ownership frequency.
 Three base kinds are matched in every whole text; a further kind (``token``: long runs that mix digits, upper
 and lower case) supplies candidates that are reported only if the corpus shows them to be one owner's. For each
 candidate the digest of its value is counted over distinct repositories and owners: a value with many owners
-is a widely copied example, one with a single owner and varied characters looks live.
+is a widely copied example, one with a single owner, few repositories and varied characters looks live; what one owner
+has in many repositories stays unclear.
 
 Positions come from the text between the matches: the running sum of the lengths of gaps and matches gives the
 start of each, in code points. The texts are read once; everything later works on the matches.
@@ -46,6 +47,7 @@ KINDS = (
 # Values that documentation uses as stand-ins.
 PLACEHOLDER = r"(?i)example|changeme|placeholder|dummy|your|xxxx|0000|1234567"
 OWNERS = 3  # a value with this many owners is a copied example
+REPOS = 4  # a value in this many repositories of one owner is the owner's own boilerplate
 VARIED = 8  # distinct characters of a value that looks live
 MIXED = 12  # distinct characters of a further token
 
@@ -103,7 +105,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo:
                     .groupBy("value_sha256").agg(F.sum("n").alias("n"), F.countDistinct("repo").alias("repos"),
                                                  F.countDistinct("owner").alias("owners")), "secrets-counts")
     verdict = (F.when((F.col("owners") >= owners) | F.col("placeholder"), "example")
-               .when((F.col("owners") <= 1) & (F.col("varied") >= VARIED), "live").otherwise("unclear"))
+               .when((F.col("owners") <= 1) & (F.col("repos") < REPOS) & (F.col("varied") >= VARIED), "live").otherwise("unclear"))
     told = join_counted(spans, counts, "value_sha256", "n", spans.count()).withColumn("verdict", verdict)
     return found.select("row", "doc_id"), told.where("base or verdict = 'live'")
 
@@ -152,9 +154,9 @@ p as (select *, sum(length(gap) + length(m)) over (partition by doc_id, kind ord
 s as (select *, e - length(m) b, kind < 3 base, case kind {name} end as name from p
       where length(g) >= case kind {least} end and (kind < 3 or ({mixed}))),
 k as (select * from s x where base or not exists (select 1 from s y where y.base and y.doc_id = x.doc_id and y.b < x.e and y.e > x.b)),
-f as (select g, count(distinct source) owners from k group by g),
+f as (select g, count(distinct source) owners, count(distinct concat_ws('/', source, lang)) repos from k group by g),
 v as (select k.*, case when owners >= {OWNERS} or regexp_matches(g, '{PLACEHOLDER}') then 'example'
-        when owners <= 1 and len(list_distinct(string_split(g, ''))) >= {VARIED} then 'live' else 'unclear' end verdict
+        when owners <= 1 and repos < {REPOS} and len(list_distinct(string_split(g, ''))) >= {VARIED} then 'live' else 'unclear' end verdict
       from k join f using (g)),
 a as (select doc_id, {', '.join(f'count(*) filter (kind = {n}) n_{k.name}' for n, k in enumerate(KINDS))},
   count(*) filter (verdict = 'live') n_live, count(*) filter (verdict = 'example') n_example,
