@@ -222,11 +222,11 @@ def _(spark, sf):
 @check("impute_phases", "phase:s, n_rows:l, n_null:l", """
 select unnest(['none', 'pre_feature', 'post_feature_remove_rows', 'post_feature_knn']) as phase,
   unnest([(select count(*) from rows), (select count(*) from rows),
-     (select count(*) from rows) - (select count(distinct vec_id) from cells where hole = 1 and dim <= 4),
+     (select count(*) from rows) - (select count(distinct vec_id) from cells where hole = 1),
      (select count(*) from rows)]) as n_rows,
-  unnest([(select count(*) from cells where hole = 1 and dim <= 4), 0, 0, 0]) as n_null""")
+  unnest([(select count(*) from cells where hole = 1), 0, 0, 0]) as n_null""")
 def _(spark, sf):
-    cols, out = MATRIX[:4], None
+    cols, out = MATRIX, None
     for phase in im.PHASES:
         m = matrix(spark, sf, holes=True).select("vec_id", *cols)
         m = im.impute(im.impute(m, phase, "raw", "vec_id", cols), phase, "windows", "vec_id", cols)

@@ -23,8 +23,6 @@ from trialspan.streaming import live
 from .base import MATRIX, OFFSET, STRIDE, WINDOW, axis, check, feature_catalog, matrix, predictions, signals, table
 from .timelines import SLIDE, labelled
 
-ALPHAS = [1e-4, 1e-3, 1e-2]
-FEW = MATRIX[:16]
 SCORE = "tp:l, fp:l, fn:l, tn:l, accuracy:d, precision:d, recall:d, f1:d, specificity:d, g_mean:d"
 
 
@@ -49,17 +47,17 @@ def names_frame(spark, sf, names):
 
 @check("select_lasso", "feature:s, corr:d4, kept:b")
 def _(spark, sf):
-    return names_frame(spark, sf, sel.select_lasso(matrix(spark, sf), "vec_id", MATRIX, "y", ALPHAS))
+    return names_frame(spark, sf, sel.select_lasso(matrix(spark, sf), "vec_id", MATRIX, "y"))
 
 
 @check("select_enet", "feature:s, corr:d4, kept:b")
 def _(spark, sf):
-    return names_frame(spark, sf, sel.select_enet(matrix(spark, sf), "vec_id", MATRIX, "y", ALPHAS, [0.5]))
+    return names_frame(spark, sf, sel.select_enet(matrix(spark, sf), "vec_id", MATRIX, "y"))
 
 
 @check("select_ridge", "feature:s, corr:d4, kept:b")
 def _(spark, sf):
-    return names_frame(spark, sf, sel.select_ridge(matrix(spark, sf), "vec_id", MATRIX, "y", 20, ALPHAS))
+    return names_frame(spark, sf, sel.select_ridge(matrix(spark, sf), "vec_id", MATRIX, "y", 20))
 
 
 def optimal(ratio):
@@ -148,7 +146,7 @@ def _(spark, sf):
 @check("permutation_importance", "feature:s, drop:d4")
 def _(spark, sf):
     m = matrix(spark, sf)
-    return sel.permutation_importance(models.fit("LogReg", m, FEW, "y"), m, "vec_id", FEW, "y")
+    return sel.permutation_importance(models.fit("LogReg", m, MATRIX, "y"), m, "vec_id", MATRIX, "y")
 
 
 @check("single_feature_auc", "feature:s, auc:d9", """
@@ -198,8 +196,8 @@ for _n, _p in (("LogReg", {"C": 1.0, "l1_ratio": 0.5}), ("RF", {"numTrees": 20,
 @check("tune", f"C:s, {SCORE}")
 def _(spark, sf):
     train, test = split(spark, sf)
-    model, params, _ = models.tune("LogReg", train, FEW, "y", n=3)
-    pred = models.predict(model, test.select("vec_id", "y", *FEW))
+    model, params, _ = models.tune("LogReg", train, MATRIX, "y", n=10)
+    pred = models.predict(model, test.select("vec_id", "y", *MATRIX))
     return mt.binary_metrics(pred, "y", "p").withColumn("C", F.lit(str(params["C"])))
 
 
@@ -246,7 +244,7 @@ def _(spark, sf):
 
 @check("cross_validate", f"model:s, fold:l, n_train:l, n_val:l, {SCORE}")
 def _(spark, sf):
-    return ex.cross_validate(matrix(spark, sf), "vec_id", FEW, "y", ["LDA", "KNN"], k=3, alphas=[1e-3])
+    return ex.cross_validate(matrix(spark, sf), "vec_id", MATRIX, "y", ["LDA", "KNN"], k=3, alphas=[1e-3])
 
 
 @check("cross_validate_seq", f"model:s, fold:l, {SCORE}")
@@ -263,7 +261,7 @@ def _(spark, sf):
 
 @check("ablate", f"grp:s, model:s, fold:l, {SCORE}")
 def _(spark, sf):
-    return ex.ablate(matrix(spark, sf), "vec_id", {"low": MATRIX[:8], "high": MATRIX[8:24]}, "y", ["LDA"], 3)
+    return ex.ablate(matrix(spark, sf), "vec_id", {"low": MATRIX[:32], "high": MATRIX[32:]}, "y", ["LDA"], 3)
 
 
 @check("horizon_sweep", f"horizon:l, fold:l, {SCORE}")
@@ -285,13 +283,13 @@ def _(spark, sf):
 @check("imbalance_study", f"variant:s, model:s, {SCORE}")
 def _(spark, sf):
     train, test = split(spark, sf)
-    return ex.imbalance_study(train, test, "vec_id", FEW, "y", ["LogReg"])
+    return ex.imbalance_study(train, test, "vec_id", MATRIX, "y", ["LogReg"])
 
 
 @check("reduction_study", f"method:s, model:s, n_features:l, {SCORE}")
 def _(spark, sf):
     train, test = split(spark, sf)
-    return ex.reduction_study(train, test, "vec_id", FEW, "y", ["LDA"], 6, alphas=[1e-3])
+    return ex.reduction_study(train, test, "vec_id", MATRIX, "y", ["LDA"], 6, alphas=[1e-3])
 
 
 @check("user_groups", "sample_id:l, gap:d, level:d", """
@@ -304,27 +302,25 @@ def _(spark, sf):
 
 # --- attribution ----------------------------------------------------------------------------
 
-LONG = """select vec_id as row_id, feature, shap, x as data, vec_id % 2 as class from (
-  select vec_id, x, x * (dim - 32) as shap, dim, list_extract(fs, dim) as feature from cells,
-  (select list(feature order by feature) as fs from (select feature from catalog order by feature limit 64)))"""
+LONG = """select vec_id as row_id, (case dim % 4 when 0 then 'EEG' when 1 then 'Pupil' when 2 then 'Brand#1 belt' else 'ECG lead' end)
+    || '_v' || dim % 3 || '_x' || dim as feature, x * (dim - 32) as shap, x as data, vec_id % 2 as class from cells"""
 
 
 def long_values(spark, sf):
-    """Effects of 64 catalog features on every row of the matrix."""
-    first = feature_catalog(spark, sf).orderBy("feature").limit(64)
-    fs = first.agg(F.array_sort(F.collect_list("feature")).alias("fs"))
-    cells = matrix(spark, sf).select("vec_id", F.posexplode(F.array(*MATRIX)).alias("dim", "x"))
-    return cells.join(F.broadcast(fs), F.lit(True)).select(
-        F.col("vec_id").alias("row_id"), F.get("fs", F.col("dim")).alias("feature"),
-        (F.col("x") * (F.col("dim") - 31)).alias("shap"), F.col("x").alias("data"),
+    """Effects of 64 named features on every row of the matrix."""
+    cells = matrix(spark, sf).select("vec_id", F.posexplode(F.array(*MATRIX)).alias("dim", "x")).withColumn("dim", F.col("dim") + 1)
+    kind = F.array(*[F.lit(k) for k in ("EEG", "Pupil", "Brand#1 belt", "ECG lead")])[F.col("dim") % 4]
+    return cells.select(
+        F.col("vec_id").alias("row_id"), F.concat(kind, F.lit("_v"), F.col("dim") % 3, F.lit("_x"), "dim").alias("feature"),
+        (F.col("x") * (F.col("dim") - 32)).alias("shap"), F.col("x").alias("data"),
         (F.col("vec_id") % 2).alias("class"))
 
 
 @check("shapley_permutation", "row_id:l, feature:s, shap:d4, base_value:d4")
 def _(spark, sf):
     train, test = split(spark, sf)
-    model = models.fit("LogReg", train, FEW, "y")
-    return at.shapley_permutation(at.probability_score(model), train, test, "vec_id", FEW, 20, 10)
+    model = models.fit("LogReg", train, MATRIX, "y")
+    return at.shapley_permutation(at.probability_score(model), train, test, "vec_id", MATRIX)
 
 
 @check("shapley_of_linear_score", "row_id:l, feature:s, shap:d6, base_value:d6, data:d9", """
@@ -486,8 +482,8 @@ def _(spark, sf):
 def _(spark, sf):
     train, test = split(spark, sf)
     path = scratch(spark, "model")
-    store.save_model(models.fit("LogReg", train, FEW, "y"), path)
-    return mt.binary_metrics(models.predict(store.load_model(path), test.select("vec_id", "y", *FEW)), "y", "p")
+    store.save_model(models.fit("LogReg", train, MATRIX, "y"), path)
+    return mt.binary_metrics(models.predict(store.load_model(path), test.select("vec_id", "y", *MATRIX)), "y", "p")
 
 
 @check("save_load_same", "n:l, differ:l", "select count(*) as n, 0 as differ from rows where vec_id % 4 = 0")
@@ -570,11 +566,11 @@ def _(spark, sf):
 
 @check("stream_score", "vec_id:l, prediction:l")
 def _(spark, sf):
-    m = matrix(spark, sf).select("vec_id", "y", *FEW)
+    m = matrix(spark, sf).select("vec_id", "y", *MATRIX)
     path = scratch(spark, "rows")
     m.repartition(3).write.parquet(path)
     rows = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    out = live.score_stream(rows, models.fit("LogReg", m, FEW, "y"), FEW).select("vec_id", "prediction")
+    out = live.score_stream(rows, models.fit("LogReg", m, MATRIX, "y"), MATRIX).select("vec_id", "prediction")
     return _drain(spark, out, "score")
 
 

@@ -175,7 +175,7 @@ BASE_SQL["v5"] = """select sample_id, sig_a / nullif(coalesce(resting, 1), 0) as
 BASE_SQL["v6"] = """select sample_id, sig_a - coalesce(resting, 0) as a, sig_b - coalesce(resting, 0) as b
   from signals left join resting using (subject_id)"""
 BANDS = """select 1 + s_suppkey as subject_id, case when s_nationkey % 5 = 0 then 0 else s_acctbal end as delta,
-  s_acctbal / 2 as theta from supplier where s_suppkey < 12"""
+  s_acctbal / 2 as theta from supplier"""
 BASE_SQL["v7"] = f"""select sample_id, case when delta = 0 then 0 else sig_a / delta end as a,
   case when theta = 0 then 0 else sig_b / theta end as b from signals left join ({BANDS}) using (subject_id)"""
 BASE_SQL["v8"] = f"""select sample_id, case when delta = 0 then 0 else sig_a - delta end as a,
@@ -183,7 +183,7 @@ BASE_SQL["v8"] = f"""select sample_id, case when delta = 0 then 0 else sig_a - d
 
 
 def _bands(spark, sf):
-    sup = table(spark, sf, "supplier").where("s_suppkey < 12")
+    sup = table(spark, sf, "supplier")
     return sup.select((F.col("s_suppkey") + 1).alias("subject_id"), F.inline(F.array(
         F.struct(F.lit("C3").alias("channel"), F.lit("delta").alias("band"),
                  F.when(F.col("s_nationkey") % 5 == 0, 0.0).otherwise(F.col("s_acctbal")).alias("value")),
