@@ -193,6 +193,34 @@ for _n, _p in (("LogReg", {"C": 1.0, "l1_ratio": 0.5}), ("RF", {"numTrees": 20,
     _register_model(_n, _p)
 
 
+@check("logreg_optimal", "feature:s, optimal:b", """
+select 'x' || i as feature, true as optimal from (select unnest(range(1, 65)) as i) union all select 'intercept', true""")
+def _(spark, sf):
+    """Whether the gradient of the penalized likelihood vanishes at the fitted coefficients, measured on the rows."""
+    m = matrix(spark, sf)
+    model = models.fit("LogReg", m, MATRIX, "y", {"C": 10.0, "tol": 1e-10, "maxIter": 500}).stages[-1]
+    b, n = model.coefficients.toArray(), m.count()
+    z = sum((F.col(c) * float(w) for c, w in zip(MATRIX, b)), F.lit(float(model.intercept)))
+    off = F.lit(1.0) / (F.lit(1.0) + F.exp(-z)) - F.col("y")
+    rows = m.select(*MATRIX, off.alias("off"))
+    slopes = [(c, F.avg(F.col("off") * F.col(c)) + float(w) / (10.0 * n)) for c, w in zip(MATRIX, b)] + [("intercept", F.avg("off"))]
+    return rows.agg(F.array(*[F.struct(F.lit(c).alias("feature"), (F.abs(g) < 1e-6).alias("optimal")) for c, g in slopes]).alias("s")).select(F.inline("s"))
+
+
+@check("lda_optimal", "feature:s, optimal:b", OPTIMAL)
+def _(spark, sf):
+    """Whether the covariance inside classes of each column with the score is the distance of the class means."""
+    m = matrix(spark, sf)
+    w, _ = models.lda_weights(m, MATRIX, "y")
+    score = sum((F.col(c) * float(x) for c, x in zip(MATRIX, w)), F.lit(0.0))
+    rows = m.select(*MATRIX, "y", score.alias("score"))
+    by_class = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.struct(F.lit(c).alias("feature"), F.covar_pop(c, "score").alias("v"),
+                                                                                      F.avg(c).alias("m")) for c in MATRIX]).alias("s"))
+    each = by_class.select("y", "n", F.inline("s")).groupBy("feature").agg(
+        (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("inside"), F.sum(F.when(F.col("y") == 1, F.col("m")).otherwise(-F.col("m"))).alias("apart"))
+    return each.select("feature", (F.abs(F.col("inside") - F.col("apart")) < 1e-9).alias("optimal"))
+
+
 @check("tune", f"C:s, {SCORE}")
 def _(spark, sf):
     train, test = split(spark, sf)

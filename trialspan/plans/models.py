@@ -17,10 +17,10 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.moments import moments_by
 from ..functions.sizing import attach
 from ..operators.metrics import class_weights
 from ..operators.neighbours import knn_classify, knn_join, vectors
-from ..operators.selection import covariance
 
 # Early-mean window, window length and stride (s) per classifier.
 WINDOWING = {
@@ -79,22 +79,24 @@ def fit(name: str, df: DataFrame, cols: Sequence[str], y: str, params: Mapping |
     return Pipeline(stages=stages).fit(data)
 
 
+def lda_weights(data: DataFrame, cols: Sequence[str], label: str, shrinkage: float = 0.0) -> tuple[np.ndarray, float]:
+    """Weights and intercept of the linear discriminant, from the moments of both classes (one pass)."""
+    parts = moments_by(data, cols, label)
+    if set(parts) != {0, 1}:
+        raise ValueError("the discriminant needs both classes")
+    n, mu = {k: m.n for k, m in parts.items()}, {k: m.mean for k, m in parts.items()}
+    pooled = (parts[0].scatter + parts[1].scatter) / (n[0] + n[1])
+    pooled = (1 - shrinkage) * pooled + shrinkage * np.trace(pooled) / len(cols) * np.eye(len(cols))
+    w = np.linalg.lstsq(pooled, mu[1] - mu[0], rcond=None)[0]
+    return w, float(-0.5 * (mu[1] + mu[0]) @ w + np.log(n[1] / n[0]))
+
+
 def fit_lda(data: DataFrame, cols: Sequence[str], label: str, shrinkage: float = 0.0) -> PipelineModel:
     """Linear discriminant: class means and the pooled covariance, then one d x d solve.
 
     The fitted model is a SQL expression, so scoring stays a dot product inside the plan.
     """
-    stats = {int(r[label]): r for r in data.groupBy(label).agg(
-        F.count(F.lit(1)).alias("__n"), *[F.avg(c).alias(c) for c in cols]).collect()}
-    if set(stats) != {0, 1}:
-        raise ValueError("the discriminant needs both classes")
-    n = {k: r["__n"] for k, r in stats.items()}
-    mu = {k: np.array([r[c] for c in cols]) for k, r in stats.items()}
-    total = n[0] + n[1]
-    pooled = sum((n[k] - 1) / total * covariance(data.where(F.col(label) == k), cols) for k in (0, 1) if n[k] > 1)
-    pooled = (1 - shrinkage) * pooled + shrinkage * np.trace(pooled) / len(cols) * np.eye(len(cols))
-    w = np.linalg.lstsq(pooled, mu[1] - mu[0], rcond=None)[0]
-    b = float(-0.5 * (mu[1] + mu[0]) @ w + np.log(n[1] / n[0]))
+    w, b = lda_weights(data, cols, label, shrinkage)
     dot = " + ".join(f"`{c}` * {float(x)!r}D" for c, x in zip(cols, w)) + f" + {b!r}D"
     sql = (f"SELECT *, CASE WHEN __score > 0 THEN 1.0D ELSE 0.0D END AS prediction "
            f"FROM (SELECT *, {dot} AS __score FROM __THIS__)")
