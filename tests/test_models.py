@@ -133,3 +133,19 @@ def test_draws_with_replacement(spark):
     assert min(times) >= 1 and len(set(times)) > 2  # uneven, as draws are
     again = sampling.oversample(df.repartition(3), "id", "y", 7, replacement=True).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+
+
+def test_every_classifier_gets_its_windows(spark):
+    rng = np.random.default_rng(5)
+    rows = [(t, .5 * i, i, int(40 <= i < 80), float(5 + (40 <= i < 80) * 2 + rng.normal() * .2), float(rng.normal() + 3)) for t in range(6) for i in range(120)]
+    df = spark.createDataFrame(rows, "trial_id long, t_s double, sample_id long, y int, s double, n double")
+    axis = time_axis(block=20.0)
+    m = {name: ex.classifier_matrix(df, axis, name, ["s", "n"], "y").cache() for name in ("RF", "LDA")}
+    from trialspan.operators.baseline import baseline
+    from trialspan.operators.windows import Slide, feature_matrix
+
+    plain = feature_matrix(baseline(df, "v1", ["s", "n"], axis, window=46.25), axis, Slide(15, 0.25), ["s_v1", "n_v1"], "y")
+    assert m["LDA"].drop("window_id").exceptAll(plain.select(m["LDA"].drop("window_id").columns)).count() == 0
+    assert m["RF"].count() > m["LDA"].count() and m["LDA"].select("window_id").distinct().count() == m["LDA"].count()
+    out = ex.cross_validate_signals(df, axis, ["s", "n"], "y", ["LDA", "LogReg"], k=2, alphas=[1e-3], resample=False, balanced=True).collect()
+    assert {(r["model"], r["fold"]) for r in out} == {(n, f) for n in ("LDA", "LogReg") for f in (0, 1)} and all(r["f1"] > 0.8 for r in out)

@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 from ..functions.sizing import cut
 from ..functions.timeline import Axis
 from ..operators import sampling, selection
+from ..operators.baseline import baseline
 from ..operators.catalog import preferred_names
+from ..operators.clean import drop_null_rows
 from ..operators.metrics import best_threshold, binary_metrics, threshold_curve
 from ..operators.neighbours import knn_classify
 from ..operators.sequences import sequence_windows
-from ..operators.windows import Slide, sliding_label
+from ..operators.windows import Slide, feature_matrix, sliding_label
 from ..sources.store import read_median
-from .models import WEIGHTED, candidates, fit, fit_window_logistic, predict, tune, window_scores
+from .models import WEIGHTED, WINDOWING, candidates, fit, fit_window_logistic, predict, tune, window_scores
 
 
 def stack(frames: Sequence[DataFrame]) -> DataFrame:
@@ -104,6 +106,33 @@ def cross_validate_seq(df: DataFrame, axis: Axis, cols: Sequence[str], y: str, k
     return stack(out)
 
 
+def classifier_matrix(df: DataFrame, axis: Axis, name: str, cols: Sequence[str], y: str, unit: float = 1.0, method: str = "v1",
+                      rate: str | None = None, **sides) -> DataFrame:
+    """Window features with the early mean, window length and stride of a classifier (``WINDOWING``), and ``window_id``.
+
+    ``unit`` is a second in units of the axis; ``sides`` go to the baseline.
+    """
+    w = WINDOWING[name]
+    based = baseline(df, method, cols, axis, window=w["early"] * unit, **sides)
+    made = feature_matrix(based, axis, Slide(w["length"] * unit, w["stride"] * unit), [f"{c}_{method}" for c in cols], y, rate)
+    return made.withColumn("window_id", F.xxhash64(*axis.keys, "window"))
+
+
+def cross_validate_signals(df: DataFrame, axis: Axis, cols: Sequence[str], y: str, models: Sequence[str], unit: float = 1.0,
+                           method: str = "v1", rate: str | None = None, sides: Mapping[str, object] | None = None, **options) -> DataFrame:
+    """From samples to fold results, every classifier on windows of its own; windows with a missing feature are left out.
+
+    Whole trials go to a fold. ``options`` are those of ``cross_validate``.
+    """
+    out = []
+    for name in models:
+        made = classifier_matrix(df, axis, name, cols, y, unit, method, rate, **(sides or {}))
+        names = [c for c in made.columns if c not in (*axis.keys, "window", "window_id", y)]
+        ready = cut(drop_null_rows(made, [*names, y]))
+        out.append(cross_validate(ready, "window_id", names, y, [name], group=axis.keys[0], **options))
+    return stack(out)
+
+
 # Search ranges of the sequence model; the threshold is read off the curve of each candidate.
 SEQUENCE_SPACE = {"method": ("pick", [0, 1, 2, 3, 4, 5]), "length": ("int", 25, 250), "step": ("int", 25, 75)}
 
