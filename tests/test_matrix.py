@@ -346,7 +346,7 @@ def test_hashed_buckets(spark):
         nb.knn_join(few, few, 1, mode="other")
 
 
-def test_column_quantiles_equal_numpy(spark):
+def test_column_quantiles_equal_numpy(spark, monkeypatch):
     """Brackets that hold, ties at their edges, few rows, one value, and a column without values."""
     from trialspan.operators.quality import column_quantiles
 
@@ -355,7 +355,9 @@ def test_column_quantiles_equal_numpy(spark):
     df = spark.createDataFrame([(*map(float, r), None, float(r[0]) if i < 3 else None) for i, r in enumerate(x)],
                                "a double, b double, `c.1` double, d double, e double, f double").repartition(4)
     qs = [0.0, 0.25, 0.5, 0.751, 1.0]
-    for accuracy in (1000, 50):
+    from trialspan.operators import quality
+    for accuracy, most in ((1000, 1_000_000), (50, 1_000_000), (1000, 0)):
+        monkeypatch.setattr(quality, "WINDOW_ROWS", most)
         got = {r["feature"]: [r[f"q{j}"] for j in range(5)] for r in column_quantiles(df, df.columns, qs, accuracy).collect()}
         for i, c in enumerate(["a", "b", "c.1", "d"]):
             np.testing.assert_allclose(got[c], np.quantile(x[:, i], qs), rtol=1e-12)

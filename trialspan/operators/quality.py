@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import any_null, ratio
@@ -103,6 +103,9 @@ def quantiles(long: DataFrame, qs: Sequence[float], feature: str = "feature", x:
                                     .alias(f"q{i}") for i in range(len(qs))])
 
 
+WINDOW_ROWS = 1_000_000  # values of one bracket that a task may rank
+
+
 def column_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], accuracy: int = 1000) -> DataFrame:
     """Exact quantiles with linear interpolation of many columns, columns ``feature``, ``q0``, ``q1``...
 
@@ -127,8 +130,11 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], ac
         near = df.select(F.inline(F.filter(inside, lambda r: (r["x"] >= r["lo"]) & (r["x"] <= r["hi"]))))
         counts = near.groupBy("k", "x").agg(F.count(F.lit(1)).alias("c"))
         below = df.agg(F.array(*[F.count_if(x[cols[i]] < lo) for i, j in keys for _, lo, _ in [wanted[i, j]]]).alias("b")).first()["b"]
-        ranged, axis = sorted_axis(counts, ["k", "x"])
-        run = running(ranged, Axis(("k",), ("x",), axis.block), {"upto": ("sum", F.col("c"))})
+        if done is None and max(n for n, _, _ in wanted.values()) * 3 * margin <= WINDOW_ROWS:
+            run = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("k").orderBy("x")))
+        else:  # too many values for one task
+            ranged, axis = sorted_axis(counts, ["k", "x"])
+            run = running(ranged, Axis(("k",), ("x",), axis.block), {"upto": ("sum", F.col("c"))})
         at = [q * (n - 1) - below[k] for k, (i, j) in enumerate(keys) for q, n in [(qs[j], wanted[i, j][0])]]
         place = F.array(*[F.lit(float(a)) for a in at])[F.col("k")]
         pick = lambda pos: F.max(F.when((pos < F.col("upto")) & (pos >= F.col("upto") - F.col("c")), F.col("x")))
