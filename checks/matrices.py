@@ -219,6 +219,18 @@ def _(spark, sf):
     return m.select("vec_id", F.lit(len(kept)).alias("n_kept"), sum(made, F.lit(0)).alias("n_missing"))
 
 
+@check("impute_selective", "vec_id:l, n_null:l, n_same:l, marks_ok:b", """
+select vec_id, 0 as n_null, count_if(hole = 0) as n_same, true as marks_ok from cells group by 1""")
+def _(spark, sf):
+    """Indicators stay what they were before the cells were filled."""
+    m = matrix(spark, sf, holes=True)
+    made, kept = im.impute_selective(m, "vec_id", MATRIX, scaled=True)
+    was = m.select(F.col("vec_id"), F.array(*MATRIX).alias("was"), F.array(*[F.col(c).isNull().cast("int") for c in kept]).cast("array<int>").alias("holes"))
+    both = made.select("vec_id", F.array(*MATRIX).alias("now"), F.array(*[F.col(f"{c}_missing") for c in kept]).cast("array<int>").alias("marks")).join(was, "vec_id")
+    same = F.size(F.filter(F.arrays_zip("now", "was"), lambda x: x["now"] == x["was"]))
+    return both.select("vec_id", F.size(F.filter("now", lambda x: x.isNull())).alias("n_null"), same.alias("n_same"), (F.col("marks") == F.col("holes")).alias("marks_ok"))
+
+
 @check("impute_phases", "phase:s, n_rows:l, n_null:l", """
 select unnest(['none', 'pre_feature', 'post_feature_remove_rows', 'post_feature_knn']) as phase,
   unnest([(select count(*) from rows), (select count(*) from rows),

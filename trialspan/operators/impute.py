@@ -184,6 +184,13 @@ def selective_indicators(df: DataFrame, cols: Sequence[str], alpha: float = 0.05
     return missing_indicators(df, kept), kept
 
 
+def impute_selective(df: DataFrame, id_col: str, cols: Sequence[str], k: int = 5, alpha: float = 0.05,
+                     scaled: bool = False) -> tuple[DataFrame, list[str]]:
+    """Indicators of the columns whose missing cells are informative, then neighbours fill all missing cells."""
+    marked, kept = selective_indicators(df, cols, alpha)
+    return knn_impute_shared(marked, id_col, cols, k, scaled), kept
+
+
 def resolve_phase(value: str | None) -> str:
     """Unknown or missing phases mean ``pre_feature``."""
     name = (value or "").strip().lower() if isinstance(value, str) else ""
