@@ -286,7 +286,9 @@ def test_linear_search_equals_plain_search(spark):
                 marks.setdefault((a, q), []).append(1 - ((yv - p) ** 2).sum() / ((yv - yv.mean()) ** 2).sum())
     assert (alpha, ratio) == max(marks, key=lambda k: np.mean(marks[k]))
     for a, q in ((0.02, 1.0), (0.05, 0.5), (0.1, 0.0)):
-        want = LinearRegression(featuresCol="features", labelCol="y", standardization=False, regParam=a, elasticNetParam=q, tol=1e-10, maxIter=500).fit(
+        # MLlib divides the squared part of the penalty by the deviation of the target
+        l1, l2 = a * q, a * (1 - q) * y.std(ddof=1)
+        want = LinearRegression(featuresCol="features", labelCol="y", standardization=False, regParam=l1 + l2, elasticNetParam=l1 / (l1 + l2), tol=1e-10, maxIter=500).fit(
             sel.assemble(df, cols)).coefficients.toArray()
         np.testing.assert_allclose(sel.search_linear(sel.fold_moments(df, "id", cols, "y"), [a], [q])[0], want, atol=2e-4)
 
