@@ -366,3 +366,29 @@ def test_column_quantiles_equal_numpy(spark, monkeypatch):
         np.testing.assert_allclose(got["f"], np.quantile(x[:3, 0], qs), rtol=1e-9)
         assert got["e"] == [None] * 5
     assert all(r["q0"] is None for r in column_quantiles(df.limit(0), ["a"], [0.5]).collect())
+
+
+def test_rows_that_no_cell_excludes_are_visited_once(spark):
+    """Rows without structure stay one cell; clustered ones visit few. Both are searched exactly, and large groups stay bounded."""
+    rng = np.random.default_rng(11)
+    flat, lumps = rng.normal(size=(400, 32)), np.repeat(rng.normal(size=(40, 2)) * 1e3, 500, axis=0) + rng.normal(size=(20000, 2))
+    for x, visits in ((flat, 1.0), (lumps, 8.0)):
+        df = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "id long, v array<double>").cache()
+        _, asked = nb._pivot_cells(nb.fold_copies(df, 4), df, len(x), 4, 2, None)
+        assert len(x) <= asked.count() <= visits * len(x) and (visits == 1.0 or asked.select("cell").distinct().count() > 1)
+    pts = dict(enumerate(flat))
+    df = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in pts.items()], "id long, v array<double>")
+    for p in (1, 2):
+        got = {}
+        for r in nb.knn_join(df, df, 4, p, True, ref_block=90, query_block=3).orderBy("id", "rank").collect():
+            got.setdefault(r["id"], []).append(r["rid"])
+        assert got == brute(pts, pts, 4, p, True)
+    assert [nb.query_groups(n, 10) for n in (0, 1, 95, 250, 4000)] == [1, 1, 10, 24, 100]
+
+
+def test_absolute_distances_in_tiles():
+    rng = np.random.default_rng(12)
+    a, b = rng.normal(size=(70, 5)), rng.normal(size=(2100, 5))
+    assert np.allclose(nb.distances(a, b, 1), np.abs(a[:, None] - b[None]).sum(2), atol=1e-12)
+    bar = nb.upper_kth(nb.distances(a, b, 1), 6)
+    assert (np.sort(nb.distances(a, b, 1), axis=1)[:, 5:6] <= bar).all() and np.isfinite(bar).all()
