@@ -392,3 +392,36 @@ def test_absolute_distances_in_tiles():
     assert np.allclose(nb.distances(a, b, 1), np.abs(a[:, None] - b[None]).sum(2), atol=1e-12)
     bar = nb.upper_kth(nb.distances(a, b, 1), 6)
     assert (np.sort(nb.distances(a, b, 1), axis=1)[:, 5:6] <= bar).all() and np.isfinite(bar).all()
+
+
+def test_donors_equal_loops(monkeypatch):
+    """Nearest donors of every cell, also of columns that few or no rows hold and of queries that share nothing with a row."""
+    import pandas as pd
+
+    monkeypatch.setattr(im, "_CHUNK", 20_000)
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(3000, 6)) + 50
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[3:, 4], x[:, 5] = np.where(rng.random(2997) < 0.99, np.nan, x[3:, 4]), np.nan
+    x[7, 1:], x[8, :1] = np.nan, np.nan
+    far, sure = 0, im._shared_distances
+
+    def counted(*args):
+        nonlocal far
+        far += len(args[2])
+        return sure(*args)
+
+    monkeypatch.setattr(im, "_shared_distances", counted)
+    frame = pd.DataFrame({"id": np.arange(3000), "v": list(x)})
+    got = im._donor_block(frame.iloc[:60], frame.sample(frac=1, random_state=1), 4)
+    want = []
+    for i in range(60):
+        diff = x[i] - x
+        n = (~np.isnan(diff)).sum(1)
+        dist = np.where(n > 0, np.sqrt(np.nansum(diff * diff, axis=1) * 6 / np.maximum(n, 1)), np.inf)
+        for j in np.nonzero(np.isnan(x[i]))[0]:
+            donors = [r for r in np.lexsort((np.arange(3000), dist)) if not np.isnan(x[r, j]) and np.isfinite(dist[r])][:4]
+            want += [(i, j, r, x[r, j]) for r in donors]
+    assert sorted(zip(got["id"], got["dim"], got["rid"], got["value"])) == sorted(want)
+    # exact distances of a small part of the pairs
+    assert far < 60 * 3000 / 3

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from ..functions.exprs import any_null
 from ..functions.sizing import attach_one, cut
 from .clean import drop_null_rows
-from .neighbours import _CHUNK, QUERY_BLOCK, REF_BLOCK, first_of_runs, fold_copies, knn_join
+from .neighbours import _CHUNK, QUERY_BLOCK, REF_BLOCK, first_of_runs, fold_copies, knn_join, query_groups
 
 # The imputation phases of the configuration.
 PHASES = ("none", "pre_feature", "post_feature_remove_rows", "post_feature_knn")
+_FEW = 64  # donors of a block whose exact distances bound those of a query's nearest
 
 
 def _train(df: DataFrame, train_flag: str | None) -> DataFrame:
@@ -59,46 +60,69 @@ def missing_indicators(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select("*", *[F.col(c).isNull().cast("int").alias(f"{c}_missing") for c in cols])
 
 
-def _shared_distances(qv: np.ndarray, rv: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Squared distances over the coordinates that both rows have, and how many those are, by masked products."""
-    qm, rm = (~np.isnan(qv)).astype("float64"), (~np.isnan(rv)).astype("float64")
-    q, r = np.where(qm > 0, qv, 0.0), np.where(rm > 0, rv, 0.0)
-    return np.maximum((q * q) @ rm.T - 2.0 * (q @ r.T) + qm @ (r * r).T, 0.0), qm @ rm.T
+def _shared_distances(qv: np.ndarray, rv: np.ndarray, qi: np.ndarray, ri: np.ndarray) -> np.ndarray:
+    """Distance over the coordinates that both rows of a pair have, times d / their number; infinite without any."""
+    d, out = qv.shape[1], np.empty(len(qi))
+    step = max(1, _CHUNK // (4 * d))
+    for s in range(0, len(qi), step):
+        diff = qv[qi[s:s + step]] - rv[ri[s:s + step]]
+        both = ~np.isnan(diff)
+        n = both.sum(1)
+        dist = np.sqrt(np.where(both, diff * diff, 0.0).sum(1) * d / np.maximum(n, 1))
+        out[s:s + step] = np.where(n > 0, dist, np.inf)
+    return out
 
 
 def _donor_block(q: pd.DataFrame, r: pd.DataFrame, k: int) -> pd.DataFrame:
     """Nearest donors of every missing cell inside one block, distance over shared coordinates.
 
-    Products find for each column the rows that may be among the k nearest; only their distances are computed exactly.
+    One masked product gives the unscaled squares of all pairs. The exact distances of the few that are least in a part
+    of the block bound those of the k nearest donors of each cell; only pairs that can be within are computed exactly. Cells
+    of columns that too few of them hold are compared with all donors.
     """
     parts = [pd.DataFrame({"id": [], "dim": [], "rid": [], "dist": [], "value": []}).astype(
         {"id": "int64", "dim": "int32", "rid": "int64"})]
     if len(q) and len(r):
         r = r.sort_values("id")
         every, rv, rid = np.stack(q["v"].to_numpy()).astype("float64"), np.stack(r["v"].to_numpy()).astype("float64"), r["id"].to_numpy()
+        d, held = rv.shape[1], ~np.isnan(rv)
+        r0 = np.where(held, rv, 0.0)
+        right, widest = np.hstack([held, r0, r0 * r0]).T, (r0 * r0).sum(1).max()
+        skip = max(1, min(16, len(r) // (4 * _FEW)))
         step = max(1, _CHUNK // len(r))
         for s in range(0, len(q), step):
             qv, qid = every[s:s + step], q["id"].to_numpy()[s:s + step]
-            rough, n = _shared_distances(qv, rv)
-            d = qv.shape[1]
-            size = np.nansum(qv * qv, axis=1)[:, None] + np.nansum(rv * rv, axis=1).max()
-            with np.errstate(divide="ignore", invalid="ignore"):
-                rough, slack = np.where(n > 0, rough * d / n, np.inf), np.where(n > 0, 1e-9 * size * d / n, 0.0)
-            for dim in np.nonzero(np.isnan(qv).any(axis=0))[0]:
-                rows, donors = np.nonzero(np.isnan(qv[:, dim]))[0], np.nonzero(~np.isnan(rv[:, dim]))[0]
-                if not len(donors):
-                    continue
-                part, wide = rough[np.ix_(rows, donors)], slack[np.ix_(rows, donors)]
-                bar = np.partition(part + wide, k - 1, axis=1)[:, k - 1:k] if len(donors) > k else np.full((len(rows), 1), np.inf)
-                qi, ri = np.nonzero((part - wide <= bar) & np.isfinite(part))
-                qi, ri = rows[qi], donors[ri]
-                diff = qv[qi] - rv[ri]
-                both = ~np.isnan(diff)
-                dist = np.sqrt(np.where(both, diff * diff, 0.0).sum(1) * d / np.maximum(both.sum(1), 1))
-                order = np.lexsort((rid[ri], dist, qi))
-                order = order[first_of_runs(qi[order], k)]
-                qi, ri = qi[order], ri[order]
-                parts.append(pd.DataFrame({"id": qid[qi], "dim": np.int32(dim), "rid": rid[ri], "dist": dist[order], "value": rv[ri, dim]}))
+            holes = np.isnan(qv)
+            q0 = np.where(holes, 0.0, qv)
+            # squares over the shared coordinates; these are no more than the query has
+            squares, has = np.hstack([q0 * q0, -2.0 * q0, ~holes]) @ right, np.maximum(d - holes.sum(1), 1)
+            few = squares[:, ::skip]
+            m = min(_FEW, few.shape[1])
+            near = np.argpartition(few, m - 1, axis=1)[:, :m] * skip
+            told = _shared_distances(qv, rv, np.repeat(np.arange(len(qv)), m), near.ravel()).reshape(len(qv), m)
+            row, dim = np.nonzero(holes)
+            kth = np.full(len(row), np.inf)
+            if m >= k:
+                kth = np.partition(np.where(held[near[row], dim[:, None]], told[row], np.inf), k - 1, axis=1)[:, k - 1]
+            closed, bar = np.zeros(qv.shape, dtype=bool), np.full(len(qv), -1.0)
+            sure = np.isfinite(kth)
+            closed[row[sure], dim[sure]] = True
+            np.maximum.at(bar, row[sure], kth[sure])
+            limit = np.where(bar < 0, -np.inf, bar * bar * has / d * (1 + 1e-9) + 1e-9 * ((q0 * q0).sum(1) + widest))
+            qi, ri = np.nonzero(squares <= limit[:, None])
+            dist = _shared_distances(qv, rv, qi, ri)
+            for i in np.nonzero(holes.any(axis=0))[0]:
+                some = np.nonzero(closed[qi, i] & held[ri, i] & np.isfinite(dist))[0]
+                a, b, far = qi[some], ri[some], dist[some]
+                rest, donors = np.nonzero(holes[:, i] & ~closed[:, i])[0], np.nonzero(held[:, i])[0]
+                if len(rest) and len(donors):
+                    x, y = np.repeat(rest, len(donors)), np.tile(donors, len(rest))
+                    z = _shared_distances(qv, rv, x, y)
+                    a, b, far = (np.r_[u, v[np.isfinite(z)]] for u, v in ((a, x), (b, y), (far, z)))
+                order = np.lexsort((rid[b], far, a))
+                order = order[first_of_runs(a[order], k)]
+                a, b = a[order], b[order]
+                parts.append(pd.DataFrame({"id": qid[a], "dim": np.int32(i), "rid": rid[b], "dist": far[order], "value": rv[b, i]}))
     return pd.concat(parts, ignore_index=True)
 
 
@@ -124,7 +148,7 @@ def knn_impute_shared(df: DataFrame, id_col: str, cols: Sequence[str], k: int =
     refs = cut(fold_copies(packed.select("id", "v"), k + 1).select(F.explode("ids").alias("id"), "v"))
     asked = packed.where("__q").select("id", "v")
     rows = cut(asked.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"))
-    n_blk, n_grp = max(1, -(-refs.count() // ref_block)), max(1, -(-rows.count() // query_block))
+    n_blk, n_grp = max(1, -(-refs.count() // ref_block)), query_groups(rows.count(), query_block)
     left = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n_grp)).alias("g"),
                        F.explode(F.expr(f"sequence(0L, {n_blk - 1}L)")).alias("blk"))
     right = refs.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n_blk)).alias("blk"),
