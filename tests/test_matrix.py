@@ -425,3 +425,11 @@ def test_donors_equal_loops(monkeypatch):
     assert sorted(zip(got["id"], got["dim"], got["rid"], got["value"])) == sorted(want)
     # exact distances of a small part of the pairs
     assert far < 60 * 3000 / 3
+
+
+def test_folds_without_a_column(spark):
+    """A penalty that removes every column leaves the fold all of them."""
+    df, cols = toy(spark, 40, 40)
+    out = ex.cross_validate(df, "id", cols, "y", ["LDA", "KNN"], k=2, alphas=[1e6], resample=False).collect()
+    assert sorted((r["model"], r["fold"]) for r in out) == [(m, f) for m in ("KNN", "LDA") for f in (0, 1)]
+    assert all(r["selected_features"] == cols and r["n_train"] + r["n_val"] == 80 for r in out)
