@@ -90,3 +90,27 @@ def test_merged_moments(spark):
     m = df.agg(live.merged(F.collect_list(F.struct("n", "mean", "m2"))).alias("m")).first()["m"]
     every = np.concatenate(parts)
     assert m["n"] == 46 and m["mean"] == pytest.approx(every.mean()) and m["m2"] / 46 == pytest.approx(every.var(), rel=1e-4)
+
+
+def test_trials_of_a_bucket_keep_apart(spark, tmp_path, samples):
+    """All trials in one bucket, in arrival and in event-time order; a trial that pauses gets its own last value."""
+    rows = samples + [(1 << 60, 400, 2000.0, None), (2, 401, 2001.0, None), (None, 402, 2002.0, None), ((1 << 60) + 1, 403, 2003.0, 7.0)]
+    path = str(tmp_path / "in")
+    record(spark, path, [rows[:100], rows[100:300], rows[300:]])
+    stream = live.replay(spark, path, SCHEMA, "ts", bytes_per_trigger=1)
+    got = drain(spark, live.ffill_stream(stream.withColumnRenamed("x.1", "x"), "trial", ["ts", "n"], ["x"], buckets=1), tmp_path)
+    assert {(r.trial, r.n): r.x for r in got.collect()} == {(t, n): filled(rows)[n] for t, n, _, _ in rows}
+    live.close_recording(spark, path, SCHEMA, "ts", "1 hour")
+    out = live.ffill_events(live.replay(spark, path, SCHEMA, "ts"), "trial", "ts", ["x.1"], "2000 seconds", ["n"], slice_seconds=30.0, buckets=1)
+    live.run_to_parquet(out, str(tmp_path / "out2"), str(tmp_path / "cp2"))
+    again = spark.read.parquet(str(tmp_path / "out2")).collect()
+    assert {(r.trial, r.n): r["x.1"] for r in again} == {(t, n): filled(rows)[n] for t, n, _, _ in rows}
+
+
+def test_micro_batches_follow_bytes(spark, tmp_path, samples):
+    path = str(tmp_path / "in")
+    record(spark, path, [samples[i::20] for i in range(20)])
+    live.close_recording(spark, path, SCHEMA, "ts", "1 hour")
+    stream = live.replay(spark, path, SCHEMA, "ts", bytes_per_trigger=1 << 20)
+    assert drain(spark, live.sliding_stats_stream(stream, "trial", "ts", ["x.1"], "20 seconds", "5 seconds", "10 seconds"), tmp_path).count() > 0
+    assert len(list((tmp_path / "cp" / "commits").glob("[0-9]*"))) <= 3

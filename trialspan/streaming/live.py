@@ -14,16 +14,19 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+BUCKETS = 1024  # groups of trials that share a state
+
 
 def replay(spark: SparkSession, path: str, schema: T.StructType | str, ts: str = "ts", files_per_trigger: int = 1,
-           token: str | None = None, keep: Sequence[str] = (), fmt: str = "parquet") -> DataFrame:
+           token: str | None = None, keep: Sequence[str] = (), fmt: str = "parquet", bytes_per_trigger: int | None = None) -> DataFrame:
     """Recorded samples as a stream, one device's columns only if ``token`` is given.
 
-    The arrival of files takes the place of paced sending; ``ts`` becomes the event time (times
+    A micro-batch takes ``files_per_trigger`` files, or, if given, files of ``bytes_per_trigger`` together; its fixed cost
+    (all state partitions are opened and committed) then comes once for so much data and not once a file. The arrival of files takes the place of paced sending; ``ts`` becomes the event time (times
     without a zone are read as UTC).
     """
-    df = (spark.readStream.schema(schema).format(fmt)
-          .option("maxFilesPerTrigger", files_per_trigger).load(path))
+    bound = ("maxBytesPerTrigger", bytes_per_trigger) if bytes_per_trigger else ("maxFilesPerTrigger", files_per_trigger)
+    df = spark.readStream.schema(schema).format(fmt).option(*bound).load(path)
     if token:
         df = df.select(*[F.col(f"`{c}`") for c in df.columns if token in c or c in keep or c == ts])
     if dict(df.dtypes)[ts] == "timestamp_ntz":
@@ -32,29 +35,48 @@ def replay(spark: SparkSession, path: str, schema: T.StructType | str, ts: str =
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
+def _bucket(key: str, buckets: int) -> Column:
+    """Hash bucket of a trial; the one without a key has its own, so keys keep their type in pandas."""
+    c = F.col(f"`{key}`")
+    return F.when(c.isNull(), -1).otherwise(F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int"))
+
+
 def ffill_stream(df: DataFrame, key: str, order: Sequence[str], cols: Sequence[str],
-                 leftover: float = 0.0) -> DataFrame:
+                 leftover: float = 0.0, buckets: int = BUCKETS) -> DataFrame:
     """Carry the last value of a trial forward across micro-batches; what is missing becomes 0.
 
-    The state is one value per column; a micro-batch bounds what one task sees.
+    Trials share a state by hash ``buckets``, so a task calls Python once for many of them. The state is a table of one row
+    a trial, with a value per column; a micro-batch bounds what one task sees.
     """
-    state = T.StructType([T.StructField(c, T.DoubleType()) for c in cols])
     out = df.select(key, *order, *[F.col(c).cast("double").alias(c) for c in cols])
+    state = T.StructType([T.StructField("last", T.BinaryType())])
 
     def fill(k: tuple, batches: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
-        last = st.get if st.exists else (None,) * len(cols)
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(list(order))
-        for c, v in zip(cols, last):
-            filled = pdf[c].ffill()
-            pdf[c] = filled.fillna(v) if v is not None else filled
-        tail = pdf.iloc[-1]
-        st.update(tuple(None if pd.isna(tail[c]) else float(tail[c]) for c in cols))
+        held = _unpacked(bytes(st.get[0])).to_pandas() if st.exists else None
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values(list(order), kind="stable")
+        pdf, last = carried(pdf, held, key, list(cols))
+        st.update((_packed(pa.Table.from_pandas(last, preserve_index=False)),))
         yield pdf.fillna({c: leftover for c in cols})[[key, *order, *cols]]
 
-    return out.groupBy(key).applyInPandasWithState(
+    return out.withColumn("__bucket", _bucket(key, buckets)).groupBy("__bucket").applyInPandasWithState(
         fill, out.schema, state, "append", GroupStateTimeout.NoTimeout)
 
 
+def carried(pdf: pd.DataFrame, held: pd.DataFrame | None, key: str, cols: list[str]) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Ordered rows of many trials with the last values carried forward, after those of ``held``; and the last values then.
+
+    ``held`` and the second frame have a row a trial: ``key`` and ``cols``. A trial without a key is one of its own.
+    """
+    before = pdf.iloc[:0] if held is None else held
+    rows = pd.concat([before[[key, *cols]].astype(pdf[[key, *cols]].dtypes), pdf[[key, *cols]]], ignore_index=True) if len(before) else pdf[[key, *cols]]
+    trial = pd.factorize(rows[key], use_na_sentinel=False)[0]
+    filled = rows[cols].groupby(trial).ffill()
+    last = pd.concat([rows[[key]], filled], axis=1)[~pd.Series(trial, index=rows.index).duplicated(keep="last")]
+    out = pdf.copy()
+    out[cols] = filled.to_numpy()[len(before):]
+    return out, last.reset_index(drop=True)
+
+
 def close_recording(spark: SparkSession, path: str, schema: T.StructType | str, ts: str, beyond: str, fmt: str = "parquet") -> None:
     """Append two closing files to a finished recording; each holds one row with nothing but a time, ``beyond`` its last.
 
@@ -134,10 +156,11 @@ def feature_names(cols: Sequence[str]) -> list[str]:
 
 
 class CarryForward(StatefulProcessor):
-    """Buffers the rows of a trial by slices of event time, and fills a slice once the watermark has passed its end.
+    """Buffers the rows of a bucket of trials by slices of event time, and fills a slice once the watermark has passed its end.
 
-    The buffer of a slice is one value (an Arrow table); a timer stands at each slice's end. What is carried on is the
-    last value of each column. A trial that is quiet for ``idle`` microseconds is forgotten.
+    The rows that a micro-batch adds to a slice are one value (an Arrow table); a timer stands at each slice's end. What is
+    carried on is a row a trial: the last value of each column, and the end of its last slice. A trial that is quiet for
+    ``idle`` microseconds is forgotten.
     """
 
     def __init__(self, key: str, ts: str, order: list[str], cols: list[str], slice_us: int, idle_us: int | None, leftover: float):
@@ -146,45 +169,51 @@ class CarryForward(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "slice long", "rows binary")
-        self.last = handle.getValueState("last", "v array<double>, seen long")
+        self.waiting = handle.getMapState("waiting", "slice long, part int", "rows binary")
+        self.parts = handle.getMapState("parts", "slice long", "n int")
+        self.last = handle.getValueState("last", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues):
-        for pdf in rows:
-            pdf = pdf[pdf["real"]].drop(columns="real")
-            if not len(pdf):
-                continue
-            at = pdf[self.ts].to_numpy().astype("datetime64[us]").astype("int64") // self.slice_us
-            for s in np.unique(at).tolist():
-                table = pa.Table.from_pandas(pdf[at == s], preserve_index=False)
-                if self.waiting.containsKey((s,)):
-                    table = pa.concat_tables([_unpacked(self.waiting.getValue((s,))[0]), table], promote_options="permissive")
-                else:
-                    self.handle.registerTimer((s + 1) * self.slice_us // 1000)
-                self.waiting.updateValue((s,), (_packed(table),))
+        frames = [pdf[pdf["real"]].drop(columns=["real", "bucket"]) for pdf in rows]
+        pdf = pd.concat(frames, ignore_index=True) if frames else None
+        if pdf is None or not len(pdf):
+            return iter(())
+        at = pdf[self.ts].to_numpy().astype("datetime64[us]").astype("int64") // self.slice_us
+        for s, some in pdf.groupby(at):
+            s = int(s)
+            n = self.parts.getValue((s,))[0] if self.parts.containsKey((s,)) else 0
+            if not n:
+                self.handle.registerTimer((s + 1) * self.slice_us // 1000)
+            self.waiting.updateValue((s, n), (_packed(pa.Table.from_pandas(some, preserve_index=False)),))
+            self.parts.updateValue((s,), (n + 1,))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = expiredTimerInfo.getExpiryTimeInMs() * 1000
         # all slices that end by now, in order, whatever the order of timers
-        due = sorted(k[0] for k in self.waiting.keys() if (k[0] + 1) * self.slice_us <= now)
-        held = self.last.get() if self.last.exists() else None
-        last = list(held[0]) if held else [None] * len(self.cols)
+        due = sorted(k[0] for k in self.parts.keys() if (k[0] + 1) * self.slice_us <= now)
+        if not due:
+            return
+        held = _unpacked(bytes(self.last.get()[0])).to_pandas() if self.last.exists() else None
         for s in due:
-            pdf = _unpacked(self.waiting.getValue((s,))[0]).to_pandas().sort_values(self.order, kind="stable")
-            for i, c in enumerate(self.cols):
-                filled = pdf[c].astype("float64").ffill()
-                pdf[c] = filled if last[i] is None else filled.fillna(last[i])
-                last[i] = None if pd.isna(pdf[c].iloc[-1]) else float(pdf[c].iloc[-1])
-            self.waiting.removeKey((s,))
+            end = (s + 1) * self.slice_us
+            if held is not None and self.idle_us is not None:
+                held = held[held["seen"] + self.idle_us >= end]
+            n = self.parts.getValue((s,))[0]
+            tables = [_unpacked(bytes(self.waiting.getValue((s, i))[0])) for i in range(n)]
+            pdf = pa.concat_tables(tables, promote_options="permissive").to_pandas().sort_values(self.order, kind="stable")
+            pdf[self.cols] = pdf[self.cols].astype("float64")
+            pdf, last = carried(pdf, held, self.key, self.cols)
+            last["seen"] = end
+            if held is not None:
+                quiet = held[~held[self.key].isin(pdf[self.key])]
+                last = pd.concat([last[~last[self.key].isin(quiet[self.key])], quiet], ignore_index=True)
+            held = last
+            for i in range(n):
+                self.waiting.removeKey((s, i))
+            self.parts.removeKey((s,))
             yield pdf.fillna(dict.fromkeys(self.cols, self.leftover))
-        if due:
-            end = (due[-1] + 1) * self.slice_us
-            self.last.update((last, end))
-            if self.idle_us is not None:
-                self.handle.registerTimer((end + self.idle_us) // 1000)
-        elif held and self.idle_us is not None and now >= held[1] + self.idle_us:
-            self.last.clear()
+        self.last.update((_packed(pa.Table.from_pandas(held, preserve_index=False)),))
 
     def close(self) -> None:
         pass
@@ -203,11 +232,12 @@ def _unpacked(data: bytes) -> pa.Table:
 
 
 def ffill_events(df: DataFrame, key: str, ts: str, cols: Sequence[str], lateness: str, tie: Sequence[str] = (),
-                 leftover: float = 0.0, slice_seconds: float = 60.0, idle_seconds: float | None = None) -> DataFrame:
+                 leftover: float = 0.0, slice_seconds: float = 60.0, idle_seconds: float | None = None,
+                 buckets: int = BUCKETS) -> DataFrame:
     """Carry the last value of a trial forward in event-time order, however rows arrive within ``lateness``.
 
-    Rows wait in disk-backed state until the watermark passes the end of their slice, so a task holds one slice of a
-    trial at a time. What is missing before the first value becomes ``leftover``. Rows behind the watermark are
+    Trials share a state by hash ``buckets``. Rows wait in disk-backed state until the watermark passes the end of their
+    slice, so a task holds one slice of a bucket at a time. What is missing before the first value becomes ``leftover``. Rows behind the watermark are
     dropped. With ``idle_seconds`` a trial quiet for that long is forgotten and starts anew.
     """
     spark = df.sparkSession
@@ -219,9 +249,9 @@ def ffill_events(df: DataFrame, key: str, ts: str, cols: Sequence[str], lateness
     first = n - len(cols)
     made = CarryForward(plain[0], plain[1], plain[1:first], plain[first:], int(slice_seconds * 1e6),
                         None if idle_seconds is None else int(idle_seconds * 1e6), leftover)
-    rows = kept.withColumn("real", carries(kept, ts)).toDF(*plain, "real").withWatermark("c1", lateness)
+    rows = kept.withColumn("real", carries(kept, ts)).toDF(*plain, "real").withColumn("bucket", _bucket("c0", buckets)).withWatermark("c1", lateness)
     out = T.StructType([T.StructField(p, f.dataType) for p, f in zip(plain, kept.schema)])
-    return rows.groupBy("c0").transformWithStateInPandas(made, out, "append", "EventTime").toDF(*kept.columns)
+    return rows.groupBy("bucket").transformWithStateInPandas(made, out, "append", "EventTime").toDF(*kept.columns)
 
 
 def score_stream(df: DataFrame, model: PipelineModel, fill: Sequence[str] = ()) -> DataFrame:
