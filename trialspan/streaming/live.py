@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-BUCKETS = 1024  # groups of trials that share a state
+BUCKETS = 128  # groups of trials that share a state
 
 
 def replay(spark: SparkSession, path: str, schema: T.StructType | str, ts: str = "ts", files_per_trigger: int = 1,
