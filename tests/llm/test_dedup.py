@@ -236,3 +236,23 @@ def test_near_long_chain_of_half_alike_texts(spark):
     rows += [(1000 + i, " ".join(w[40 * i:40 * i + 88] + ["x", f"y{i}"])) for i in range(0, 220, 9)]
     got = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()}
     assert got == {i: c for i, (_, c) in near_wanted(rows, 4).items()}
+
+
+def test_near_only_links_leave_contested_lists(spark, monkeypatch):
+    """Lists of two texts in a chain, alike but not enough but for two: the others are turned down inside the join."""
+    met, verified = [], N.verified
+    monkeypatch.setattr(N, "verified", lambda pairs, *a: met.append(pairs.count()) or verified(pairs, *a))
+    sets = {i: list(range(30 * i, 30 * i + 120)) for i in range(30)} | {30: list(range(860, 980))}
+    rows = [(v, n, 120, n, 2) for v in range(30) for n in (v, v + 1)]
+    rows = spark.createDataFrame(rows, "value long, node long, n long, comp long, m long")
+    got = N.contested_links(rows, spark.createDataFrame(list(sets.items()), "node long, shingles array<long>"), 80)
+    assert [tuple(r) for r in got.collect()] == [(29, 30)] and met == [1]
+
+
+def test_near_texts_of_their_own(spark):
+    """Texts with too many shingles that no other has drop out before lists are joined; the others know how many they have."""
+    sets = {i: list(range(100)) + list(range(1000 * i, 1000 * i + n)) for i, n in enumerate((5, 20, 25, 26, 60), 1)}
+    rows = [(7, i, len(s), i, 5) for i, s in sets.items()] + [(8, 4, 126, 4, 2), (8, 5, 160, 5, 2)]
+    rows = spark.createDataFrame(rows, "value long, node long, n long, comp long, m long")
+    got = N.linkable(rows, spark.createDataFrame(list(sets.items()), "node long, shingles array<long>"), 80)
+    assert sorted((r.value, r.node, r.lone, r.m) for r in got.collect()) == [(7, 1, 5, 3), (7, 2, 20, 3), (7, 3, 25, 3)]

@@ -7,9 +7,10 @@
    tail of the bottom-k of the union), so each class needs to enter the lists of its rarest values only:
    all but ``SHARED`` of its sketch, plus one (the prefix of the overlap filter).
 3. In each list the class with the fewest values of its own is the centre; centre and members are compared on
-   full sets. What is linked becomes one component. Lists that still hold several components are compared
-   in full, in salted blocks; lists with nearly the same members are compared once. Only links come out, or
-   pairs whose union-sketch estimate allows one, which are then verified.
+   full sets. What is linked becomes one component. Lists that still hold several components lose the texts with
+   too many shingles of their own to be linked with anything, and are compared in salted blocks; lists with nearly
+   the same members are compared once. Only links come out, or pairs whose ``HEAD`` smallest shingles allow one,
+   which are then verified.
 4. Components are contracted. No list is cut or sampled.
 
 Defined cases: a text without words (null, empty, white space) has an empty set, is linked with nothing and
@@ -35,6 +36,7 @@ from .pieces import slices
 
 K = 64  # retained values
 SHARED = 0.45  # share of a sketch that a linked sketch has too, for certain but for 1e-8 at a similarity of 0.8
+HEAD, SLACK = 256, 0.19  # shingles of a union that tell its similarity, but for a chance below 1e-8 (Hoeffding) to be off by SLACK
 BLOCK = 256  # classes of a contested list on one side of a block
 
 
@@ -92,14 +94,29 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(similar(F.col("i"), F.col("t") - F.col("i"), percent)).select("a", "b"))
 
 
-def contested_links(rows: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int, k: int, shared: float) -> DataFrame:
+def linkable(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The ``rows`` of texts that can have a link to another component, with ``lone``: shingles that no other text of ``rows`` has.
+
+    Lone shingles are in every union and in no intersection, so a text with too many of them has no link here.
+    """
+    held = sets.join(rows.select("node").distinct(), "node").select("node", F.explode("shingles").alias("shingle"))
+    lone = (held.groupBy("shingle").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("df")).where("df = 1")
+            .groupBy("node").agg(F.count(F.lit(1)).alias("lone")))
+    rows = rows.join(lone, "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+    rows = stored(rows.where((100 - percent) * (F.col("n") - F.col("lone")) >= percent * F.col("lone")), "linkable")
+    still = rows.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
+    return rows.drop("m").join(still.select("value", "m"), "value")
+
+
+def contested_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different components of the same list; ``rows``: value, node, n, comp, m (size of the list).
 
     A group of near copies meets in many lists of nearly the same members. Lists that share members form a
     cluster; where all pairs of the cluster are fewer than the pairs of its lists, the cluster is compared as one
     list, on full sets inside the join, so that only links come out. Other lists are joined one by one; a pair
-    comes out of the first list it shares, is filtered by the union sketch and verified.
+    comes out of the first list it shares if its smallest shingles allow a link, and is verified.
     """
+    rows = stored(linkable(rows, sets, percent), "open")
     first = rows.groupBy("node").agg(F.min("value").alias("b"))
     chains = components(rows.join(first, "node").select(F.col("value").alias("a"), "b"))
     rows = stored(rows.join(chains.select(F.col("node").alias("value"), F.col("comp").alias("chain")), "value", "left")
@@ -109,32 +126,33 @@ def contested_links(rows: DataFrame, sets: DataFrame, sketches: DataFrame, perce
     merge = stored(each.join(whole, "chain").select("chain", "u", (F.col("u").cast("double") * F.col("u") <= F.col("apart")).alias("merged")), "merge")
     rows = rows.join(merge, "chain")
     near_size = 100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")
+    few_lone = (100 - percent) * F.least(F.col("x_n") - F.col("x_lone"), F.col("y_n") - F.col("y_lone")) >= percent * (F.col("x_lone") + F.col("y_lone"))
 
     def met(side: DataFrame, cols: list[str], also: Column) -> DataFrame:
         """Pairs of a list with different components, by blocks."""
         side = side.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-        as_ = lambda p: side.select("value", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "comp", "n", "blocks", *cols)])
+        as_ = lambda p: side.select("value", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "comp", "n", "lone", "blocks", *cols)])
         left = as_("x").withColumn("salt", F.pmod(F.xxhash64("x_node"), F.col("x_blocks")).cast("int"))
         right = as_("y").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("y_blocks") - 1)))
         # dealt out by key here: a block is as small as it should be, splitting it further would only copy its other side
         parts = int(side.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         left, right = (x.repartition(parts, "value", "salt") for x in (left, right))
-        return left.join(right.hint("merge"), ["value", "salt"]).where((F.col("x_node") < F.col("y_node")) & (F.col("x_comp") != F.col("y_comp")) & near_size & also
+        return left.join(right.hint("merge"), ["value", "salt"]).where((F.col("x_node") < F.col("y_node")) & (F.col("x_comp") != F.col("y_comp")) & near_size & few_lone & also
                                                          ).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
 
-    one = rows.where("merged").select(F.col("chain").alias("value"), "node", "comp", "n", F.col("u").alias("m")).distinct().join(sets, "node")
+    one = rows.where("merged").select(F.col("chain").alias("value"), "node", "comp", "n", "lone", F.col("u").alias("m")).distinct().join(sets, "node")
     inter = F.size(F.array_intersect("x_shingles", "y_shingles"))
     links = stored(met(one, ["shingles"], similar(inter, F.col("x_n") + F.col("y_n") - inter, percent)), "rest-links")
-    apart = stored(rows.where("not merged").select("value", "node", "comp", "n", "m"), "apart")
+    apart = stored(rows.where("not merged").select("value", "node", "comp", "n", "lone", "m"), "apart")
     if apart.isEmpty():
         return links
     its = apart.groupBy("node").agg(F.collect_list("value").alias("its"))
-    pairs = met(apart.join(its, "node"), ["its"], F.array_min(F.array_intersect("x_its", "y_its")) == F.col("value"))
-    for c in ("a", "b"):
-        pairs = pairs.join(sketches.select(F.col("node").alias(c), F.col("sketch").alias(f"k_{c}")), c)
-    union = F.slice(F.array_sort(F.transform(F.array_union("k_a", "k_b"), unsigned)), 1, k)
-    of_both = F.size(F.array_intersect(union, F.transform(F.array_intersect("k_a", "k_b"), unsigned)))
-    close = stored(pairs.where(of_both >= F.floor(F.size(union) * shared)).select("a", "b"), "rest-close")
+    its = its.join(sets.select("node", F.slice("shingles", 1, HEAD).alias("head")), "node")
+    union = F.slice(F.array_sort(F.transform(F.array_union("x_head", "y_head"), unsigned)), 1, HEAD)
+    of_both = F.size(F.array_intersect(union, F.transform(F.array_intersect("x_head", "y_head"), unsigned)))
+    close = met(apart.join(its, "node"), ["its", "head"], (F.array_min(F.array_intersect("x_its", "y_its")) == F.col("value"))
+                & (100 * of_both >= F.size(union) * (percent - 100 * SLACK)))
+    close = stored(close, "rest-close")
     return links.unionByName(stored(verified(close, sets, percent), "rest-verified"))
 
 
@@ -186,7 +204,7 @@ def placed_rows(docs: DataFrame, id_col: str, text_col: str, words: int, percent
     split = stored(placed.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
                    .where("lo <> hi").select("value", "m"), "contested")
     if not split.isEmpty():
-        more = contested_links(stored(placed.join(split, "value"), "contested-rows"), sets, classes.select("node", "sketch"), percent, k, shared)
+        more = contested_links(stored(placed.join(split, "value"), "contested-rows"), sets, percent)
         comp = components(links.unionByName(more))
 
     classes = stored(classes.select("node", "set_id", "doc_id", "row", "rows").join(comp, "node", "left")
