@@ -216,6 +216,48 @@ def test_edit_similarity():
         assert L.edit_similar(a, b, 80) == (distance(a, b) <= max(len(a), len(b)) * 20 // 100)
 
 
+def test_line_buckets_are_few():
+    """A line that is not short has the lowest hashes of its grams as buckets, 12 or 16 in place of 50."""
+    rng = np.random.default_rng(8)
+    lines = ["".join(rng.choice(list("abcdefg hij"), n)) for n in (300, 500, 61, 76, 199, 201, 999)] + ["x" * 3000, "ab" * 40 + "c" * 30]
+    _, at, _ = L.line_buckets(lines, 80)
+    assert np.bincount(at).tolist() == [16, 16, 62, 12, 28, 16, 16, 1, 12]
+    for k, most in ((14, 12), (18, 16)):
+        line, value, place = L.lowest(lines, k, most)
+        for i, x in enumerate(lines):
+            every = L.windows(np.frombuffer(x.encode("utf-32-le"), np.uint32), k).tolist()
+            want = {v: every.index(v) if every.count(v) == 1 else -1 for v in sorted(set(every))[:most]}
+            assert dict(zip(value[line == i].tolist(), place[line == i].tolist(), strict=True)) == want
+            assert L.windows(np.frombuffer(x[7:7 + k].encode("utf-32-le"), np.uint32), k).tolist() == every[7:8]
+
+
+def test_line_texts_are_not_stored(spark, monkeypatch):
+    """Tables between steps have digests; texts only of lines that are compared."""
+    kept = {}
+    monkeypatch.setattr(L, "stored", lambda df, name: kept.setdefault(name, []).append(t := stored(df, name)) or t)
+    rng = np.random.default_rng(9)
+    say = lambda n: "".join(rng.choice(list("abcdefghiklmnoprstu "), n))
+    near = say(300)
+    rows = [(i, f"{say(200)}\nthe same line\n{say(150)}") for i in range(20)] + [(20, near), (21, near[:100] + "q" + near[101:])]
+    got = {r.doc_id: r.dropped for r in L.near_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: [1] if 0 < i < 20 else [0] if i == 21 else [] for i in range(22)}
+    assert {n for n, ts in kept.items() for t in ts if "text" in t.columns} == {"line-texts"}
+    assert {r.text for t in kept["line-texts"] for r in t.collect()} == {" ".join(x.split()) for x in (near, rows[21][1])}
+
+
+def test_far_apart_never_excludes_a_link():
+    rng = np.random.default_rng(10)
+    pairs = []
+    for _ in range(400):
+        w = rng.choice(list("abcdefgh é日"), rng.integers(1, 400))
+        x = list(w)
+        for i in rng.integers(0, len(x), int(len(x) * rng.random() / 3)):
+            x[i] = rng.choice(["", "z", "zz"])
+        pairs.append(("".join(w), "".join(x)))
+    far = L.far_apart(pairs, 80)
+    assert 0 < far.sum() and not any(f and L.edit_distance(a, b) <= max(len(a), len(b)) // 5 for f, (a, b) in zip(far, pairs, strict=True))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 400)] + [(500, 499), (499, 501), (7, 7)]
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
