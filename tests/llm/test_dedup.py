@@ -245,6 +245,27 @@ def test_line_texts_are_not_stored(spark, monkeypatch):
     assert {r.text for t in kept["line-texts"] for r in t.collect()} == {" ".join(x.split()) for x in (near, rows[21][1])}
 
 
+def test_pairs_of_contested_buckets_are_compared_in_parts(spark, monkeypatch):
+    """Unlike lines around one phrase: no table holds their pairs, no part more than its share; shuffles go after each step."""
+    kept, parts, freed = [], [], "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    on = lambda: spark.conf.get(freed, "false")
+    monkeypatch.setattr(L, "AT_ONCE", 20_000)
+    monkeypatch.setattr(L, "stored", lambda df, name: kept.append((name, (t := stored(df, name)).count(), on())) or t)
+    real = L.similar_pairs
+    monkeypatch.setattr(L, "similar_pairs", lambda pairs, percent: parts.append(pairs.agg(F.count(F.lit(1)), F.count_distinct("a", "b")).first()) or real(pairs, percent))
+    rng = np.random.default_rng(12)
+    say = lambda n: "".join(rng.choice(list("abcdefghiklmnoprstu"), n))
+    phrase = say(80)
+    rows = [(i, say(60) + phrase + say(60)) for i in range(60)]
+    rows += [(100 + i, t[:5] + "zz" + t[5:]) for i, t in rows[50:]]
+    was = on()
+    got = {r.doc_id: r.dropped for r in L.near_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: [0] if i >= 100 else [] for i, _ in rows}
+    assert sum(n for n, _ in parts) > 1000 and max(n for n, _ in parts) < 400 and all(n == d for n, d in parts)
+    assert all(n < 1000 for name, n, _ in kept if name not in ("buckets", "line-open")) and {x for *_, x in kept} == {"true"}
+    assert on() == was
+
+
 def test_far_apart_never_excludes_a_link():
     rng = np.random.default_rng(10)
     pairs = []
