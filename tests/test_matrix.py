@@ -394,6 +394,49 @@ def test_absolute_distances_in_tiles():
     assert (np.sort(nb.distances(a, b, 1), axis=1)[:, 5:6] <= bar).all() and np.isfinite(bar).all()
 
 
+@pytest.mark.parametrize("p,case", [(p, c) for p in (1, 2) for c in ("plain", "far", "ties", "outlier", "infinite", "few")])
+def test_references_pass_queries_in_batches(p, case, monkeypatch):
+    """Lists of batches are those of all references; the cheap distances leave few pairs, whatever the values are."""
+    met, exact = [], nb._exact
+    monkeypatch.setattr(nb, "_exact", lambda a, b, qi, *x: met.append(len(qi)) or exact(a, b, qi, *x))
+    rng = np.random.default_rng(14)
+    a, b, k = rng.normal(size=(70, 8)), rng.normal(size=(5 if case == "few" else 6000, 8)), 6
+    if case == "far":
+        a, b = a + 1e6, b + 1e6
+    if case == "ties":
+        a, b = np.rint(a), np.rint(b)
+    if case == "outlier":
+        b[17], b[4000, 3], a[2, 1] = 1e9, -1e12, 1e7
+    if case == "infinite":
+        b[17, 2] = np.inf
+    lens = rng.integers(1, 4, len(b))
+    ids = rng.permutation(lens.sum())
+    search, begin = nb.Search(np.arange(70) * 2, a, k, p), np.r_[0, np.cumsum(lens)]
+    for s in range(0, len(b), 700):
+        e = min(s + 700, len(b))
+        search.add(b[s:e], lens[s:e], ids[begin[s]:begin[e]])
+    rows, near = search.found()
+    assert rows.to_pylist() == list(range(0, 140, 2))
+    for x, got in zip(a, near.to_pylist()):
+        d = np.abs(x - b).sum(1) if p == 1 else np.sqrt(((x - b) ** 2).sum(1))
+        d = np.repeat(d, lens)
+        want = np.lexsort((ids, d))[:k]
+        assert [g["rid"] for g in got] == ids[want].tolist() and [g["dist"] for g in got] == d[want].tolist()
+    assert case not in ("plain", "far", "outlier") or sum(met) < 70 * 6000 / 8
+
+
+def test_groups_give_one_list_a_query(spark, monkeypatch):
+    """With enough groups of queries no block of references gives lists of its own."""
+    lists, real = [], nb.nearest_lists
+    monkeypatch.setattr(nb, "nearest_lists", lambda found, *a: lists.append(found.count()) or real(found, *a))
+    pts = dict(enumerate(np.random.default_rng(15).normal(size=(300, 3))))
+    df = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in pts.items()], "id long, v array<double>")
+    got = {}
+    for r in nb.knn_join(df, df, 4, 1, True, pivots=1, ref_block=20, query_block=3).orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["rid"])
+    assert got == brute(pts, pts, 4, 1, True) and lists == [300]
+
+
 def test_donors_equal_loops(monkeypatch):
     """Nearest donors of every cell, also of columns that few or no rows hold and of queries that share nothing with a row."""
     import pandas as pd
