@@ -437,6 +437,29 @@ def test_groups_give_one_list_a_query(spark, monkeypatch):
     assert got == brute(pts, pts, 4, 1, True) and lists == [300]
 
 
+def test_donors_in_batches(monkeypatch):
+    """Donors that come in batches are those of all rows at once, also far from the origin, and few pairs are computed exactly."""
+    rng, far, sure = np.random.default_rng(16), [], im._shared_distances
+    x = rng.normal(size=(4000, 8)) + 1e4
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[20:30] = x[31]
+    x[40], x[50:, 7] = np.nan, np.where(rng.random(3950) < 0.99, np.nan, x[50:, 7])
+    at_once = im.Donors(np.arange(60), x[:60], 5)
+    at_once.add(x, np.ones(4000, dtype=int), np.arange(4000))
+    monkeypatch.setattr(im, "_shared_distances", lambda *a: far.append(len(a[2])) or sure(*a))
+    search = im.Donors(np.arange(60), x[:60], 5)
+    for s in range(0, 4000, 900):
+        search.add(x[s:s + 900], np.ones(len(x[s:s + 900]), dtype=int), np.arange(s, min(s + 900, 4000)))
+    told = [[c.to_pylist() for c in d.found()] for d in (search, at_once)]
+    assert told[0] == told[1] and sum(far) < 60 * 4000 / 3
+    for i, j, near in zip(*told[0]):
+        diff = x[i] - x
+        n = (~np.isnan(diff)).sum(1)
+        dist = np.where(n > 0, np.sqrt(np.nansum(diff * diff, axis=1) * 8 / np.maximum(n, 1)), np.inf)
+        want = [r for r in np.lexsort((np.arange(4000), dist)) if not np.isnan(x[r, j]) and np.isfinite(dist[r])][:5]
+        assert [g["rid"] for g in near] == want and [g["value"] for g in near] == [x[r, j] for r in want]
+
+
 def test_donors_equal_loops(monkeypatch):
     """Nearest donors of every cell, also of columns that few or no rows hold and of queries that share nothing with a row."""
     import pandas as pd

@@ -7,17 +7,19 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import any_null
 from ..functions.sizing import attach_one, cut
 from .clean import drop_null_rows
-from .neighbours import _CHUNK, QUERY_BLOCK, REF_BLOCK, first_of_runs, fold_copies, knn_join, query_groups
+from .neighbours import (_CHUNK, _ROWS, _TILE_ROWS, _WIDE, GROUPS, QUERY_BLOCK, REF_BLOCK, Lists, fold_copies, knn_join, meet, nearest_lists,
+                         query_groups)
 
 # The imputation phases of the configuration.
 PHASES = ("none", "pre_feature", "post_feature_remove_rows", "post_feature_knn")
-_FEW = 64  # donors of a block whose exact distances bound those of a query's nearest
+_FEW = 64  # donors of a batch whose exact distances bound those of a query's nearest
 
 
 def _train(df: DataFrame, train_flag: str | None) -> DataFrame:
@@ -73,66 +75,121 @@ def _shared_distances(qv: np.ndarray, rv: np.ndarray, qi: np.ndarray, ri: np.nda
     return out
 
 
-def _donor_block(q: pd.DataFrame, r: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Nearest donors of every missing cell inside one block, distance over shared coordinates.
+class Donors:
+    """Nearest donors of every missing cell of a group of queries, distance over shared coordinates; donors come in batches.
 
-    One masked product gives the unscaled squares of all pairs. The exact distances of the few that are least in a part
-    of the block bound those of the k nearest donors of each cell; only pairs that can be within are computed exactly. Cells
-    of columns that too few of them hold are compared with all donors.
+    One masked product around a centre, in single precision, gives the unscaled squares of all pairs, with a bound of its error. Lists
+    of earlier batches, or else the exact distances of the few that are least in a part of the batch, bound those of the k
+    nearest donors of each cell; only pairs that can be within are computed exactly. Cells of columns that too few of them hold are
+    compared with all donors. Where single precision excludes little, double precision does it again.
     """
-    parts = [pd.DataFrame({"id": [], "dim": [], "rid": [], "dist": [], "value": []}).astype(
-        {"id": "int64", "dim": "int32", "rid": "int64"})]
-    if len(q) and len(r):
-        r = r.sort_values("id")
-        every, rv, rid = np.stack(q["v"].to_numpy()).astype("float64"), np.stack(r["v"].to_numpy()).astype("float64"), r["id"].to_numpy()
-        d, held = rv.shape[1], ~np.isnan(rv)
-        r0 = np.where(held, rv, 0.0)
-        right, widest = np.hstack([held, r0, r0 * r0]).T, (r0 * r0).sum(1).max()
-        skip = max(1, min(16, len(r) // (4 * _FEW)))
-        step = max(1, _CHUNK // len(r))
-        for s in range(0, len(q), step):
-            qv, qid = every[s:s + step], q["id"].to_numpy()[s:s + step]
-            holes = np.isnan(qv)
-            q0 = np.where(holes, 0.0, qv)
-            # squares over the shared coordinates; these are no more than the query has
-            squares, has = np.hstack([q0 * q0, -2.0 * q0, ~holes]) @ right, np.maximum(d - holes.sum(1), 1)
-            few = squares[:, ::skip]
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, k: int) -> None:
+        holes = np.isnan(v)
+        self.ids, self.v, self.k, self.holes, self.left = ids, v, k, holes, None
+        self.row, self.dim = np.nonzero(holes)
+        self.count = holes.sum(1)
+        self.first = np.r_[0, np.cumsum(self.count)]
+        self.has = np.maximum(v.shape[1] - self.count, 1)  # no pair shares more coordinates
+        self.lists, self.off = Lists(len(self.row), k), 4.8e-7 * (3 * v.shape[1] + 8)
+
+    def _product(self, s: int, e: int, r0: np.ndarray, held: np.ndarray, right: np.ndarray | None) -> np.ndarray:
+        """Squares over shared coordinates of a tile of queries with a batch, lowered by what the products may be off."""
+        if right is not None:
+            return self.left[s:e] @ right
+        return self._left(s, e, 1e-12) @ self._right(r0, held, 1e-12)
+
+    def _left(self, s: int, e: int, off: float) -> np.ndarray:
+        q0 = self.q0[s:e]
+        return np.hstack([q0 * q0 * (1 - off), -2.0 * q0, ~self.holes[s:e]])
+
+    def _right(self, r0: np.ndarray, held: np.ndarray, off: float) -> np.ndarray:
+        return np.hstack([held, r0, r0 * r0 * (1 - off)]).T
+
+    def add(self, v: np.ndarray, lens: np.ndarray, ids: np.ndarray) -> None:
+        held, full = ~np.isnan(v), np.isfinite(self.lists.bound).all()
+        if self.left is None:
+            some = np.sort(v[:1024], axis=0)  # NaN comes last
+            middle = np.take_along_axis(some, np.maximum(held[:1024].sum(0) - 1, 0)[None] // 2, 0)[0]
+            self.centre = np.where(np.isfinite(middle), middle, 0.0)
+            self.q0 = np.where(self.holes, 0.0, self.v - self.centre)
+            self.left = self._left(0, len(self.v), self.off).astype("float32") if (self.q0 ** 2).sum(1).max(initial=0) < _WIDE else self.q0
+        r0 = np.where(held, v - self.centre, 0.0)
+        plain = (r0 * r0).sum(1).max(initial=0) < _WIDE and self.left is not self.q0
+        right = self._right(r0, held, self.off).astype("float32") if plain else None
+        skip, step = max(1, min(4, len(v) // (4 * _FEW))), max(1, min(_TILE_ROWS, _CHUNK // len(v)))
+        for s in range(0, len(self.v), step):
+            e = min(s + step, len(self.v))
+            self._tile(s, e, v, held, ids, self._product(s, e, r0, held, right), skip,
+                       (lambda s=s, e=e: self._product(s, e, r0, held, None)) if right is not None else None)
+        if not full:
+            self.lists.merge()
+
+    def _tile(self, s: int, e: int, v: np.ndarray, held: np.ndarray, ids: np.ndarray, squares: np.ndarray, skip: int, again) -> None:
+        d, qv, begin, end = v.shape[1], self.v[s:e], self.first[s], self.first[e]
+        row, dim = self.row[begin:end] - s, self.dim[begin:end]
+        kth = self.lists.bound[begin:end].copy()
+        open_ = ~np.isfinite(kth)
+        if open_.any():
+            some = np.unique(row[open_])
+            few = squares[some][:, ::skip]
             m = min(_FEW, few.shape[1])
             near = np.argpartition(few, m - 1, axis=1)[:, :m] * skip
-            told = _shared_distances(qv, rv, np.repeat(np.arange(len(qv)), m), near.ravel()).reshape(len(qv), m)
-            row, dim = np.nonzero(holes)
-            kth = np.full(len(row), np.inf)
-            if m >= k:
-                kth = np.partition(np.where(held[near[row], dim[:, None]], told[row], np.inf), k - 1, axis=1)[:, k - 1]
-            closed, bar = np.zeros(qv.shape, dtype=bool), np.full(len(qv), -1.0)
-            sure = np.isfinite(kth)
-            closed[row[sure], dim[sure]] = True
-            np.maximum.at(bar, row[sure], kth[sure])
-            limit = np.where(bar < 0, -np.inf, bar * bar * has / d * (1 + 1e-9) + 1e-9 * ((q0 * q0).sum(1) + widest))
-            qi, ri = np.nonzero(squares <= limit[:, None])
-            dist = _shared_distances(qv, rv, qi, ri)
-            for i in np.nonzero(holes.any(axis=0))[0]:
-                some = np.nonzero(closed[qi, i] & held[ri, i] & np.isfinite(dist))[0]
-                a, b, far = qi[some], ri[some], dist[some]
-                rest, donors = np.nonzero(holes[:, i] & ~closed[:, i])[0], np.nonzero(held[:, i])[0]
-                if len(rest) and len(donors):
-                    x, y = np.repeat(rest, len(donors)), np.tile(donors, len(rest))
-                    z = _shared_distances(qv, rv, x, y)
-                    a, b, far = (np.r_[u, v[np.isfinite(z)]] for u, v in ((a, x), (b, y), (far, z)))
-                order = np.lexsort((rid[b], far, a))
-                order = order[first_of_runs(a[order], k)]
-                a, b = a[order], b[order]
-                parts.append(pd.DataFrame({"id": qid[a], "dim": np.int32(i), "rid": rid[b], "dist": far[order], "value": rv[b, i]}))
-    return pd.concat(parts, ignore_index=True)
+            told = _shared_distances(qv, v, np.repeat(some, m), near.ravel()).reshape(len(some), m)
+            if m >= self.k:
+                at = np.searchsorted(some, row[open_])
+                kth[open_] = np.partition(np.where(held[near[at], dim[open_, None]], told[at], np.inf), self.k - 1, axis=1)[:, self.k - 1]
+        sure, bar = np.isfinite(kth), np.full(e - s, -1.0)
+        np.maximum.at(bar, row[sure], kth[sure])
+        limit = np.where(bar < 0, -np.inf, bar * bar * self.has[s:e] / d * (1 + 1e-9))
+        mask = squares <= np.minimum(limit * (1 + 1e-6), 1e37)[:, None].astype(squares.dtype)
+        if again is not None and mask.size > _ROWS and np.count_nonzero(mask) > mask.size // 16:
+            mask = again() <= limit[:, None]
+        qi, ri = np.divmod(np.flatnonzero(mask), len(v))
+        dist = _shared_distances(qv, v, qi, ri)
+        good = dist <= bar[qi]
+        qi, ri, dist = qi[good], ri[good], dist[good]
+        # every cell of the query that the donor holds
+        n = self.count[s:e][qi]
+        cell = np.repeat(self.first[s:e][qi] - begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+        ri, dist = np.repeat(ri, n), np.repeat(dist, n)
+        good = held[ri, dim[cell]] & sure[cell] & (dist <= kth[cell])
+        cell, ri, dist = cell[good], ri[good], dist[good]
+        self.lists.add(begin + cell, dist, ids[ri], v[ri, dim[cell]])
+        for i in np.unique(dim[~sure]):
+            rest, donors = np.nonzero(~sure & (dim == i))[0], np.nonzero(held[:, i])[0]
+            if len(donors):
+                x, y = np.repeat(rest, len(donors)), np.tile(donors, len(rest))
+                z = _shared_distances(qv, v, row[x], y)
+                good = np.isfinite(z)
+                self.lists.add(begin + x[good], z[good], ids[y[good]], v[y[good], i])
+
+    def found(self) -> tuple[pa.Array, ...]:
+        cells, begin, near = self.lists.found()
+        return (pa.array(self.ids[self.row[cells]]), pa.array(self.dim[cells].astype("int64")),
+                pa.ListArray.from_arrays(pa.array(begin, pa.int32()), near))
+
+
+def _donor_block(q: pd.DataFrame, r: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Nearest donors of every missing cell of some rows among some others."""
+    stack = lambda x: np.stack(x["v"].to_numpy()).astype("float64")
+    none = pd.DataFrame({"id": [], "dim": [], "rid": [], "dist": [], "value": []}).astype({"id": "int64", "dim": "int64", "rid": "int64"})
+    if not len(q) or not len(r):
+        return none
+    search = Donors(q["id"].to_numpy(), stack(q), k)
+    search.add(stack(r), np.ones(len(r), dtype="int64"), r["id"].to_numpy())
+    ids, dim, near = search.found()
+    n, x = near.value_lengths().to_numpy(), near.flatten()
+    return pd.DataFrame({"id": np.repeat(ids.to_numpy(), n), "dim": np.repeat(dim.to_numpy(), n),
+                         **{c: x.field(c).to_numpy() for c in ("rid", "dist", "value")}})
 
 
 def knn_impute_shared(df: DataFrame, id_col: str, cols: Sequence[str], k: int = 5, scaled: bool = False,
                       ref_block: int = REF_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """kNN imputation with the distance over coordinates present in both rows.
 
-    Times d / shared coordinates. That is no metric, so nothing can be pruned: hashed query
-    groups meet hashed reference blocks, and each block emits the k nearest rows that hold the
-    value. Cells without any donor get the column mean. With ``scaled`` columns count by their own deviation.
+    Times d / shared coordinates. That is no metric, so nothing can be pruned: all rows pass each hashed query
+    group in batches, and of each missing cell the k nearest rows that hold the value stay. Cells without any donor get the column mean. With ``scaled`` columns count by their own deviation.
     """
     nan = F.lit(float("nan"))
     means = df.agg(*[x for c in cols for x in (F.avg(c).alias(f"__m_{c}"), F.stddev_pop(c).alias(f"__s_{c}"))])
@@ -148,17 +205,14 @@ def knn_impute_shared(df: DataFrame, id_col: str, cols: Sequence[str], k: int =
     refs = cut(fold_copies(packed.select("id", "v"), k + 1).select(F.explode("ids").alias("id"), "v"))
     asked = packed.where("__q").select("id", "v")
     rows = cut(asked.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"))
-    n_blk, n_grp = max(1, -(-refs.count() // ref_block)), query_groups(rows.count(), query_block)
+    n_grp = query_groups(rows.count(), query_block)
+    n_blk = max(1, min(-(-refs.count() // ref_block), -(-GROUPS // n_grp)))
     left = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n_grp)).alias("g"),
                        F.explode(F.expr(f"sequence(0L, {n_blk - 1}L)")).alias("blk"))
-    right = refs.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n_blk)).alias("blk"),
+    right = refs.select("id", F.array("id").alias("ids"), "v", F.pmod(F.xxhash64("id"), F.lit(n_blk)).alias("blk"),
                         F.explode(F.expr(f"sequence(0L, {n_grp - 1}L)")).alias("g"))
-    found = (left.groupBy("blk", "g").cogroup(right.groupBy("blk", "g"))
-             .applyInPandas(lambda q, r: _donor_block(q, r, k + 1),
-                            "id long, dim int, rid long, dist double, value double"))
-    best = Window.partitionBy("id", "dim").orderBy("dist", "rid")
-    lists = (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1)
-             .groupBy("id", "dim").agg(F.array_sort(F.collect_list(F.struct("dist", "rid", "value"))).alias("near")))
+    found = meet(left, right, ["blk", "g"], n_blk * n_grp, lambda ids, v: Donors(ids, v, k + 1), ("id", "dim"))
+    lists = nearest_lists(found, ["id", "dim"], k + 1)
     per_vector = rows.join(lists, "id").select("v", "dim", "near")
     near = F.slice(F.filter("near", lambda x: x["rid"] != F.col("id")), 1, k)
     cells = asked.join(per_vector, "v").select("id", "dim", F.try_divide(
