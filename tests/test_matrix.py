@@ -460,6 +460,19 @@ def test_donors_in_batches(monkeypatch):
         assert [g["rid"] for g in near] == want and [g["value"] for g in near] == [x[r, j] for r in want]
 
 
+def test_selective_imputation_gives_one_list_a_cell(spark, monkeypatch):
+    """All rows pass each group of queries: a missing cell has one list, however many blocks of rows there are."""
+    lists, real = [], im.nearest_lists
+    monkeypatch.setattr(im, "nearest_lists", lambda found, *a: lists.append((found.count(), found.select("id", "dim").distinct().count())) or real(found, *a))
+    monkeypatch.setattr(im.knn_impute_shared, "__defaults__", (5, False, 10, 2))
+    rng = np.random.default_rng(17)
+    rows = [(i, *[None if rng.random() < 0.2 else float(v) for v in rng.normal(size=3)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    out, _ = im.impute_selective(df, "id", ["a", "b", "c"], scaled=True)
+    assert out.count() == 120 and out.where("a is null or b is null or c is null").count() == 0
+    assert lists[0][0] == lists[0][1] > 40
+
+
 def test_donors_equal_loops(monkeypatch):
     """Nearest donors of every cell, also of columns that few or no rows hold and of queries that share nothing with a row."""
     import pandas as pd
